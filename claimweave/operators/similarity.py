@@ -34,7 +34,7 @@ def information_content(positive: DataFrame, closure: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("n"))
     )
     total = pairs.select("entity").distinct().agg(F.count("*").alias("total"))
-    return held.crossJoin(total).withColumn("ic", -F.log(F.col("n") / F.col("total")) + F.lit(0.0))  # one-row side
+    return held.withColumn("total", total.scalar()).withColumn("ic", -F.log(F.col("n") / F.col("total")) + F.lit(0.0))
 
 
 def expanded_profile(direct: DataFrame, closure: DataFrame, roots: tuple[str, ...]) -> DataFrame:

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from claimweave.plans.catalogue import BUILDERS, COVERS, SQL, Tables, as_callable
 
-MODULES = ("similarity",)
+MODULES = ("similarity", "filters", "windows", "joins")
 
 for _name in MODULES:
     import_module(f"claimweave.plans.{_name}")
