@@ -174,7 +174,7 @@ def label_enrichment(t):
 
 SECTIONS_SQL = """sections AS (SELECT conv_id, turn AS pos, role AS label, s AS s_start, s + length(text) AS s_stop FROM
   (SELECT *, coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM conversations)),
-spans AS (SELECT conv_id, turn AS span_id, s_start + 3 AS start, s_start + 3 + (CASE WHEN turn % 3 = 0 THEN 5000 ELSE 10 END) AS stop FROM sections)"""
+spans AS (SELECT conv_id, pos AS span_id, s_start + 3 AS start, s_start + 3 + (CASE WHEN pos % 3 = 0 THEN 5000 ELSE 10 END) AS stop FROM sections)"""
 
 
 def sections(t: Tables) -> DataFrame:
@@ -205,11 +205,10 @@ def vocabulary(t: Tables) -> DataFrame:
 
 @query("symbol_mentions", "F-8", r"""
 WITH v AS (SELECT DISTINCT split_part(text, ' ', 1) AS symbol FROM benchmark WHERE split_part(text, ' ', 1) <> ''),
-m AS (SELECT doc_id, symbol, regexp_extract(text, '(?s)^(.*?)(?:^|[^A-Za-z0-9])(' || regexp_escape(symbol) || ')(?:$|[^A-Za-z0-9])', ['pre', 'hit']) AS r, text
-  FROM documents, v WHERE contains(text, symbol))
-SELECT doc_id, symbol, CASE WHEN starts_with(text, symbol) AND r.pre = '' AND NOT regexp_matches(text[length(symbol) + 1], '[A-Za-z0-9]') THEN 0 ELSE length(r.pre) + 1 END AS start,
-  (CASE WHEN starts_with(text, symbol) AND r.pre = '' AND NOT regexp_matches(text[length(symbol) + 1], '[A-Za-z0-9]') THEN 0 ELSE length(r.pre) + 1 END) + length(symbol) AS stop
-FROM m WHERE r.hit <> ''""")
+p AS (SELECT symbol, '(?s)^(.*?)(^|[^A-Za-z0-9])(' || regexp_escape(symbol) || ')($|[^A-Za-z0-9])' AS pat FROM v),
+m AS (SELECT doc_id, symbol, length(regexp_extract(text, pat, 1)) + length(regexp_extract(text, pat, 2)) AS start FROM documents, p
+  WHERE contains(text, symbol) AND regexp_matches(text, pat))
+SELECT doc_id, symbol, start, start + length(symbol) AS stop FROM m""")
 def symbol_mentions(t):
     return text_joins.symbol_mentions(t.documents, vocabulary(t), "doc_id", "text")
 
@@ -454,10 +453,10 @@ def promotion(t):
 
 
 @query("trial_linking", "F-22", """
-WITH o AS (SELECT o_orderkey, n_name AS condition, p_name AS keyword FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
-  JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderpriority = '1-URGENT')
-SELECT DISTINCT 'trial:' || o_orderkey AS study, 'studies' AS predicate, 'nation:' || n_nationkey AS object FROM o JOIN nation ON n_name = condition
-UNION ALL SELECT DISTINCT 'trial:' || o_orderkey, 'mentions', 'word:' || keyword FROM o WHERE keyword IN ('red widget', 'blue bolt', 'small ring')""")
+SELECT 'trial:' || o_orderkey AS study, 'studies' AS predicate, 'nation:' || c_nationkey AS object FROM orders JOIN customer ON c_custkey = o_custkey
+WHERE o_orderpriority = '1-URGENT'
+UNION ALL SELECT DISTINCT 'trial:' || o_orderkey, 'mentions', 'word:' || p_name FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+JOIN part ON p_partkey = l_partkey WHERE o_orderpriority = '1-URGENT' AND p_name IN ('red widget', 'blue bolt', 'small ring')""")
 def trial_linking(t):
     o = t.orders.filter("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey")
     c = t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey").join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
