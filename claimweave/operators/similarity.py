@@ -12,7 +12,10 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimweave.functions.identity import stable_id
+from claimweave.functions.text import score_text
 from claimweave.functions.vocab import SPARSE_DIRECT_TERMS, SPECIFIC_SHARE
+from claimweave.operators.windows import top_cards
 from claimweave.session import cut_lineage
 
 SPECIFIC_IC = math.log(SPECIFIC_SHARE)
@@ -252,3 +255,51 @@ def overlap_warnings(rows: DataFrame, coverage: DataFrame) -> DataFrame:
     return per.join(ca, "a").join(cb, "b").select(
         "a", "b", "shared_terms", "specific_terms", F.array_join(codes, ",").alias("warnings")
     )
+
+
+def top_cards_reasons(merged: DataFrame, k: int) -> DataFrame:
+    """First ``k`` cards per start with why each is listed. ``merged``: (a, b, score, feature)."""
+    reasons = F.concat_ws(" and ", F.when(F.col("score").isNotNull(), "shared terms"),
+                          F.when(F.col("feature"), "mechanism features"))
+    return top_cards(merged, k).withColumn("reasons", reasons)
+
+
+def comparison_cards(cards: DataFrame, coverage: DataFrame, facts: DataFrame) -> DataFrame:
+    """Cards with a summary sentence and the counterexample that keeps them from being over-read.
+
+    ``facts``: (entity, parent, effect). A shared parent is named before a difference in effect.
+    """
+    def side(s: str) -> DataFrame:
+        f = facts.join(coverage.select("entity", "direct_terms"), "entity")
+        return f.select(F.col("entity").alias(s), F.col("parent").alias(f"parent_{s}"), F.col("effect").alias(f"effect_{s}"),
+                        F.col("direct_terms").alias(f"direct_{s}"))
+
+    j = cards.join(side("a"), "a").join(side("b"), "b")
+    same_parent = F.col("parent_a") == F.col("parent_b")
+    differs = (F.col("effect_a") != F.col("effect_b")) & (F.col("score") >= 0.5)
+    summary = F.concat(F.lit("Disease-baseline weighted overlap: "), score_text(F.col("score")), F.lit(" ("), "direct_a",
+                       F.lit(" and "), "direct_b", F.lit(" direct terms)"))
+    return j.select(
+        "a", "b", summary.alias("summary"),
+        F.when(F.col("score").isNotNull(), "disease_baseline").otherwise("unranked").alias("ranking_basis"), "score",
+        same_parent.alias("same_parent"),
+        F.when(same_parent & F.col("score").isNotNull(), "shared parent does not establish subgroup similarity")
+        .when(differs, "overlap coexists with different effects").alias("counterexample"))
+
+
+def calculation_rows(cards: DataFrame, ic: DataFrame) -> DataFrame:
+    """Provenance of each card with an id derived from its content."""
+    size = ic.agg(F.max("total")).scalar()
+    fixed = F.round("score", 6).cast("decimal(20,6)").cast("string")
+    return cards.withColumn("reference_size", size).withColumn("id", stable_id(
+        "calc", a=F.col("a"), b=F.col("b"), level=F.col("level"), score=fixed,
+        reference_size=F.col("reference_size"), algorithm=F.lit("weighted-jaccard-1")))
+
+
+def calculation_parameters(calculations: DataFrame) -> DataFrame:
+    """(a, b, name, value) rows, parameters by name and a sentence about the outcome."""
+    outcome = F.concat(F.lit("Weighted Jaccard overlap; result "), F.round("score", 4).cast("decimal(20,4)").cast("string"), F.lit("."))
+    entries = F.array(*[F.struct(F.lit(n).alias("name"), v.cast("string").alias("value")) for n, v in (
+        ("context_a", F.col("a")), ("context_b", F.col("b")),
+        ("ic_reference_disease_count", F.col("reference_size")), ("outcome", outcome))])
+    return calculations.select("a", "b", F.inline(entries))

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimweave.functions import text
 from claimweave.operators import graph, similarity
 from claimweave.plans import bindings as b
 from claimweave.plans.catalogue import Tables, query
@@ -61,3 +60,138 @@ def score6(c: str = "score"):
 SELECT a, b, level, round(score, 6) AS score, rank FROM cards""")
 def weighted_jaccard(t: Tables) -> DataFrame:
     return World(t).cards().select("a", "b", "level", score6(), "rank")
+
+
+@query("weighted_jaccard_gated", "G-3", b.CARDSG_SQL + """
+SELECT a, b, level, round(score, 6) AS score, rank FROM cards""")
+def weighted_jaccard_gated(t: Tables) -> DataFrame:
+    return World(t, sparse_negation=True).cards(gated=True).select("a", "b", "level", score6(), "rank")
+
+
+@query("withheld_scores", "G-3", b.PROFILEG_SQL + """
+SELECT entity, 'unresolved positive/NOT disagreement for ' || count(*) || ' term(s)' AS reason FROM
+  (SELECT entity, term FROM ann WHERE aspect = 'P' GROUP BY 1, 2 HAVING bool_or(negated) AND bool_or(NOT negated)) GROUP BY 1
+UNION ALL SELECT entity, (count(*) - count(ic)) || ' direct term(s) lack support in the IC reference' FROM
+  (SELECT DISTINCT entity, term FROM direct) LEFT JOIN ic USING (term) GROUP BY 1 HAVING count(*) > count(ic)""")
+def withheld_scores(t: Tables) -> DataFrame:
+    w = World(t, sparse_negation=True)
+    return similarity.withheld_reasons(w.coverage, w.disagreements)
+
+
+def full_cards(w: World) -> DataFrame:
+    """Cards with the weight of the union, written once because several joins start from them."""
+    profiles = w.weighted()
+    return cut_lineage(
+        similarity.top_partners(profiles, profiles, 3).withColumn("union_weight", F.col("shared") / F.col("score")), "cards")
+
+
+SHARED_SQL = b.CARDS_SQL + """,
+rows_ AS (SELECT c.a, c.b, pa.term, ic.ic, ic.ic / c.union_weight AS contribution,
+    EXISTS (SELECT 1 FROM direct d WHERE d.entity = c.a AND d.term = pa.term) AS direct_a,
+    EXISTS (SELECT 1 FROM direct d WHERE d.entity = c.b AND d.term = pa.term) AS direct_b
+  FROM cards c JOIN prof pa ON pa.entity = c.a JOIN prof pb ON pb.entity = c.b AND pb.term = pa.term LEFT JOIN ic ON ic.term = pa.term)"""
+
+
+def card_terms(w: World) -> DataFrame:
+    return similarity.shared_terms(full_cards(w), w.expanded, w.direct, w.ic)
+
+
+@query("shared_terms", "C-19 I-3 I-10", SHARED_SQL + """
+SELECT a, b, term, round(ic, 6) + 0.0 AS ic, round(contribution, 6) + 0.0 AS contribution, direct_a, direct_b,
+  row_number() OVER (PARTITION BY a, b ORDER BY round(ic, 9) DESC NULLS LAST, term) AS pos FROM rows_""")
+def shared_terms(t: Tables) -> DataFrame:
+    rows = card_terms(World(t)).withColumn("ic", F.round("ic", 9) + F.lit(0.0))
+    return similarity.ordered_shared_terms(rows).select(
+        "a", "b", "term", (F.round("ic", 6) + F.lit(0.0)).alias("ic"),
+        (F.round("contribution", 6) + F.lit(0.0)).alias("contribution"), "direct_a", "direct_b", "pos")
+
+
+@query("overlap_warnings", "G-18", SHARED_SQL + """
+SELECT a, b, count(*) AS shared_terms, count(*) FILTER (r.ic >= ln(10)) AS specific_terms,
+  concat_ws(',', CASE WHEN count(*) FILTER (r.ic >= ln(10)) = 0 THEN 'BROAD_OVERLAP_ONLY' END, CASE WHEN least(any_value(x.direct_terms), any_value(y.direct_terms)) < 5 THEN 'SPARSE_PROFILE' END) AS warnings
+FROM rows_ r JOIN cover x ON x.entity = a JOIN cover y ON y.entity = b GROUP BY 1, 2""")
+def overlap_warnings(t: Tables) -> DataFrame:
+    w = World(t)
+    return similarity.overlap_warnings(card_terms(w), w.coverage)
+
+
+@query("contributions_sum_to_score", "D-16", SHARED_SQL + """
+SELECT r.a, r.b, abs(sum(contribution) - any_value(c.score)) < 1e-9 AS adds_up FROM rows_ r JOIN cards c ON c.a = r.a AND c.b = r.b GROUP BY 1, 2""")
+def contributions_sum_to_score(t: Tables) -> DataFrame:
+    w = World(t)
+    cards = full_cards(w)
+    sums = similarity.shared_terms(cards, w.expanded, w.direct, w.ic).groupBy("a", "b").agg(F.sum("contribution").alias("s"))
+    return cards.join(sums, ["a", "b"]).select("a", "b", (F.abs(F.col("s") - F.col("score")) < 1e-9).alias("adds_up"))
+
+
+# Cards may also be listed without a score: suppliers of the same region that share a mechanism label (account band).
+CANDIDATE_SQL = b.CARDSG_SQL + """,
+mech AS (SELECT s_suppkey AS entity, CAST(floor(s_acctbal / 100) AS BIGINT) AS band, level FROM supplier JOIN levels ON entity = s_suppkey),
+feat AS (SELECT x.entity AS a, y.entity AS b FROM mech x JOIN mech y ON x.band = y.band AND x.level = y.level AND x.entity <> y.entity),
+cand AS (SELECT a, b, max(score) AS score, bool_or(f) AS feature FROM (SELECT a, b, score, false AS f FROM cards UNION ALL SELECT a, b, NULL, true FROM feat) GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score IS NULL, score DESC, b) AS rank FROM cand QUALIFY rank <= 3)"""
+
+
+def candidates(t: Tables) -> DataFrame:
+    w = World(t, sparse_negation=True)
+    scored = w.cards(gated=True).select("a", "b", "score", F.lit(False).alias("feature"))
+    m = t.supplier.select(F.col("s_suppkey").alias("entity"), F.floor(F.col("s_acctbal") / 100).alias("band")).join(b.levels(t), "entity")
+    feature = same_feature(m, 3)
+    both = scored.unionByName(feature.select("a", "b", F.lit(None).cast("double").alias("score"), F.lit(True).alias("feature")))
+    merged = both.groupBy("a", "b").agg(F.max("score").alias("score"), F.bool_or("feature").alias("feature"))
+    return similarity.top_cards_reasons(merged, 3)
+
+
+def same_feature(m: DataFrame, k: int) -> DataFrame:
+    """Unscored candidates by an equal feature: only the first ``k + 1`` of a group can make anybody's list.
+
+    Unscored cards come in id order, so within a group everybody lists its smallest ids; ``2k`` of them leave room for
+    the entity itself and for candidates that are scored already.
+    """
+    order = Window.partitionBy("level", "band").orderBy("entity")
+    first = m.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= 2 * k + 1)
+    x, y = m.alias("x"), first.alias("y")
+    return x.join(y, (F.col("x.level") == F.col("y.level")) & (F.col("x.band") == F.col("y.band"))).filter(
+        "x.entity <> y.entity").select(F.col("x.entity").alias("a"), F.col("y.entity").alias("b"))
+
+
+@query("candidate_cards", "E-3 F-7 G-19", CANDIDATE_SQL + """
+SELECT a, b, round(score, 6) AS score, rank, concat_ws(' and ', CASE WHEN score IS NOT NULL THEN 'shared terms' END, CASE WHEN feature THEN 'mechanism features' END) AS reasons FROM ranked""")
+def candidate_cards(t: Tables) -> DataFrame:
+    return candidates(t).select("a", "b", score6(), "rank", "reasons")
+
+
+@query("comparison_cards", "G-20 G-21 H-16 N-13", b.CARDS_SQL + """
+SELECT a, b, 'Disease-baseline weighted overlap: ' || CAST(CAST(round(score, 2) AS DECIMAL(20, 2)) AS VARCHAR) || ' (' || x.direct_terms || ' and ' || y.direct_terms || ' direct terms)' AS summary,
+  'disease_baseline' AS ranking_basis, round(score, 6) AS score, sa.s_nationkey = sb.s_nationkey AS same_parent,
+  CASE WHEN sa.s_nationkey = sb.s_nationkey THEN 'shared parent does not establish subgroup similarity' WHEN floor(sa.s_acctbal / 1000) <> floor(sb.s_acctbal / 1000) AND score >= 0.5 THEN 'overlap coexists with different effects' END AS counterexample
+FROM cards JOIN cover x ON x.entity = a JOIN cover y ON y.entity = b JOIN supplier sa ON sa.s_suppkey = a JOIN supplier sb ON sb.s_suppkey = b""")
+def comparison_cards(t: Tables) -> DataFrame:
+    w = World(t)
+    facts = t.supplier.select(F.col("s_suppkey").alias("entity"), F.col("s_nationkey").alias("parent"),
+                              F.floor(F.col("s_acctbal") / 1000).alias("effect"))
+    return similarity.comparison_cards(w.cards(), w.coverage, facts).withColumn("score", F.round("score", 6))
+
+
+@query("card_edges", "J-12", b.CARDS_SQL + """
+SELECT 'link:' || a || ':' || b AS link_id, a AS source, b AS target, rank, true AS computed FROM cards""")
+def card_edges(t: Tables) -> DataFrame:
+    return World(t).cards().select(
+        F.concat(F.lit("link:"), "a", F.lit(":"), "b").alias("link_id"), F.col("a").alias("source"),
+        F.col("b").alias("target"), "rank", F.lit(True).alias("computed"))
+
+
+@query("calculations", "G-22", b.CARDS_SQL + """
+SELECT 'calc:' || substr(sha256(to_json({a: a, algorithm: 'weighted-jaccard-1', b: b, level: level, reference_size: (SELECT any_value(total) FROM ic), score: CAST(CAST(round(score, 6) AS DECIMAL(20, 6)) AS VARCHAR)})), 1, 32) AS id, a, b FROM cards""")
+def calculations(t: Tables) -> DataFrame:
+    w = World(t)
+    return similarity.calculation_rows(w.cards(), w.ic).select("id", "a", "b")
+
+
+@query("calculation_view", "F-25", b.CARDS_SQL + """
+SELECT a, b, name, value FROM (SELECT a, b, 'context_a' AS name, CAST(a AS VARCHAR) AS value FROM cards UNION ALL SELECT a, b, 'context_b', CAST(b AS VARCHAR) FROM cards
+  UNION ALL SELECT a, b, 'ic_reference_disease_count', CAST((SELECT any_value(total) FROM ic) AS VARCHAR) FROM cards
+  UNION ALL SELECT a, b, 'outcome', 'Weighted Jaccard overlap; result ' || CAST(CAST(round(score, 4) AS DECIMAL(20, 4)) AS VARCHAR) || '.' FROM cards)""")
+def calculation_view(t: Tables) -> DataFrame:
+    w = World(t)
+    return similarity.calculation_parameters(similarity.calculation_rows(w.cards(), w.ic))
