@@ -71,3 +71,9 @@ def snapshot_summary(snapshot: str, counts: dict[str, DataFrame], versions: Data
     for name, df in counts.items():
         out = out.unionByName(df.agg(F.count("*").cast("string").alias("value")).select(F.lit(f"rows:{name}").alias("name"), "value"))
     return out.unionByName(versions.select(F.concat(F.lit("version:"), "name").alias("name"), "value").distinct())
+
+
+def readable_properties(lists: Column) -> Column:
+    """List-valued properties as text; empty and null ones are left out."""
+    kept = F.map_filter(lists, lambda _, v: v.isNotNull() & (F.size(v) > 0))
+    return F.transform_values(kept, lambda _, v: F.array_join(v, ", "))
