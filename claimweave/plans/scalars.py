@@ -82,7 +82,7 @@ def page_text_sql() -> str:
     x = f"regexp_replace({x}, '(?s)<!--.*?-->', '', 'g')"
     x = (f"regexp_replace({x}, '(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|main|nav|blockquote|pre|dt|dd|hr)(\\s[^>]*)?/?>', chr(10), 'g')")
     x = f"regexp_replace({x}, '<[/!]?[a-zA-Z][^>]*>', '', 'g')"
-    entities = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&mdash;", "—"), ("&amp;", "&")]
+    entities = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&mdash;", "—"), ("&middot;", "·"), ("&amp;", "&")]
     for _ in range(2):
         for name, ch in entities:
             x = f"replace({x}, '{name}', '{ch}')"

@@ -32,11 +32,11 @@ def latest_decision_stream(t: Tables) -> DataFrame:
 
 
 ADMISSION_SQL = """
-WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1000000.0 AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
-r AS (SELECT user_id, event_id, at, i, [at] AS hits, true AS admitted, CAST(0 AS BIGINT) AS wait FROM e WHERE i = 1
-  UNION ALL SELECT user_id, event_id, at, i, CASE WHEN len(live) < 2 THEN list_append(live, at) ELSE live END, len(live) < 2,
-    CASE WHEN len(live) < 2 THEN 0 ELSE greatest(1, CAST(trunc(21600 - (at - live[1])) AS BIGINT) + 1) END
-  FROM (SELECT e.user_id, e.event_id, e.at, e.i, list_filter(r.hits, lambda h: e.at - h < 21600) AS live FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1000000.0 AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT user_id, event_id, tm, i, [tm] AS hits, true AS admitted, CAST(0 AS BIGINT) AS wait FROM e WHERE i = 1
+  UNION ALL SELECT user_id, event_id, tm, i, CASE WHEN len(live) < 2 THEN list_append(live, tm) ELSE live END, len(live) < 2,
+    CASE WHEN len(live) < 2 THEN 0 ELSE greatest(1, CAST(trunc(21600 - (tm - live[1])) AS BIGINT) + 1) END
+  FROM (SELECT e.user_id, e.event_id, e.tm, e.i, list_filter(r.hits, lambda h: e.tm - h < 21600) AS live FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
 SELECT user_id AS client, event_id AS hit, admitted, wait FROM r"""
 
 
