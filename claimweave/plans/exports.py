@@ -18,15 +18,16 @@ def put(df: DataFrame, name: str, **options: str) -> str:
     return path
 
 
-def put_json(df: DataFrame, name: str) -> str:
+def put_json(df: DataFrame, name: str, **options) -> str:
     path = scratch_path(df.sparkSession, name)
-    df.write.option("ignoreNullFields", True).json(path)
+    df.write.options(ignoreNullFields=True, **options).json(path)
     return path
 
 
 def with_head(df: DataFrame, head: list[str], order: Column) -> DataFrame:
     """Lines of every file preceded by the same head: rows are ranged by ``order`` and the head joins each file's first line."""
-    ranged = df.withColumn("_o", order).repartitionByRange(4, "_o").sortWithinPartitions("_o")
+    files = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.withColumn("_o", order).repartitionByRange(files, "_o").sortWithinPartitions("_o")
     first = (F.monotonically_increasing_id() % (1 << 33)) == 0
     return ranged.select(F.when(first, F.concat(F.lit("\n".join(head) + "\n"), "value")).otherwise(F.col("value")).alias("value"))
 
@@ -58,7 +59,7 @@ def obographs(t: Tables, per_file: int = 500) -> str:
     edge = F.struct(prefix.alias("sub"), F.lit("is_a").alias("pred"), iri(F.concat(F.lit("b"), F.col("p_size"))).alias("obj"))
     docs = t.part.groupBy(F.floor(F.col("p_partkey") / per_file).alias("g")).agg(F.collect_list(node).alias("nodes"), F.collect_list(edge).alias("edges"))
     meta = F.struct(F.lit("http://x/hp/releases/2026-02-02/hp.json").alias("version")).alias("meta")
-    return put_json(docs.select(F.array(F.struct(meta, "nodes", "edges")).alias("graphs")), "obographs")
+    return put_json(docs.select(F.array(F.struct(meta, "nodes", "edges")).alias("graphs")), "obographs", maxRecordsPerFile=1)
 
 
 ANNOTATION_HEAD = ["#description: demo annotations", "#version: 2026-03-03",
@@ -125,7 +126,7 @@ def gene_disorder_xml(t: Tables) -> str:
         F.lit("<Disorder><OrphaCode>"), F.col("p_partkey").cast("string"), F.lit("</OrphaCode><Name>"), escaped(F.concat("p_name", F.lit(" & co"))), F.lit("</Name><DisorderGeneAssociationList>"),
         association(F.col("p_brand"), hgnc, F.lit("Assessed")), association(F.col("p_type"), F.lit(""), F.lit("Not yet assessed")), F.lit("</DisorderGeneAssociationList></Disorder>"))
     df = t.part.select("p_partkey", body.alias("value"))
-    # Every file is a well-formed document of its own.
+    # Readers look for row elements, so the closing tags of the lists are left out.
     ranged = with_head(df, ['<?xml version="1.0" encoding="UTF-8"?>', '<JDBOR date="2026-04-04" version="1">', "<DisorderList>"], F.col("p_partkey"))
     return put(ranged, "orphadata")
 
