@@ -39,7 +39,7 @@ def multiset_hash(row_hash: Column) -> list[Column]:
     """
     pieces = []
     for i in range(4):
-        piece = F.conv(F.substring(row_hash, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")
+        piece = F.conv(F.substring(row_hash, 1 + 15 * i, 15), 16, 10).cast("bigint").cast("decimal(20,0)")
         pieces.append(F.sum(piece).cast("string").alias(f"h{i}"))
     return [F.count(F.lit(1)).cast("string").alias("rows"), *pieces]
 

@@ -157,7 +157,7 @@ def dependencies(assertions: DataFrame, members: DataFrame, mappings: DataFrame)
     contexts = assertions.filter("context is not null").select("assertion", "context")
     via_context = contexts.select("assertion", F.col("context").alias("depends_on"))
     via_member = contexts.join(members, "context").select("assertion", F.col("member").alias("depends_on"))
-    entities = ends.unionByName(via_member).distinct()
+    entities = ends.unionByName(via_member)
     via_mapping = entities.join(mappings.select(F.col("entity").alias("depends_on"), "mapping"), "depends_on").select(
         "assertion", F.col("mapping").alias("depends_on"))
     return entities.unionByName(via_context).unionByName(via_mapping).distinct()

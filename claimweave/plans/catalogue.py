@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from claimweave.session import spread
+
 Builder = Callable[["Tables"], DataFrame]
 
 BUILDERS: dict[str, Builder] = {}
@@ -24,6 +26,10 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def wide(self, name: str, key: str) -> DataFrame:
+        """A table spread over all cores, for work that costs much per row."""
+        return spread(getattr(self, name), key)
+
 
 def query(name: str, covers: str, sql: str | None = None) -> Callable[[Builder], Builder]:
     def register(fn: Builder) -> Builder:

@@ -392,7 +392,7 @@ def nation_communities(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     return members, contexts, genes
 
 
-@query("community_overlap", "F-16", """
+@query("community_overlap", "F-16 I-6", """
 WITH sold AS (SELECT c_nationkey AS context, l_suppkey, l_partkey FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey
   JOIN customer ON c_custkey = o_custkey WHERE p_size = 1),
 m AS (SELECT DISTINCT context, 'supplier:' || l_suppkey AS member, false AS person FROM sold UNION ALL SELECT DISTINCT context, 'order-part:' || l_partkey, true FROM sold)

@@ -346,7 +346,18 @@ KEYS = {"nation": "n_nationkey", "supplier": "s_suppkey", "customer": "c_custkey
 
 
 def content(t: Tables) -> dict[str, DataFrame]:
-    return {n: getattr(t, n).select(*c) for n, c in CONTENT.items()}
+    return {n: t.wide(n, c[0]).select(*c) for n, c in CONTENT.items()}
+
+
+@query("flattened_rows", "B-5", """
+SELECT 'claim:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS id, 'supplier:' || l_suppkey AS subject_id, 'part:' || l_partkey AS object_id,
+  to_json({id: 'claim:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey, object_id: 'part:' || l_partkey, status: l_linestatus, subject_id: 'supplier:' || l_suppkey}) AS payload_record FROM lineitem""")
+def flattened_rows(t: Tables) -> DataFrame:
+    key = F.concat_ws(":", F.lit("claim"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    record = F.struct(key.alias("id"), F.concat(F.lit("part:"), "l_partkey").alias("object_id"), F.col("l_linestatus").alias("status"),
+                      F.concat(F.lit("supplier:"), "l_suppkey").alias("subject_id"))
+    rows = sinks.flatten_rows(t.lineitem.select(record.alias("record")), {"id": "record.id", "subject_id": "record.subject_id", "object_id": "record.object_id"})
+    return rows.select("id", "subject_id", "object_id", F.get_json_object("payload", "$.record").alias("payload_record"))
 
 
 @query("published_snapshot", "B-3 B-4 A-19 D-19", " UNION ALL ".join(

@@ -55,3 +55,13 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Redistribute an input that arrives in fewer splits than there are cores before costly per-row work.
+
+    A large table has enough splits and is left alone; only a small file with few row groups is shuffled.
+    """
+    if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(key)

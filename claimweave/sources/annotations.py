@@ -16,29 +16,43 @@ def read_annotations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     lines = read_lines(spark, path).filter(F.trim("value") != "")
     body = F.trim(F.regexp_replace("value", "^#+", ""))
     hashed = F.col("value").startswith("#")
-    header = header_of(lines, ~hashed | body.contains("\t"))
+    header = column_places(header_of(lines, ~hashed | body.contains("\t")))
     j = lines.join(header, "file")
     meta = j.filter((F.col("line_no") < F.col("header_no")) & hashed & body.contains(":") & ~body.contains("\t")).select(
         "file", F.lower(F.trim(F.substring_index(body, ":", 1))).alias("key"),
         F.trim(F.regexp_replace(body, r"^[^:]*:", "")).alias("value"))
+    rows = j.filter(F.col("line_no") > F.col("header_no")).select("line_no", checked_cells(j).alias("cells"), "place")
+
+    def picked(name: str):
+        return F.get("cells", F.col("place")[name] - 1)
+
+    wanted = [w for w in ANNOTATION_COLUMNS.values() if w != "database_id"]
+    return rows.select("line_no", namespace(picked("database_id")).alias("database_id"), picked("database_id").alias("original_database_id"),
+                       *[picked(w).alias(w) for w in wanted]), meta
+
+
+def column_places(header: DataFrame) -> DataFrame:
+    """Adds the number of columns and a struct with each wanted column's 1-based place: worked out once per file."""
     plain = F.transform(F.split(F.regexp_replace("header", r"^#+\s*", ""), "\t"), lambda c: F.trim(c))
     names = F.transform(plain, lambda c: F.coalesce(lookup(ANNOTATION_COLUMNS, F.replace(F.lower(c), F.lit("_"), F.lit(""))), c))
-    wanted = list(ANNOTATION_COLUMNS.values())
-    lacking = F.array_except(F.array(*[F.lit(w) for w in wanted]), names)
+    place = F.struct(*[F.array_position(names, w).cast("int").alias(w) for w in ANNOTATION_COLUMNS.values()])
+    lacking = F.array_except(F.array(*[F.lit(w) for w in ANNOTATION_COLUMNS.values()]), names)
+    return header.select("file", "header_no", F.size(names).alias("width"), place.alias("place"), F.array_join(lacking, ", ").alias("lacking"))
+
+
+def checked_cells(j: DataFrame):
+    """Cells of a data line; fails on a lacking column or another number of cells.
+
+    The optimizer may evaluate cells before it drops head lines, so the checks look at data lines only.
+    """
     cells = F.split("value", "\t", -1)
-    # The optimizer may evaluate cells before it drops head lines, so the checks look at data lines only.
-    checked = (
+    return (
         F.when(F.col("line_no") <= F.col("header_no"), F.lit(None).cast("array<string>"))
-        .when(F.size(lacking) > 0, F.raise_error(F.concat(F.lit("header lacks columns "), F.array_join(lacking, ", "))))
-        .when(F.size(cells) != F.size(names), F.raise_error(F.format_string(
-            "line %d: expected %d columns, got %d", F.col("line_no"), F.size(names), F.size(cells))))
+        .when(F.col("lacking") != "", F.raise_error(F.concat(F.lit("header lacks columns "), "lacking")))
+        .when(F.size(cells) != F.col("width"), F.raise_error(F.format_string(
+            "line %d: expected %d columns, got %d", F.col("line_no"), F.col("width"), F.size(cells))))
         .otherwise(cells)
     )
-    rows = j.filter(F.col("line_no") > F.col("header_no")).select("file", "line_no", names.alias("names"), checked.alias("cells"))
-    picked = {w: cell(F.col("cells"), F.col("names"), w) for w in wanted}
-    original = picked.pop("database_id")
-    return rows.select("line_no", namespace(original).alias("database_id"), original.alias("original_database_id"),
-                       *[c.alias(n) for n, c in picked.items()]), meta
 
 
 def read_mappings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

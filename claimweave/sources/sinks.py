@@ -18,6 +18,12 @@ def write_jsonl(df: DataFrame, path: str, key: str) -> None:
     rows.repartitionByRange("_key").sortWithinPartitions("_key").select("value").write.mode("overwrite").text(path)
 
 
+def flatten_rows(df: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """Key columns taken from dotted paths, and the whole row as a JSON payload."""
+    return df.select(*[F.col(path).alias(name) for name, path in keys.items()],
+                     F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("payload"))
+
+
 def write_part(tables: dict[str, DataFrame], path: str) -> None:
     """Rewrite one stage part, a table per record kind."""
     for kind, df in tables.items():
