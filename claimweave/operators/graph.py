@@ -19,9 +19,9 @@ def transitive_closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     Parents that are no node themselves are kept as ancestors.
     """
     edges = edges.select("child", "parent").distinct()
-    inner = edges.select(F.col("parent").alias("child")).distinct()
+    inner = cut_lineage(edges.select(F.col("parent").alias("child")).distinct(), "inner-nodes")
     inner_edges = cut_lineage(edges.join(inner, "child", "left_semi"), "inner-edges")
-    known = cut_lineage(inner.select(F.col("child").alias("node"), F.col("child").alias("ancestor")), "closure")
+    known = inner.select(F.col("child").alias("node"), F.col("child").alias("ancestor"))
     frontier = known
     for _ in range(max_rounds):
         step = (
@@ -33,10 +33,10 @@ def transitive_closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         frontier = cut_lineage(step, "frontier")
         if frontier.isEmpty():
             break
-        known = known.unionByName(frontier)
+        known = known.unionByName(frontier)  # a union of written tables, one per level
     else:
         raise RuntimeError(f"hierarchy is deeper than {max_rounds} levels")
-    inner_closure = cut_lineage(known, "closure") if known is not frontier else known
+    inner_closure = known
     leaves = edges.join(inner, "child", "left_anti")
     via_parents = (
         leaves.join(inner_closure, leaves.parent == inner_closure.node)
@@ -178,7 +178,7 @@ def bounded_neighborhood(
     ``edges`` comes from ``two_way``. Discovery order is breadth first; a node's links are read by (predicate, id). Caps
     are ordered limits, so each task passes on at most that many rows. Both results are bounded by the caps.
     """
-    first = edges.filter(F.col("node") == focus)
+    first = cut_lineage(edges.filter(F.col("node") == focus), "first-links")
     found = (
         first.filter(F.col("other") != focus).groupBy("other")
         .agg(F.min(F.struct("predicate", "link_id")).alias("via"))
@@ -193,6 +193,7 @@ def bounded_neighborhood(
     seen_links = first.withColumn("parent_ord", F.lit(0))
     if depth >= 2:
         second = edges.join(near.select(F.col("other").alias("node"), F.col("ord").alias("parent_ord")), "node")
+        second = cut_lineage(second, "second-links")  # read three times below
         fresh = (
             second.join(nodes.select(F.col("node").alias("other")), "other", "left_anti").groupBy("other")
             .agg(F.min(F.struct("parent_ord", "predicate", "link_id")).alias("via"))

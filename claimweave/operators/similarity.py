@@ -95,8 +95,9 @@ def top_partners(
     left = cut_lineage(left, "profiles")
     right = left if same else cut_lineage(right, "profiles")
     holders = right.groupBy("level", "term").agg(F.count("*").alias("holders"))
-    hot = cut_lineage(holders.filter(F.col("holders") > heavy).select("level", "term"), "hot-terms")
+    hot = holders.filter(F.col("holders") > heavy).select("level", "term")
     has_hot = not hot.isEmpty()
+    hot = cut_lineage(hot, "hot-terms") if has_hot else hot
 
     def totals(p: DataFrame) -> DataFrame:
         return p.groupBy("level", "entity").agg(F.sum("weight").alias("total"))
