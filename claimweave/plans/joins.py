@@ -409,18 +409,19 @@ SELECT DISTINCT * FROM (
   UNION ALL SELECT 'region:' || n_regionkey, 'context:' || c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey
   UNION ALL SELECT 'segment:' || c_mktsegment, 'context:' || c_custkey FROM customer
   UNION ALL SELECT 'part:' || l_partkey, 'context:' || o_custkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'A'
-  UNION ALL SELECT 'supplier:' || s_suppkey, 'context:' || c_custkey FROM supplier JOIN customer ON c_nationkey = s_nationkey)""")
+  UNION ALL SELECT 'supplier:' || l_suppkey, 'context:' || o_custkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity >= 48)""")
 def contexts_of_entity(t):
     ctx = F.concat(F.lit("context:"), "c_custkey").alias("context")
     c = t.customer
-    lines = t.lineitem.filter("l_returnflag = 'A'").select("l_orderkey", "l_partkey").join(
-        t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    cited = t.lineitem.filter("l_returnflag = 'A' or l_quantity >= 48").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity")
+    lines = cited.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    buyer = F.concat(F.lit("context:"), "o_custkey").alias("context")
     return joins.contexts_of([
         c.select(F.concat(F.lit("nation:"), "c_nationkey").alias("entity"), ctx),
         c.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("region:"), "n_regionkey").alias("entity"), ctx),
         c.select(F.concat(F.lit("segment:"), "c_mktsegment").alias("entity"), ctx),
-        lines.select(F.concat(F.lit("part:"), "l_partkey").alias("entity"), F.concat(F.lit("context:"), "o_custkey").alias("context")),
-        t.supplier.join(c, F.col("s_nationkey") == F.col("c_nationkey")).select(F.concat(F.lit("supplier:"), "s_suppkey").alias("entity"), ctx),
+        lines.filter("l_returnflag = 'A'").select(F.concat(F.lit("part:"), "l_partkey").alias("entity"), buyer),
+        lines.filter("l_quantity >= 48").select(F.concat(F.lit("supplier:"), "l_suppkey").alias("entity"), buyer),
     ])
 
 

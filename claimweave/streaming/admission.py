@@ -23,7 +23,7 @@ def decide(recent: list[float], now: float, window: float, limit: int) -> tuple[
 
 
 class Admission(StatefulProcessor):
-    """Keeps at most ``limit`` admitted times per client; a timer clears clients that went quiet."""
+    """Keeps at most ``limit`` admitted times per client."""
 
     def __init__(self, window: float, limit: int) -> None:
         self.window, self.limit = window, limit
@@ -34,7 +34,7 @@ class Admission(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         recent = [r[0] for r in self.hits.get()] if self.hits.exists() else []
-        # A micro-batch may bring a client's hits in any order and in several Arrow batches.
+        # A micro-batch, bounded by the reader's trigger options, may bring a client's hits in any order.
         batch = pd.concat(list(rows)).sort_values(["at", "hit"])
         out = []
         for hit, at in zip(batch["hit"], batch["at"]):

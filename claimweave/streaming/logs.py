@@ -10,10 +10,14 @@ from claimweave.session import scratch_path
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def read_log(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A growing folder of Parquet files as a stream; ``name`` selects files."""
+def read_log(spark: SparkSession, folder: str, name: str, files_per_batch: int = 64) -> DataFrame:
+    """A growing folder of Parquet files as a stream; ``name`` selects files.
+
+    ``files_per_batch`` bounds a micro-batch, and with it what a stateful operator sees of one key at a time.
+    """
     schema = spark.read.parquet(f"{folder}/{name}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).option(
+        "maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
 def latest_decisions(reviews: DataFrame) -> DataFrame:
