@@ -17,11 +17,16 @@ from claimweave.functions.vocab import BLOCK_TAGS, DROPPED_TAGS, MISSING_WORDS
 WORD = r"[\p{L}\p{N}_]+(?:[-'][\p{L}\p{N}_]+)*"
 
 
+def fold(value: str | None) -> str | None:
+    """Compatibility form, case folded, white space collapsed."""
+    if value is None:
+        return None
+    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", value).casefold()).strip()
+
+
 @F.pandas_udf(StringType())
 def _fold(values: pd.Series) -> pd.Series:
-    return values.map(
-        lambda v: None if v is None else re.sub(r"\s+", " ", unicodedata.normalize("NFKC", v).casefold()).strip()
-    )
+    return values.map(fold)
 
 
 def normalize_key(text: Column) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimweave.functions.text import normalize_key, word_tokens
+from claimweave.functions.text import fold, normalize_key, word_tokens
 from claimweave.functions.vocab import SEARCH_MATCHES
 from claimweave.operators.similarity import top_partners
 from claimweave.operators.windows import best_alias, latest_per_key
@@ -19,7 +19,7 @@ def search(aliases: DataFrame, entities: DataFrame, query: str, limit: int = SEA
     ``aliases``: (entity, alias, pos); ``entities``: (entity, label). ``ambiguous`` marks aliases with several owners and
     several exact hits; ``total`` is the number of matches before the cut.
     """
-    key = normalize_key(F.lit(query))
+    key = F.lit(fold(query))
     own_id = entities.select("entity", F.col("entity").alias("alias"), F.lit(1 << 20).alias("pos"))
     rows = aliases.select("entity", "alias", "pos").unionByName(own_id).withColumn("key", normalize_key(F.col("alias")))
     rank = F.when(F.col("key") == key, 0).when(F.startswith("key", key), 1).when(F.contains("key", key), 2)

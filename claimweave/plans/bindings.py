@@ -162,7 +162,7 @@ def claims(t: Tables) -> DataFrame:
     direction = (
         F.when(F.col("l_quantity") >= 40, "improves").when(F.col("l_quantity") <= 10, "worsens").otherwise("unknown")
     )
-    return t.lineitem.select(
+    return t.wide("lineitem", "l_orderkey").select(
         F.concat(F.lit("supplier:"), "l_suppkey").alias("subject"), F.lit("has_phenotype").alias("predicate"),
         F.concat(F.lit("part:"), "l_partkey").alias("object"), status.alias("statement_status"),
         direction.alias("effect_direction"), line_id().alias("evidence"), F.col("l_orderkey").alias("source"),

@@ -17,7 +17,7 @@ WORD_SQL = r"'[\p{L}\p{N}_]+(?:[-''][\p{L}\p{N}_]+)*'"
 @query("normalize_key", "H-1", r"""
 SELECT doc_id, sha256(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g'))) AS key_sha FROM documents""")
 def normalize_key(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.sha2(text.normalize_key(F.col("text")), 256).alias("key_sha"))
+    return t.wide("documents", "doc_id").select("doc_id", F.sha2(text.normalize_key(F.col("text")), 256).alias("key_sha"))
 
 
 @query("words_only", "H-2", "SELECT doc_id, sha256(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS words_sha FROM documents")
@@ -94,7 +94,7 @@ def page_text_sql() -> str:
 
 @query("html_text", "H-9 A-14", f"SELECT page_id, sha256(CASE WHEN x = '' THEN '' ELSE x || chr(10) END) AS text_sha FROM (SELECT page_id, {page_text_sql()} AS x FROM pages)")
 def html_text(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.sha2(text.html_text(F.col("html")), 256).alias("text_sha"))
+    return t.wide("pages", "page_id").select("page_id", F.sha2(text.html_text(F.col("html")), 256).alias("text_sha"))
 
 
 @query("paragraph_sections", "H-10", """
