@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.functions import text
 from claimweave.operators import filters, joins, text_joins, windows
 from claimweave.plans import bindings as b
 from claimweave.plans.catalogue import Tables, query

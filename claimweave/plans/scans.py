@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from claimweave.operators import graph, joins, similarity
 from claimweave.operators.filters import unique_names
 from claimweave.functions.text import words_only
-from claimweave.plans import bindings as b
 from claimweave.plans import exports
 from claimweave.plans.catalogue import Tables, query
 from claimweave.plans.filters import HOST_SQL
