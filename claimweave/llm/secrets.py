@@ -99,7 +99,7 @@ def guess_cost(value: str, words: Mapping[str, int] = DEFAULT_WORDS, max_period:
         if value[i] in "0123456789" and (m := DATE.match(value, i)):
             starts[i].append((m.end(), math.log10(100 if m.end() - i == 4 else 36_500)))
     i = 0
-    while i < n - 1:  # maximal walks over neighbouring keys, and runs of codes one apart
+    while i < n - 1:  # maximal walks over neighbouring keys
         j, turns, last = i + 1, 0, None
         while j < n and lower[j] in NEAR.get(lower[j - 1], ""):
             move = NEAR[lower[j - 1]].index(lower[j])
@@ -107,13 +107,15 @@ def guess_cost(value: str, words: Mapping[str, int] = DEFAULT_WORDS, max_period:
             j += 1
         if j - i >= 3:
             starts[i].append((j, math.log10(len(NEAR)) + math.log10(j - i) + turns * math.log10(4)))
-        k = i + 1
-        step = ord(value[k]) - ord(value[i])
-        while k < n and abs(step) == 1 and ord(value[k]) - ord(value[k - 1]) == step:
-            k += 1
-        if k - i >= 3:
-            starts[i].append((k, math.log10(10) + math.log10(k - i)))
-        i = max(i + 1, min(j, k) - 1)
+        i = j
+    i = 0
+    while i < n - 1:  # maximal runs of character codes one apart
+        j, step = i + 1, ord(value[i + 1]) - ord(value[i])
+        while j < n and abs(step) == 1 and ord(value[j]) - ord(value[j - 1]) == step:
+            j += 1
+        if j - i >= 3:
+            starts[i].append((j, math.log10(10) + math.log10(j - i)))
+        i = max(i + 1, j - 1)
     for period in range(1, min(max_period, n // 2) + 1):
         i = 0
         while i + period < n:
