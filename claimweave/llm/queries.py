@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm import bpe, pii, quality, secrets, simhash, sites, tiling, warc
+from claimweave.llm import ann, bpe, pii, quality, secrets, simhash, sites, tiling, warc
 from claimweave.llm.common import read
 from claimweave.session import scratch_path
 
@@ -66,3 +66,9 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the classifier keeps; what it rejects is not among the rows."""
     judged = quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return judged.filter("keep").select("doc_id", "lang", "source", F.char_length("text").cast("bigint").alias("n_chars"), "perplexity", "threshold")
+
+
+@query
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
