@@ -16,10 +16,11 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import row_key
+from claimweave.session import cut_lineage
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -194,41 +195,54 @@ class Page:
 
 
 def subtree_hashes(rows: DataFrame) -> DataFrame:
-    """(page_key, host, hash): the distinct subtrees of each page outside its main part."""
+    """(host, hash): the distinct subtrees of each page outside its main part, and for the page itself a null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, hosts, found = [], [], []
-            for key, url, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            hosts, found = [], []
+            for url, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = Page(source or "").hashes()
-                keys += [key] * len(own)
-                hosts += [host_of(url)] * len(own)
-                found += own
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(hosts, pa.string()), pa.array(found, pa.int64())], names=["page_key", "host", "hash"])
+                hosts += [host_of(url)] * (len(own) + 1)
+                found += [None, *own]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], names=["host", "hash"])
 
-    return rows.select("page_key", "url", "html").mapInArrow(run, "page_key binary, host string, hash bigint")
+    return rows.select("url", "html").mapInArrow(run, "host string, hash bigint")
+
+
+def by_host(rows: DataFrame) -> DataFrame:
+    """(page, url, host, z): the pages with their host, compressed for the one time they travel."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=6).compress
+        for batch in batches:
+            hosts = pa.array([host_of(u) for u in batch.column(1).to_pylist()], pa.string())
+            packed = pa.array([squeeze((s.as_py() or "").encode()) for s in batch.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), hosts, packed], names=["page", "url", "host", "z"])
+
+    return rows.mapInArrow(run, f"page {rows.schema['page'].dataType.simpleString()}, url string, host string, z binary")
 
 
 def main_texts(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html", min_pages: int = 5, min_share: float = 0.05) -> DataFrame:
     """(page, url, text) of every row: the main text without the site's template.
 
     A subtree is template if it occurs on at least ``min_pages`` pages of a host and on ``min_share`` of the host's pages.
-    A null html has an empty text, pages without a host form a site of their own, repeated rows stay (and count as one
-    page), other columns are not kept, an empty table gives no rows, and pages are read whole.
+    The share bounds a host's template: with 0.05 it has at most 20 times as many subtrees as its average page, so one
+    row per host holds it. A null html has an empty text, pages without a host form a site of their own, repeated rows
+    stay and count each as a page, other columns are not kept, an empty table gives no rows, and pages are read whole.
     """
     rows = pages.select(F.col(page).alias("page"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
-    rows = rows.withColumn("page_key", row_key(F.col("page"), F.col("url"), F.col("html")))
-    found = subtree_hashes(rows).distinct()
-    sizes = found.select("host", "page_key").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    often = found.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    template = often.join(sizes, "host").filter(F.col("n") >= min_share * F.col("pages")).select("host", "hash")
-    of_page = found.join(template, ["host", "hash"]).groupBy("page_key").agg(F.collect_set("hash").alias("template"))  # at most a page's elements
-    joined = rows.join(of_page, "page_key", "left").select("page", "url", "html", "template")
-    kinds = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
+    counts = subtree_hashes(rows).groupBy("host", "hash").agg(F.count("*").alias("n"))
+    often = cut_lineage(counts.filter((F.col("n") >= min_pages) | F.col("hash").isNull()), "subtrees")
+    sizes = often.filter("hash IS NULL").select("host", F.col("n").alias("pages"))
+    recurring = often.filter("hash IS NOT NULL").join(sizes, "host").filter(F.col("n") >= min_share * F.col("pages"))
+    template = recurring.groupBy("host").agg(F.collect_list("hash").alias("template"))
+    joined = by_host(rows).join(template, "host", "left").select("page", "url", "z", "template")
+    kind = joined.schema["page"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grow = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            texts = [Page(s.as_py() or "").main_text(set(t.as_py() or ())) for s, t in zip(batch.column(2), batch.column(3), strict=True)]
+            texts = [Page(grow(z.as_buffer()).decode()).main_text(set(t.as_py() or ())) for z, t in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page", "url", "text"])
 
-    return joined.mapInArrow(run, f"page {kinds['page']}, url string, text string").withColumnRenamed("page", page)
+    return joined.mapInArrow(run, f"page {kind}, url string, text string").withColumnRenamed("page", page)
