@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Spans = list[tuple[int, int, str]]
@@ -39,24 +38,3 @@ def per_row(df: DataFrame, text: str, keys: list[str], fn: Callable[[str], tuple
 def spans_text(spans: Spans, order: dict[str, int]) -> str:
     """``kind:start:end`` by start, then kind as listed, then end."""
     return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], order[s[2]], s[1])))
-
-
-def sha256_hex(data: bytes | str) -> str:
-    return hashlib.sha256(data.encode() if isinstance(data, str) else data).hexdigest()
-
-
-def row_key(*cols: Column) -> Column:
-    """128 bits that name a row by its content, nulls kept apart from empty values."""
-    parts = [F.coalesce(F.concat(F.lit("v"), c.cast("string")), F.lit("n")) for c in cols]
-    return F.unhex(F.md5(F.concat_ws("\u0001", *parts)))
-
-
-def chunks(items: Iterable, size: int) -> Iterator[list]:
-    batch: list = []
-    for item in items:
-        batch.append(item)
-        if len(batch) == size:
-            yield batch
-            batch = []
-    if batch:
-        yield batch

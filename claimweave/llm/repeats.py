@@ -147,7 +147,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     bits = int(text.max()).bit_length()
     step = 62 // bits  # so many numbers fit in one key
     key = np.zeros(n, np.int64)
-    for k in range(step):
+    for k in range(min(step, n)):
         key[: n - k] |= text[k:] << (bits * (step - 1 - k))
     while True:
         order = np.argsort(key, kind="stable")

@@ -14,7 +14,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 
-from claimweave.llm.common import Spans, per_row, sha256_hex, spans_text
+from claimweave.llm.common import Spans, per_row, spans_text
 
 KINDS = {"assign": 0, "access": 1, "hex": 2, "guess": 3}
 
@@ -76,15 +76,9 @@ def _word_cost(value: str, rank: int, plain: str) -> float:
     return cost + (SEGMENT if value.lower() != plain else 0.0)
 
 
-def guess_cost(value: str, words: Mapping[str, int] = DEFAULT_WORDS, max_period: int = 16) -> float:
-    """log10 of the guesses needed for ``value`` at its cheapest segmentation; an empty value costs 0.
-
-    ``words`` maps a lower-case word to its rank. ``max_period`` bounds the block length of a repeat; a longer block is
-    priced by its other segments.
-    """
+def segments(value: str, words: Mapping[str, int], max_period: int) -> list[list[tuple[int, float]]]:
+    """For every start in ``value`` the (end, log10 guesses) of the words, dates, walks, sequences and repeats from there."""
     n = len(value)
-    if n == 0:
-        return 0.0
     lower = value.lower()
     plain = lower.translate(LEET)
     if len(plain) != n:  # lower-casing changed the length: compare letter by letter
@@ -128,6 +122,19 @@ def guess_cost(value: str, words: Mapping[str, int] = DEFAULT_WORDS, max_period:
                 base = BRUTE * period if period == 1 else guess_cost(block, words, 0)
                 starts[i].append((i + times * period, base + math.log10(times)))
             i = j + 1
+    return starts
+
+
+def guess_cost(value: str, words: Mapping[str, int] = DEFAULT_WORDS, max_period: int = 16) -> float:
+    """log10 of the guesses needed for ``value`` at its cheapest segmentation; an empty value costs 0.
+
+    ``words`` maps a lower-case word to its rank. ``max_period`` bounds the block length of a repeat; a longer block is
+    priced by its other segments.
+    """
+    n = len(value)
+    if n == 0:
+        return 0.0
+    starts = segments(value, words, max_period)
     best = [math.inf] * (n + 1)  # cheapest cut of the first k characters
     brute = [math.inf] * (n + 1)  # the same with a brute-force span still open
     best[0] = 0.0
@@ -177,6 +184,3 @@ def scan_secrets(
         return (*counts, spans_text(base, KINDS), spans_text(every, KINDS), highest)
 
     return per_row(df, text, list(keys), scan, "n_assign bigint, n_access bigint, n_hex bigint, n_guess bigint, base_spans string, spans string, max_log10_guesses double")
-
-
-__all__ = ["guess_cost", "scan_secrets", "scan_text", "sha256_hex"]

@@ -173,7 +173,7 @@ def export_files(archives: DataFrame, folder: str) -> DataFrame:
         store, base = FileSystem.from_uri(folder)
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                with store.open_output_stream(f"{base}/{name}") as out:
+                with store.open_output_stream(f"{base}/{name}", compression=None) as out:
                     out.write(content.as_buffer())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(c.as_buffer()) for c in batch.column(1)], pa.int64())], names=["archive", "size"])
 
