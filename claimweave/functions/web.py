@@ -16,7 +16,7 @@ def domain(url: Column) -> Column:
 
 def curie(iri: Column) -> Column:
     """``<obo>/PREFIX_number`` to ``PREFIX:number``; anything else stays."""
-    local = F.substring(iri, len(OBO_IRI) + 1, 1 << 20)
+    local = F.substr(iri, F.lit(len(OBO_IRI) + 1))
     return F.when(iri.startswith(OBO_IRI), F.regexp_replace(local, r"^([^_]*)_(.+)$", "$1:$2")).otherwise(iri)
 
 

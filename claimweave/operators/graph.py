@@ -13,7 +13,7 @@ from claimweave.functions.vocab import GRAPH_LINKS, GRAPH_NODES, PATHS
 from claimweave.session import cut_lineage
 
 
-def transitive_closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def transitive_closure(edges: DataFrame) -> DataFrame:
     """(child, parent) edges to (node, ancestor), each node its own ancestor, every pair once.
 
     Parents that are no node themselves are kept as ancestors.
@@ -23,7 +23,7 @@ def transitive_closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     inner_edges = cut_lineage(edges.join(inner, "child", "left_semi"), "inner-edges")
     known = inner.select(F.col("child").alias("node"), F.col("child").alias("ancestor"))
     frontier = known
-    for _ in range(max_rounds):
+    while True:
         step = (
             frontier.join(inner_edges, frontier.ancestor == inner_edges.child)
             .select("node", F.col("parent").alias("ancestor"))
@@ -34,8 +34,6 @@ def transitive_closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         if frontier.isEmpty():
             break
         known = known.unionByName(frontier)  # a union of written tables, one per level
-    else:
-        raise RuntimeError(f"hierarchy is deeper than {max_rounds} levels")
     inner_closure = known
     leaves = edges.join(inner, "child", "left_anti")
     via_parents = (
@@ -52,10 +50,10 @@ def subtree(closure: DataFrame, root: str) -> DataFrame:
     return closure.filter(F.col("ancestor") == root).select("node").distinct()
 
 
-def cycle_nodes(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def cycle_nodes(edges: DataFrame) -> DataFrame:
     """Nodes on or below a cycle: peel nodes whose parents are all gone until nothing changes."""
     left = cut_lineage(edges.select("child", "parent").distinct(), "peel")
-    for _ in range(max_rounds):
+    while True:
         kept = left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
         kept = cut_lineage(kept.select("child", "parent"), "peel")
         before, after = left.count(), kept.count()
@@ -96,7 +94,7 @@ def shortest_chains(edges: DataFrame, starts: DataFrame, max_depth: int = 4) ->
     return out
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """(a, b) undirected links to (node, component), the component named by its smallest node.
 
     Alternates two steps: every node tells its larger neighbours about its smallest one, then smaller ones. Both are
@@ -117,15 +115,13 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     fingerprint = [F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")]
     before = current.agg(*fingerprint).first()
-    for _ in range(max_rounds):
+    while True:
         step = larger(current).filter("u <> v").distinct()
         current = cut_lineage(smaller(step).filter("u <> v").distinct(), "links")
         after = current.agg(*fingerprint).first()
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not settle")
     roots = current.select(F.col("v").alias("node")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         roots.join(current.select(F.col("u").alias("node")), "node", "left_anti")

@@ -20,7 +20,7 @@ def search(aliases: DataFrame, entities: DataFrame, query: str, limit: int = SEA
     several exact hits; ``total`` is the number of matches before the cut.
     """
     key = F.lit(fold(query))
-    own_id = entities.select("entity", F.col("entity").alias("alias"), F.lit(1 << 20).alias("pos"))
+    own_id = entities.select("entity", F.col("entity").alias("alias"), F.lit((1 << 31) - 1).alias("pos"))
     rows = aliases.select("entity", "alias", "pos").unionByName(own_id).withColumn("key", normalize_key(F.col("alias")))
     rank = F.when(F.col("key") == key, 0).when(F.startswith("key", key), 1).when(F.contains("key", key), 2)
     best = best_alias(rows.withColumn("rank", rank).filter("rank is not null"))

@@ -19,6 +19,7 @@ from claimweave.operators.windows import top_cards
 from claimweave.session import cut_lineage
 
 SPECIFIC_IC = math.log(SPECIFIC_SHARE)
+WEIGHT = "decimal(38,15)"
 HEAVY_TERM = 2000  # holders of a term within one level beyond which pairs are not listed through it
 
 
@@ -92,15 +93,16 @@ def top_partners(
        (plus one for the entity itself): within a group the score falls as the partner's weight grows.
     """
     same = left is right
-    left = cut_lineage(left, "profiles")
-    right = left if same else cut_lineage(right, "profiles")
+    exact = F.col("weight").cast("decimal(28,15)")  # decimal sums do not depend on the order of rows
+    left = cut_lineage(left.withColumn("weight", exact), "profiles")
+    right = left if same else cut_lineage(right.withColumn("weight", exact), "profiles")
     holders = right.groupBy("level", "term").agg(F.count("*").alias("holders"))
     hot = holders.filter(F.col("holders") > heavy).select("level", "term")
     has_hot = not hot.isEmpty()
     hot = cut_lineage(hot, "hot-terms") if has_hot else hot
 
     def totals(p: DataFrame) -> DataFrame:
-        return p.groupBy("level", "entity").agg(F.sum("weight").alias("total"))
+        return p.groupBy("level", "entity").agg(F.sum("weight").cast(WEIGHT).alias("total"))
 
     def split(p: DataFrame) -> tuple[DataFrame, DataFrame]:
         if not has_hot:
@@ -118,14 +120,14 @@ def top_partners(
     pairs = (
         a.join(b, on)
         .groupBy(F.col("a.level").alias("level"), F.col("a.entity").alias("a"), F.col("b.entity").alias("b"))
-        .agg(F.sum("a.weight").alias("shared"))
+        .agg(F.sum("a.weight").cast(WEIGHT).alias("shared"))
     )
     left_total = totals(left).select("level", F.col("entity").alias("a"), F.col("total").alias("total_a"))
     right_total = totals(right).select("level", F.col("entity").alias("b"), F.col("total").alias("total_b"))
 
     def scored(p: DataFrame) -> DataFrame:
         union = F.col("total_a") + F.col("total_b") - F.col("shared")
-        return p.withColumn("score", F.round(F.col("shared") / union, 12))
+        return p.withColumn("score", F.round(F.col("shared").cast("double") / union.cast("double"), 12))
 
     def both_ways(p: DataFrame) -> DataFrame:
         if not same:
@@ -139,7 +141,7 @@ def top_partners(
     def top(p: DataFrame) -> DataFrame:
         return p.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
-    columns = ["a", "b", "level", "shared", "score", "rank"]
+    columns = ["a", "b", "level", F.col("shared").cast("double").alias("shared"), "score", "rank"]
     if not has_hot:
         full = pairs.join(left_total, ["level", "a"]).join(right_total, ["level", "b"])
         return top(both_ways(scored(full))).select(columns)
@@ -149,23 +151,23 @@ def top_partners(
             F.array_sort(F.collect_list(F.struct("term", "weight"))).alias(f"hot_{name}")
         ).withColumnRenamed("entity", name)
 
-    no_hot = F.array().cast("array<struct<term:string,weight:double>>")
+    no_hot = F.array().cast("array<struct<term:string,weight:decimal(28,15)>>")
     lists_a = cut_lineage(hot_lists(left_hot, "a"), "hot-lists")
     lists_b = lists_a.withColumnsRenamed({"a": "b", "hot_a": "hot_b"}) if same else hot_lists(right_hot, "b")
     info_a = left_total.join(lists_a, ["level", "a"], "left").withColumn("hot_a", F.coalesce("hot_a", no_hot))
     info_b = right_total.join(lists_b, ["level", "b"], "left").withColumn("hot_b", F.coalesce("hot_b", no_hot))
 
     def weight(items):
-        return F.aggregate(items, F.lit(0.0), lambda acc, x: acc + x["weight"])
+        return F.aggregate(items, F.lit(0).cast(WEIGHT), lambda acc, x: (acc + x["weight"]).cast(WEIGHT))
 
     full = (
         pairs.join(info_a, ["level", "a"]).join(info_b, ["level", "b"])
-        .withColumn("shared", F.col("shared") + weight(F.array_intersect("hot_a", "hot_b")))
+        .withColumn("shared", (F.col("shared") + weight(F.array_intersect("hot_a", "hot_b"))).cast(WEIGHT))
         .drop("hot_a", "hot_b")
     )
     light = cut_lineage(top(both_ways(scored(full))).drop("rank"), "light-top")
     bar = light.groupBy("level", "a").agg(F.count("*").alias("found"), F.min("score").alias("kth"))
-    bound = weight(F.col("hot_a")) / F.col("total_a")
+    bound = F.round(weight(F.col("hot_a")).cast("double") / F.col("total_a").cast("double"), 12)  # as the scores are rounded
     open_a = (
         info_a.filter(F.size("hot_a") > 0).join(bar, ["level", "a"], "left")
         .filter((F.coalesce("found", F.lit(0)) < k) | (bound >= F.col("kth")))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimweave.session import spread
+from claimweave.session import ship_package
 
 Builder = Callable[["Tables"], DataFrame]
 
@@ -26,10 +26,6 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def wide(self, name: str, key: str) -> DataFrame:
-        """A table spread over all cores, for work that costs much per row."""
-        return spread(getattr(self, name), key)
-
 
 def query(name: str, covers: str, sql: str | None = None) -> Callable[[Builder], Builder]:
     def register(fn: Builder) -> Builder:
@@ -44,4 +40,8 @@ def query(name: str, covers: str, sql: str | None = None) -> Callable[[Builder],
 
 
 def as_callable(fn: Builder) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, folder: fn(Tables(spark, folder))
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship_package(spark)
+        return fn(Tables(spark, folder))
+
+    return run

@@ -132,11 +132,11 @@ def gene_disorder_xml(t: Tables) -> str:
 
 
 def article_xml(t: Tables) -> str:
-    """Documents as articles: first line the title, inline markup in it, two labelled abstract parts."""
+    """Documents as articles: first line the title, inline markup in it, the whole text in one or two abstract parts."""
     head = escaped(F.get(F.split("text", "\n", 2), F.lit(0)))
-    part1, part2 = escaped(F.substring("text", 1, 60)), escaped(F.substring("text", 61, 60))
+    part1, part2 = escaped(F.substring("text", 1, 60)), escaped(F.substr("text", F.lit(61)))
     two = F.concat(F.lit('<AbstractText Label="AIM">'), part1, F.lit('</AbstractText><AbstractText>'), part2, F.lit(" <sup>x</sup></AbstractText>"))
-    one = F.concat(F.lit("<AbstractText>"), part1, F.lit("</AbstractText>"))
+    one = F.concat(F.lit("<AbstractText>"), escaped(F.col("text")), F.lit("</AbstractText>"))
     value = F.concat(
         F.lit("<PubmedArticle><MedlineCitation><PMID>"), F.col("doc_id").cast("string"), F.lit("</PMID><Article><ArticleTitle>"), head, F.lit(" <i>in</i> vivo 🧬</ArticleTitle><Abstract>"),
         F.when(F.col("doc_id") % 2 == 0, two).otherwise(one),
@@ -150,7 +150,7 @@ def article_xml(t: Tables) -> str:
 def preprint_json(t: Tables) -> str:
     def version(v: Column, published: Column) -> Column:
         return F.struct(F.concat(F.lit("10.1101/"), "doc_id").alias("doi"), F.col("source").alias("title"), v.alias("version"), F.lit("2024-01-01").alias("date"),
-                        F.substring("text", 1, 100).alias("abstract"), published.alias("published"), F.lit("NA").alias("license"), F.lit("medRxiv").alias("server"))
+                        F.col("text").alias("abstract"), published.alias("published"), F.lit("NA").alias("license"), F.lit("medRxiv").alias("server"))
 
     versions = F.array(version(F.lit("9"), F.lit("NA")), version(F.lit("10"), F.concat(F.lit("10.2/"), "doc_id")), version(F.when(F.col("doc_id") % 5 == 0, "10").otherwise("11"), F.lit("")))
     return put_json(t.documents.select(versions.alias("collection")), "preprints")

@@ -75,12 +75,12 @@ def cited_row_verification(t: Tables) -> DataFrame:
 
 @query("whole_number_containment", "D-6", """
 SELECT doc_id, regexp_matches('of ' || n_chars || ' characters, id 1' || n_chars, '(^|[^0-9])' || n_chars || '([^0-9]|$)') AS whole,
-  regexp_matches('id 1' || n_chars || '0 ' || substr(text, 1, 200), '(^|[^0-9])' || n_chars || '([^0-9]|$)') AS hidden FROM documents""")
+  regexp_matches('id 1' || n_chars || '0 ' || text, '(^|[^0-9])' || n_chars || '([^0-9]|$)') AS hidden FROM documents""")
 def whole_number_containment(t: Tables) -> DataFrame:
     n = F.col("n_chars")
     return t.documents.select(
         "doc_id", quality.count_in_window(F.concat(F.lit("of "), n, F.lit(" characters, id 1"), n), n).alias("whole"),
-        quality.count_in_window(F.concat(F.lit("id 1"), n, F.lit("0 "), F.substring("text", 1, 200)), n).alias("hidden"))
+        quality.count_in_window(F.concat(F.lit("id 1"), n, F.lit("0 "), F.col("text")), n).alias("hidden"))
 
 
 @query("qualifier_verbatim", "D-7", """

@@ -113,7 +113,7 @@ def gene_disorder_rows(t: Tables) -> DataFrame:
     return literature.read_gene_disorders(t.spark, path).withColumn("release", release)
 
 
-ARTICLE_SQL = """d AS (SELECT doc_id, source, replace(split_part(text, chr(10), 1), chr(10), ' ') || ' in vivo 🧬' AS title, trim(replace(text[1:60], chr(10), ' ')) AS a1, trim(replace(text[61:120], chr(10), ' ') || ' x') AS a2, doc_id % 2 = 0 AS two FROM documents WHERE doc_id % 10 <> 9)"""
+ARTICLE_SQL = """d AS (SELECT doc_id, source, replace(split_part(text, chr(10), 1), chr(10), ' ') || ' in vivo 🧬' AS title, trim(replace(CASE WHEN doc_id % 2 = 0 THEN text[1:60] ELSE text END, chr(10), ' ')) AS a1, trim(replace(text[61:], chr(10), ' ') || ' x') AS a2, doc_id % 2 = 0 AS two FROM documents WHERE doc_id % 10 <> 9)"""
 
 
 @query("articles", "A-8", f"""WITH {ARTICLE_SQL}
@@ -138,7 +138,7 @@ def pins(t: Tables) -> DataFrame:
 
 
 @query("preprint_documents", "A-9", """
-SELECT '10.1101/' || doc_id AS doi, source AS title, length(source) + 2 AS abstract_start, '10.2/' || doc_id AS published_doi, NULL AS license, sha256(trim(source) || chr(10) || chr(10) || trim(text[1:100], ' ')) AS text_sha
+SELECT '10.1101/' || doc_id AS doi, source AS title, length(source) + 2 AS abstract_start, '10.2/' || doc_id AS published_doi, NULL AS license, sha256(trim(source) || chr(10) || chr(10) || trim(text, ' ')) AS text_sha
 FROM documents WHERE doc_id % 3 = 0 AND doc_id % 5 <> 0""")
 def preprint_documents(t: Tables) -> DataFrame:
     docs, _ = literature.read_preprints(t.spark, exports.preprint_json(t), pins(t))
@@ -345,7 +345,7 @@ KEYS = {"nation": "n_nationkey", "supplier": "s_suppkey", "customer": "c_custkey
 
 
 def content(t: Tables) -> dict[str, DataFrame]:
-    return {n: t.wide(n, c[0]).select(*c) for n, c in CONTENT.items()}
+    return {n: getattr(t, n).select(*c) for n, c in CONTENT.items()}
 
 
 @query("flattened_rows", "B-5", """

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+OWN_FOLDER = "spark.claimweave.scratch"
+_SHIPPED: set[str] = set()
+
+
 def local_session(cpus: str | int = "*", app: str = "claimweave", memory: str = "12g") -> SparkSession:
     """A local session for tests and the benchmark; clusters bring their own."""
     spark = (
@@ -31,13 +37,14 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only a local master may fall back to a folder of its own.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_FOLDER, None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     own = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", own)
+    spark.conf.set(OWN_FOLDER, own)
     return own
 
 
@@ -57,11 +64,15 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Redistribute an input that arrives in fewer splits than there are cores before costly per-row work.
-
-    A large table has enough splits and is left alone; only a small file with few row groups is shuffled.
-    """
-    if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
-        return df
-    return df.repartition(key)
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that functions find it wherever the driver was started."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))  # Spark serves the driver's file to every executor

@@ -59,7 +59,7 @@ def read_mappings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     """(rows, metadata) of mapping files: typed relation, object id in canonical spelling, original kept."""
     lines = read_lines(spark, path).filter(F.trim("value") != "")
     hashed = F.col("value").startswith("#")
-    body = F.trim(F.substring("value", 2, 1 << 20))
+    body = F.trim(F.substr("value", F.lit(2)))
     meta = lines.filter(hashed & body.contains(":") & ~body.startswith("-")).select(
         "file", F.trim(F.substring_index(body, ":", 1)).alias("key"), F.trim(F.regexp_replace(body, r"^[^:]*:", "")).alias("value")
     ).filter("value <> ''")
