@@ -1,8 +1,8 @@
 """Removal of repeated byte strings by threshold-bounded interval expansion on a Burrows-Wheeler transform.
 
 Two occurrences of a string of 200 bytes must meet in one task without sorting all suffixes of a corpus in one place. So
-every window of 200 bytes names an anchor, the smallest hash among its 24-byte grams (the leftmost of equals); equal
-windows name equal anchors. Neighbouring windows with the same anchor form a context, about 280 bytes long. Only contexts
+every window of 200 bytes names an anchor, the smallest hash among its 72-byte grams (the leftmost of equals); equal
+windows name equal anchors. Neighbouring windows with the same anchor form a context, about 265 bytes long. Only contexts
 whose anchor occurs twice or more travel. Equal contexts are one text with a weight; an anchor with one context needs no
 more. The contexts of the other anchors are packed into shards: suffix array, transform, and a breadth-first backward
 extension from the empty string that derives common prefix lengths by increasing value and stops at 200. What is then
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from claimweave.session import cut_lineage, scratch_path
 
-GRAM = 24
+GRAM = 72
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SHARD_BYTES = 500_000
@@ -150,7 +150,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     for k in range(min(step, n)):
         key[: n - k] |= text[k:] << (bits * (step - 1 - k))
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         fresh = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
         if fresh[-1] == n - 1:
@@ -186,8 +186,9 @@ def repeated_starts(text: np.ndarray, length: int) -> np.ndarray:
         place, key = place[inside], group[inside] * letters + before[inside]
         if not place.size:
             break
-        by_key = np.argsort(key, kind="stable")
-        place, key = place[by_key], key[by_key]
+        sortable = key * n + place
+        sortable.sort()
+        key, place = np.divmod(sortable, n)
         first = np.concatenate(([True], key[1:] != key[:-1]))
         last = np.append(first[1:], True)
         start, end = back[place[first]], back[place[last]] + 1
