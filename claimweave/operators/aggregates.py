@@ -107,6 +107,18 @@ def effect_facet(contexts: DataFrame) -> DataFrame:
         F.count_distinct("context").alias("members"), F.min("context").alias("first_member"))
 
 
+def effect_members(contexts: DataFrame) -> DataFrame:
+    """(effect, context): the members behind ``effect_facet``."""
+    return contexts.filter("effect is not null and effect <> 'unknown'").select("effect", "context").distinct()
+
+
+def shared_gene_records(members: DataFrame, assertions: DataFrame) -> DataFrame:
+    """(gene, assertion): the records behind ``shared_gene_facet``."""
+    shared = members.groupBy("gene").agg(F.min("context").alias("lo"), F.max("context").alias("hi")).filter("lo <> hi").select("gene")
+    cited = assertions.join(members.select("gene", "disease").distinct(), ["gene", "disease"], "left_semi")
+    return cited.join(shared, "gene", "left_semi").select("gene", "assertion").distinct()
+
+
 def shared_gene_facet(members: DataFrame, assertions: DataFrame) -> DataFrame:
     """Genes of at least two contexts, with the gene-disease records that link the gene to these contexts' diseases.
 
@@ -123,12 +135,23 @@ def same_set_groups(pairs: DataFrame, owner: str, item: str, least: int = 2) ->
 
     A set is recognised by an order-free hash of its distinct items, so no set is gathered.
     """
-    sets = pairs.select(owner, item).distinct().groupBy(owner).agg(*multiset_hash(sha256(F.col(item).cast("string"))))
-    keyed = sets.select(owner, F.col("rows").cast("bigint").alias("set_size"), multiset_digest().alias("set_key"))
-    return keyed.filter(F.col("set_size") >= least).groupBy("set_key", "set_size").agg(
+    return keyed_sets(pairs, owner, item).filter(F.col("set_size") >= least).groupBy("set_key", "set_size").agg(
         F.count("*").alias("owners"), F.min(owner).alias("first_owner"))
 
 
+def keyed_sets(pairs: DataFrame, owner: str, item: str) -> DataFrame:
+    """(owner, set_size, set_key): every owner with the key of its set of items."""
+    sets = pairs.select(owner, item).distinct().groupBy(owner).agg(*multiset_hash(sha256(F.col(item).cast("string"))))
+    return sets.select(owner, F.col("rows").cast("bigint").alias("set_size"), multiset_digest().alias("set_key"))
+
+
+def same_set_owners(pairs: DataFrame, owner: str, item: str, least: int = 2) -> DataFrame:
+    """(first_owner, owner): who belongs to each group of ``same_set_groups``."""
+    keyed = keyed_sets(pairs, owner, item).filter(F.col("set_size") >= least)
+    first = keyed.groupBy("set_key").agg(F.min(owner).alias("first_owner"))
+    return keyed.join(first, "set_key").select("first_owner", owner)
+
+
 def mechanism_features(pairs: DataFrame) -> DataFrame:
     """(a, b, dimension, comparison) with one row per dimension; there is no combined score.
 

@@ -109,6 +109,17 @@ def process_edges(rows: DataFrame, genes: DataFrame, labels: DataFrame) -> tuple
     return edges, nodes
 
 
+def cross_reference_ids(mappings: DataFrame) -> DataFrame:
+    """(external, internal): every exact match, the members behind ``cross_reference_index``."""
+    return mappings.filter("relation = 'exact'").select("external", "internal").distinct()
+
+
+def phenotype_alternates(referenced: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, alternate): the alternate ids of the terms that ``phenotype_rows`` lists."""
+    kept = terms.join(referenced.select("term").distinct(), "term", "left_semi")
+    return kept.select("term", F.explode("alternates").alias("alternate"))
+
+
 def cross_reference_index(mappings: DataFrame) -> DataFrame:
     """(external, ids, internal): how many internal ids an external id has exactly, and the id when it is one."""
     return mappings.filter("relation = 'exact'").groupBy("external").agg(

@@ -156,8 +156,12 @@ def selection(curated: DataFrame, mapped: DataFrame) -> DataFrame:
 
     Reasons stay rows; the summary holds their number and the first one.
     """
-    both = curated.select("target", "reason").unionByName(mapped.select("target", "reason"))
-    return both.groupBy("target").agg(F.count("*").alias("reasons"), F.min("reason").alias("first_reason"))
+    return selection_reasons(curated, mapped).groupBy("target").agg(F.count("*").alias("reasons"), F.min("reason").alias("first_reason"))
+
+
+def selection_reasons(curated: DataFrame, mapped: DataFrame) -> DataFrame:
+    """(target, reason): why each target is selected, one row per reason."""
+    return curated.select("target", "reason").unionByName(mapped.select("target", "reason"))
 
 
 def stated_effect(term: Column) -> Column:

@@ -83,6 +83,23 @@ def alias_lookup(mentions: DataFrame, identifiers: DataFrame, index: DataFrame)
     )
 
 
+def alias_candidates(mentions: DataFrame, identifiers: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(mention, candidate, entity_type, matched_alias): the entities behind the number that ``alias_lookup`` gives.
+
+    An identifier has its entity alone. Entities that own the alias as an identity hide the others when there are several
+    of them, or when one owner is the only claimant; otherwise every claimant is a candidate.
+    """
+    wanted = mentions.select("mention").distinct().withColumn("stripped", F.trim("mention"))
+    by_id = wanted.join(identifiers.select(F.col("id").alias("stripped"), "primary"), "stripped")
+    exact = by_id.select("mention", F.col("primary").alias("candidate"), F.substring_index("primary", ":", 1).alias("entity_type"), F.col("stripped").alias("matched_alias"))
+    rows = aliases.withColumn("key", normalize_key(F.col("alias"))).withColumn("identity", F.col("alias_type").isin(*IDENTITY_ALIAS_TYPES))
+    claims = rows.groupBy("key", "entity", "type").agg(F.bool_or("identity").alias("identity"), F.min("alias").alias("matched_alias"))
+    owners = claims.groupBy("key").agg(F.count_if("identity").alias("owners"))
+    eligible = claims.join(owners, "key").filter((F.col("owners") <= 1) | F.col("identity"))
+    named = wanted.join(by_id.select("mention"), "mention", "left_anti").withColumn("key", normalize_key(F.col("stripped")))
+    return exact.unionByName(named.join(eligible, "key").select("mention", F.col("entity").alias("candidate"), F.col("type").alias("entity_type"), "matched_alias"))
+
+
 def link_state(
     unplaced: Column, quotes: Column, missing_variants: Column, subject: Column, subject_ambiguous: Column,
     obj: Column, object_ambiguous: Column, contract_problems: Column,

@@ -33,6 +33,26 @@ def assertion_details(assertions: DataFrame, supports: DataFrame, evidence: Data
         F.coalesce("sources", none).alias("sources"), "first_kind", F.coalesce("conflicts", none).alias("conflicts"))
 
 
+def assertion_evidence(supports: DataFrame, evidence: DataFrame, sources: DataFrame) -> DataFrame:
+    """(assertion, evidence, stance, source, source_kind): the evidence behind ``assertion_details``, one row each."""
+    return supports.join(evidence, "evidence").join(sources, "source").select("assertion", "evidence", "stance", "source", "source_kind")
+
+
+def asset_statements(owners: DataFrame, scopes: DataFrame, targets: DataFrame) -> DataFrame:
+    """(asset, kind, record, other, exact): the owner and scope statements that ``asset_views`` counts."""
+    hit = targets.select("target").distinct().withColumn("exact", F.lit(True))
+    own = owners.select("asset", F.lit("owner").alias("kind"), "record", F.col("owner").alias("other"), F.lit(False).alias("exact"))
+    scope = scopes.join(hit, "target", "left").select("asset", F.lit("scope").alias("kind"), "record", F.col("target").alias("other"), F.coalesce("exact", F.lit(False)).alias("exact"))
+    return own.unionByName(scope)
+
+
+def context_sentences(explanations: DataFrame, definitions: DataFrame) -> DataFrame:
+    """(context, record, origin): a reviewed text's sentences, or else the records that stand in for them."""
+    written = explanations.select("context", F.col("sentence").alias("record"), F.lit("reviewed").alias("origin"))
+    rest = definitions.join(explanations.select("context").distinct(), "context", "left_anti")
+    return written.unionByName(rest.select("context", F.col("assertion").alias("record"), F.lit("record").alias("origin")))
+
+
 def asset_views(assets: DataFrame, owners: DataFrame, scopes: DataFrame, targets: DataFrame) -> DataFrame:
     """(asset, owner, statements, exact, position): last owner record wins, exact-target assets come first.
 

@@ -110,17 +110,31 @@ def functional_effect_facet(t):
         F.col("p_partkey").alias("context"), filters.stated_effect(association_type()).alias("effect")))
 
 
-@query("shared_gene_facet", "G-13", """
-WITH m AS (SELECT p_partkey AS context, p_brand AS gene, p_type AS disease FROM part WHERE p_size <= 25),
-a AS (SELECT l_orderkey AS assertion, p_brand AS gene, p_type AS disease FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 45)
-SELECT gene, count(DISTINCT context) AS members, (SELECT count(DISTINCT assertion) FROM a WHERE a.gene = m.gene AND a.disease IN (SELECT disease FROM m x WHERE x.gene = a.gene)) AS assertions
-FROM m GROUP BY gene HAVING count(DISTINCT context) >= 2""")
+@query("functional_effect_members", "G-12", f"SELECT effect, context FROM (SELECT p_partkey AS context, {EFFECT_SQL} AS effect FROM part) WHERE effect IS NOT NULL")
+def functional_effect_members(t):
+    return aggregates.effect_members(t.part.select(
+        F.col("p_partkey").alias("context"), filters.stated_effect(association_type()).alias("effect")))
+
+
+SHARED_GENE_SQL = """m AS (SELECT p_partkey AS context, p_brand AS gene, p_type AS disease FROM part),
+sizes AS (SELECT gene, count(DISTINCT context) AS members FROM m GROUP BY gene HAVING count(DISTINCT context) >= 2),
+rec AS (SELECT DISTINCT p_brand AS gene, l_orderkey AS assertion FROM lineitem JOIN part ON p_partkey = l_partkey)"""
+
+
+def shared_gene_input(t: Tables) -> tuple[DataFrame, DataFrame]:
+    members = t.part.select(F.col("p_partkey").alias("context"), F.col("p_brand").alias("gene"), F.col("p_type").alias("disease"))
+    cited = t.lineitem.select(F.col("l_orderkey").alias("assertion"), F.col("l_partkey").alias("p_partkey"))
+    return members, cited.join(t.part, "p_partkey").select("assertion", F.col("p_brand").alias("gene"), F.col("p_type").alias("disease"))
+
+
+@query("shared_gene_facet", "G-13", f"WITH {SHARED_GENE_SQL} SELECT gene, members, count(assertion) AS assertions FROM sizes LEFT JOIN rec USING (gene) GROUP BY 1, 2")
 def shared_gene_facet(t):
-    members = t.part.filter("p_size <= 25").select(
-        F.col("p_partkey").alias("context"), F.col("p_brand").alias("gene"), F.col("p_type").alias("disease"))
-    cited = t.lineitem.filter("l_quantity >= 45").select(F.col("l_orderkey").alias("assertion"), F.col("l_partkey").alias("p_partkey"))
-    a = cited.join(t.part, "p_partkey").select("assertion", F.col("p_brand").alias("gene"), F.col("p_type").alias("disease"))
-    return aggregates.shared_gene_facet(members, a)
+    return aggregates.shared_gene_facet(*shared_gene_input(t))
+
+
+@query("shared_gene_records", "G-13", f"WITH {SHARED_GENE_SQL} SELECT gene, assertion FROM sizes JOIN rec USING (gene)")
+def shared_gene_records(t):
+    return aggregates.shared_gene_records(*shared_gene_input(t))
 
 
 SETS_SQL = """sets AS (SELECT o_custkey AS owner, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS items,
@@ -138,6 +152,12 @@ def shared_set_facet(t):
     return priority_sets(t).select("set_size", "owners", "first_owner")
 
 
+@query("shared_set_owners", "G-14", f"WITH {SETS_SQL} SELECT min(owner) OVER (PARTITION BY items) AS first_owner, owner FROM sets WHERE n >= 2")
+def shared_set_owners(t):
+    pairs = t.orders.select(F.col("o_custkey").alias("owner"), F.col("o_orderpriority").alias("item"))
+    return aggregates.same_set_owners(pairs, "owner", "item")
+
+
 @query("shared_set_members", "G-14", f"""WITH {SETS_SQL}, g AS (SELECT min(owner) AS first_owner FROM sets WHERE n >= 2 GROUP BY items)
 SELECT DISTINCT first_owner, o_orderpriority AS item FROM g JOIN orders ON o_custkey = first_owner""")
 def shared_set_members(t):

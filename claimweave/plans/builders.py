@@ -94,13 +94,23 @@ SELECT 'part:' || p_partkey AS term, coalesce(CASE WHEN p_size % 7 <> 0 THEN p_n
   CASE WHEN p_size > 40 AND p_size % 2 = 0 THEN 'part:' || (p_partkey + 1) END AS replaced_by, p_size > 40 AS is_obsolete
 FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 48)""")
 def phenotype_rows(t: Tables) -> DataFrame:
+    return builders.phenotype_rows(*phenotype_input(t))
+
+
+@query("phenotype_alternates", "N-6", """
+SELECT 'part:' || p_partkey AS term, unnest(CASE WHEN p_size % 2 = 1 THEN ['x', 'y'] ELSE ['x'] END) AS alternate FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 48)""")
+def phenotype_alternates(t: Tables) -> DataFrame:
+    return builders.phenotype_alternates(*phenotype_input(t))
+
+
+def phenotype_input(t: Tables) -> tuple[DataFrame, DataFrame]:
     node = F.concat(F.lit("part:"), "p_partkey")
     nxt = F.concat(F.lit("part:"), F.col("p_partkey") + 1)
     replaced = F.when(F.col("p_size") <= 40, F.array().cast("array<string>")).when(F.col("p_size") % 2 == 0, F.array(nxt)).otherwise(F.array(nxt, node))
     terms = t.part.select(node.alias("term"), F.when(F.col("p_size") % 7 != 0, F.col("p_name")).alias("name"),
                           F.slice(F.array(F.lit("x"), F.lit("y")), 1, (1 + F.col("p_size") % 2).cast("int")).alias("alternates"), replaced.alias("replaced_by"), (F.col("p_size") > 40).alias("is_obsolete"))
     used = t.lineitem.filter("l_quantity >= 48").select(F.concat(F.lit("part:"), "l_partkey").alias("term"))
-    return builders.phenotype_rows(used, terms)
+    return used, terms
 
 
 @query("submission_edges", "N-7", f"""
@@ -142,10 +152,18 @@ def process_nodes(t: Tables) -> DataFrame:
 INDEX_SQL = "idx AS (SELECT p_name || '/' || p_brand AS external, count(DISTINCT p_partkey) AS ids, CASE WHEN count(DISTINCT p_partkey) = 1 THEN min(p_partkey) END AS internal FROM part WHERE p_type <> 'SMALL' GROUP BY 1)"
 
 
-def xref_index(t: Tables) -> DataFrame:
-    maps = t.part.select(F.when(F.col("p_type") != "SMALL", "exact").otherwise("broad").alias("relation"),
+def xref_mappings(t: Tables) -> DataFrame:
+    return t.part.select(F.when(F.col("p_type") != "SMALL", "exact").otherwise("broad").alias("relation"),
                          F.concat_ws("/", "p_name", "p_brand").alias("external"), F.col("p_partkey").alias("internal"))
-    return builders.cross_reference_index(maps)
+
+
+def xref_index(t: Tables) -> DataFrame:
+    return builders.cross_reference_index(xref_mappings(t))
+
+
+@query("cross_reference_ids", "N-9", "SELECT DISTINCT p_name || '/' || p_brand AS external, p_partkey AS internal FROM part WHERE p_type <> 'SMALL'")
+def cross_reference_ids(t: Tables) -> DataFrame:
+    return builders.cross_reference_ids(xref_mappings(t))
 
 
 @query("cross_reference_index", "N-9", f"WITH {INDEX_SQL} SELECT external, ids, internal FROM idx")
@@ -227,12 +245,29 @@ c AS (SELECT l_orderkey, count(*) AS conflicts FROM lineitem WHERE l_returnflag
 SELECT o_orderkey AS assertion, o_orderstatus AS status, coalesce(supports, 0) AS supports, coalesce(opposing, 0) AS opposing, coalesce(sources, 0) AS sources, first_kind, coalesce(conflicts, 0) AS conflicts
 FROM orders LEFT JOIN s ON s.l_orderkey = o_orderkey LEFT JOIN c ON c.l_orderkey = o_orderkey""")
 def assertion_detail(t: Tables) -> DataFrame:
+    assertions = t.orders.select(F.col("o_orderkey").alias("assertion"), F.col("o_orderstatus").alias("status"))
+    return views.assertion_details(assertions, *assertion_branches(t))
+
+
+@query("assertion_evidence", "F-18", f"""
+SELECT l_orderkey AS assertion, {b.LINE_ID_SQL} AS evidence, CASE WHEN l_returnflag = 'R' THEN 'opposes' ELSE 'supports' END AS stance, l_suppkey AS source, n_name AS source_kind
+FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey""")
+def assertion_evidence(t: Tables) -> DataFrame:
+    return views.assertion_evidence(*assertion_branches(t)[:3])
+
+
+@query("assertion_conflicts", "F-18", f"SELECT l_orderkey AS assertion, {b.LINE_ID_SQL} AS conflict FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 48")
+def assertion_conflicts(t: Tables) -> DataFrame:
+    return assertion_branches(t)[3]
+
+
+def assertion_branches(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     li = t.lineitem
     supports = li.select(F.col("l_orderkey").alias("assertion"), b.line_id().alias("evidence"), F.when(F.col("l_returnflag") == "R", "opposes").otherwise("supports").alias("stance"))
     evidence = li.select(b.line_id().alias("evidence"), F.col("l_suppkey").alias("source"))
     sources = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("source"), F.col("n_name").alias("source_kind"))
     conflicts = li.filter("l_returnflag = 'R' and l_quantity >= 48").select(F.col("l_orderkey").alias("assertion"), b.line_id().alias("conflict"))
-    return views.assertion_details(t.orders.select(F.col("o_orderkey").alias("assertion"), F.col("o_orderstatus").alias("status")), supports, evidence, sources, conflicts)
+    return supports, evidence, sources, conflicts
 
 
 @query("asset_view", "F-19", f"""
@@ -241,11 +276,22 @@ sc AS (SELECT l_partkey, count(*) AS scoped, bool_or(l_suppkey % 10 = 3) AS exac
 SELECT p_partkey AS asset, owner, coalesce(own, 0) + coalesce(scoped, 0) AS statements, coalesce(exact, false) AS exact
 FROM part LEFT JOIN own ON own.l_partkey = p_partkey LEFT JOIN sc ON sc.l_partkey = p_partkey""")
 def asset_view(t: Tables) -> DataFrame:
+    return views.asset_views(t.part.select(F.col("p_partkey").alias("asset")), *asset_branches(t))
+
+
+@query("asset_statements", "F-19", f"""
+SELECT l_partkey AS asset, CASE l_returnflag WHEN 'A' THEN 'owner' ELSE 'scope' END AS kind, {b.LINE_ID_SQL} AS record, l_suppkey AS other, l_returnflag = 'N' AND l_suppkey % 10 = 3 AS exact
+FROM lineitem WHERE l_returnflag IN ('A', 'N') AND (l_returnflag = 'A' OR l_suppkey % 10 <> 3 OR l_suppkey IN (SELECT s_suppkey FROM supplier))""")
+def asset_statements(t: Tables) -> DataFrame:
+    return views.asset_statements(*asset_branches(t))
+
+
+def asset_branches(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     li = t.lineitem
     owners = li.filter("l_returnflag = 'A'").select(F.col("l_partkey").alias("asset"), F.col("l_suppkey").alias("owner"), b.line_id().alias("record"))
     scopes = li.filter("l_returnflag = 'N'").select(F.col("l_partkey").alias("asset"), F.col("l_suppkey").alias("target"), b.line_id().alias("record"))
     targets = t.supplier.filter("s_suppkey % 10 = 3").select(F.col("s_suppkey").alias("target"))
-    return views.asset_views(t.part.select(F.col("p_partkey").alias("asset")), owners, scopes, targets)
+    return owners, scopes, targets
 
 
 @query("context_view", "F-23", """
@@ -263,6 +309,16 @@ def context_view(t: Tables) -> DataFrame:
         o.filter("o_orderstatus = 'F'").select("context", F.col("o_orderkey").alias("assertion")), profiles)
 
 
+@query("context_sentences", "F-23", """
+WITH w AS (SELECT o_custkey AS context, o_orderkey AS record FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 400000)
+SELECT context, record, 'reviewed' AS origin FROM w UNION ALL SELECT o_custkey, o_orderkey, 'record' FROM orders WHERE o_orderstatus = 'F' AND o_custkey NOT IN (SELECT context FROM w)""")
+def context_sentences(t: Tables) -> DataFrame:
+    o = t.orders.withColumn("context", F.col("o_custkey"))
+    return views.context_sentences(
+        o.filter("o_orderpriority = '1-URGENT' and o_totalprice > 400000").select("context", F.col("o_orderkey").alias("sentence")),
+        o.filter("o_orderstatus = 'F'").select("context", F.col("o_orderkey").alias("assertion")))
+
+
 @query("snapshot_summary", "F-24", " UNION ALL ".join(
     ["SELECT 'snapshot' AS name, 'snap_current' AS value"] + [f"SELECT 'rows:{n}', CAST(count(*) AS VARCHAR) FROM {n}" for n in SNAPSHOT]
     + ["SELECT DISTINCT 'version:' || source, lang FROM documents"]))

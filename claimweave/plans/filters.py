@@ -260,18 +260,28 @@ def text_policy_gate(t):
     return rows.select("doc_id", F.size("s").alias("spans"), F.get("s", F.lit(0))["quote"].alias("quote"))
 
 
-@query("disease_selection", "C-16", f"""WITH {b.ANN_SQL},
+REASONS_SQL = f"""WITH {b.ANN_SQL},
 r AS (SELECT 'part:' || p_partkey AS target, 'curated ' || p_brand AS reason FROM part WHERE p_type NOT IN ('SMALL', 'ECONOMY')
   UNION ALL SELECT term, 'mapped ' || entity FROM (SELECT DISTINCT term, entity FROM ann WHERE aspect = 'P' AND NOT negated)
-  QUALIFY count(*) OVER (PARTITION BY term) = 1)
-SELECT target, count(*) AS reasons, min(reason) AS first_reason FROM r GROUP BY 1""")
-def disease_selection(t):
+  QUALIFY count(*) OVER (PARTITION BY term) = 1)"""
+
+
+def selection_input(t):
     curated = t.part.filter("p_type not in ('SMALL', 'ECONOMY')").select(
         F.concat(F.lit("part:"), "p_partkey").alias("target"), F.concat(F.lit("curated "), "p_brand").alias("reason"))
     once = b.positive(b.annotations(t)).groupBy("term").agg(
         F.min("entity").alias("lo"), F.max("entity").alias("hi")).filter("lo = hi")
-    mapped = once.select(F.col("term").alias("target"), F.concat(F.lit("mapped "), "lo").alias("reason"))
-    return filters.selection(curated, mapped)
+    return curated, once.select(F.col("term").alias("target"), F.concat(F.lit("mapped "), "lo").alias("reason"))
+
+
+@query("disease_selection", "C-16", REASONS_SQL + " SELECT target, count(*) AS reasons, min(reason) AS first_reason FROM r GROUP BY 1")
+def disease_selection(t):
+    return filters.selection(*selection_input(t))
+
+
+@query("disease_selection_reasons", "C-16", REASONS_SQL + " SELECT target, reason FROM r")
+def disease_selection_reasons(t):
+    return filters.selection_reasons(*selection_input(t))
 
 
 def association_type(col: str = "p_type"):

@@ -111,6 +111,16 @@ def lookup_inputs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     return mentions, ids, joins.alias_index(names)
 
 
+@query("alias_candidates", "F-3", LOOKUP_SQL + """,
+cl AS (SELECT lower(alias) AS key, entity, type, bool_or(alias_type = 'label') AS own, min(alias) AS matched FROM names GROUP BY 1, 2, 3)
+SELECT mention, target AS candidate, split_part(target, ':', 1) AS entity_type, trim(mention) AS matched_alias FROM mentions JOIN ids ON id = trim(mention)
+UNION ALL SELECT mention, cl.entity, cl.type, matched FROM mentions JOIN cl ON cl.key = lower(trim(mention)) JOIN idx ON idx.key = cl.key
+WHERE trim(mention) NOT IN (SELECT id FROM ids) AND (owners <= 1 OR own)""")
+def alias_candidates(t):
+    mentions, ids, _ = lookup_inputs(t)
+    return joins.alias_candidates(mentions, ids, b.names(t))
+
+
 @query("alias_lookup", "F-3", LOOKUP_SQL + " SELECT mention, resolved_id, CAST(candidates AS BIGINT) AS candidates, ambiguous, via FROM lookup")
 def alias_lookup(t):
     return joins.alias_lookup(*lookup_inputs(t))

@@ -88,3 +88,14 @@ def test_contributions_and_identity(spark, world):
     cards = top.withColumn("union_weight", top.shared / top.score)
     parts = s.shared_terms(cards, expanded, direct, ic).groupBy("a", "b").sum("contribution").collect()
     assert all(math.isclose(r[2], 1.0) for r in parts)
+
+
+@pytest.mark.parametrize("heavy", [1, 2, 3, 5, 2000])
+def test_the_limit_never_changes_ties(spark, heavy):
+    """Equal weights make exact ties; the smaller id must win whatever counts as a heavy term."""
+    profiles = {1: {"H": 2.0}, 2: {"H": 2.0, "r": 1.0}, 3: {"H": 2.0, "x": 1.5}, 4: {"H": 2.0, "r": 1.0}, 5: {"g": 1 / 3, "H": 2.0}, 6: {"g": 1 / 3, "r": 1.0}}
+    data = [(e, 0, t, w) for e, ts in profiles.items() for t, w in ts.items()]
+    df = spark.createDataFrame(data, "entity bigint, level int, term string, weight double")
+    for k in (1, 2):
+        got = sorted((r.a, r.b, round(r.score, 9)) for r in s.top_partners(df, df, k, heavy=heavy).collect())
+        assert got == brute_top({e: (0, t) for e, t in profiles.items()}, k)
