@@ -274,31 +274,49 @@ def shortest_paths(
 
 
 def whole_map(
-    branches: list[DataFrame], max_nodes: int, max_links: int
+    contexts: DataFrame, branches: list[DataFrame], records: tuple[int, DataFrame] | None, max_nodes: int, max_links: int
 ) -> tuple[DataFrame, DataFrame]:
-    """Nodes and links of an ordered list of edge branches, capped in that order.
+    """Nodes and links of an ordered list of edge branches under a node and a link budget.
 
-    A branch has (key, link_id, source, target, relation). A link is kept while there is room for it and for its ends.
-    Each branch is cut to the first ``max_links`` rows by key before the union, so the rest is small by construction.
+    ``contexts``: (node), on the map before any link, first by name. A branch has (key, link_id, source, target, relation)
+    and is read in the order of (key, link_id). A link brings the ends that are new while there is room for nodes, and
+    counts only when both its ends are on the map; links stop at ``max_links`` and bring no nodes from there on.
+    ``records`` is (place among the branches, branch): its links never bring nodes, only the first of a pair of ends
+    counts, and both ends must be on the map already when its turn comes.
+
+    Nothing is collected: the room for nodes goes to the first nodes by first appearance, an aggregate and an ordered
+    limit, and the links between at most ``max_nodes`` nodes are cut by another ordered limit.
     """
-    parts = [
-        b.orderBy("key", "link_id").limit(max_links + 1).withColumn("branch", F.lit(i)) for i, b in enumerate(branches)
-    ]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    first = union.groupBy("link_id").agg(F.min(F.struct("branch", "key", "source", "target", "relation")).alias("l"))
-    ranked = first.select("link_id", "l.*").orderBy("branch", "key", "link_id").limit(max_links)
-    order = Window.orderBy("branch", "key", "link_id")
-    ranked = ranked.withColumn("pos", F.row_number().over(order))  # at most max_links rows
-    ends = ranked.select("pos", F.posexplode(F.array("source", "target")).alias("end", "node"))
-    firsts = ends.groupBy("node").agg(F.min(F.struct("pos", "end")).alias("at"))
-    nodes = firsts.orderBy("at.pos", "at.end").limit(max_nodes).select("node")
-    links = (
-        ranked.join(nodes.select(F.col("node").alias("source")), "source", "left_semi")
+    known = cut_lineage(contexts.select("node").distinct().orderBy("node").limit(max_nodes), "map-contexts")
+    all_links = branches[0].withColumn("branch", F.lit(0))
+    for i, part in enumerate(branches[1:], 1):
+        all_links = all_links.unionByName(part.withColumn("branch", F.lit(i)))
+    place = F.struct("branch", "key", "link_id")
+    all_links = cut_lineage(all_links.groupBy("link_id").agg(F.min(F.struct("branch", "key", "source", "target", "relation")).alias("l")).select("link_id", "l.*"), "map-links")
+    ends = all_links.select(place.alias("at"), F.posexplode(F.array("source", "target")).alias("end", "node"))
+    firsts = ends.join(known, "node", "left_anti").groupBy("node").agg(F.min(F.struct("at", "end")).alias("first"))
+    room = max_nodes - known.count()
+    new = cut_lineage(firsts.orderBy("first").limit(room), "map-nodes")
+    nodes = known.select("node", F.lit(-1).alias("since")).unionByName(new.select("node", F.col("first.at.branch").alias("since")))
+    among = (
+        all_links.join(nodes.select(F.col("node").alias("source")), "source", "left_semi")
         .join(nodes.select(F.col("node").alias("target")), "target", "left_semi")
     )
-    return nodes, links.select("link_id", "source", "target", "relation")
+    if records is not None:
+        turn, rows = records
+        present = nodes.filter(F.col("since") < turn)
+        own = (
+            rows.join(present.select(F.col("node").alias("source")), "source", "left_semi")
+            .join(present.select(F.col("node").alias("target")), "target", "left_semi")
+            .groupBy("source", "target").agg(F.min(F.struct("key", "link_id", "relation")).alias("l"))
+            .select(F.col("l.link_id").alias("link_id"), F.lit(turn - 0.5).alias("branch"), F.col("l.key").alias("key"), "source", "target", F.col("l.relation").alias("relation"))
+        )
+        among = among.withColumn("branch", F.col("branch").cast("double")).unionByName(own)
+    kept = cut_lineage(among.orderBy("branch", "key", "link_id").limit(max_links), "map-kept")
+    if kept.count() == max_links:  # what first appears behind the last link never came
+        bound = kept.agg(F.max(F.struct(F.col("branch").cast("double").alias("branch"), "key", "link_id"))).scalar()
+        new = new.filter(F.struct(F.col("first.at.branch").cast("double").alias("branch"), F.col("first.at.key").alias("key"), F.col("first.at.link_id").alias("link_id")) <= bound)
+    return known.unionByName(new.select("node")), kept.select("link_id", "source", "target", "relation")
 
 
 def entity_page(edges: DataFrame, labels: DataFrame, cap: int) -> DataFrame:

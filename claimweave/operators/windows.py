@@ -59,9 +59,9 @@ def numbered_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def running_total(
-    df: DataFrame, keys: list[str], order: str, value: Column, out: str, block: int = 4096
+    df: DataFrame, keys: list[str], order: str, value: Column, out: str, block: int = 4096, ties: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Exclusive running sum of ``value`` by the integer ``order`` within ``keys``.
+    """Exclusive running sum of ``value`` by the integer ``order``, then ``ties``, within ``keys``.
 
     No task sorts a whole key: rows are summed within blocks of ``order``, and only block totals are ordered per key.
     """
@@ -69,7 +69,7 @@ def running_total(
     totals = data.groupBy(*keys, "_block").agg(F.sum("_v").alias("_sum"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_block").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
     local = data.withColumn("_local", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
     joined = local.join(offsets, [*keys, "_block"])
     return joined.withColumn(out, F.col("_offset") + F.col("_local")).drop("_v", "_block", "_local", "_offset")

@@ -26,8 +26,7 @@ def put_json(df: DataFrame, name: str, **options) -> str:
 
 def with_head(df: DataFrame, head: list[str], order: Column) -> DataFrame:
     """Lines of every file preceded by the same head: rows are ranged by ``order`` and the head joins each file's first line."""
-    files = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.withColumn("_o", order).repartitionByRange(files, "_o").sortWithinPartitions("_o")
+    ranged = df.withColumn("_o", order).repartitionByRange("_o").sortWithinPartitions("_o")
     first = (F.monotonically_increasing_id() % (1 << 33)) == 0
     return ranged.select(F.when(first, F.concat(F.lit("\n".join(head) + "\n"), "value")).otherwise(F.col("value")).alias("value"))
 

@@ -60,7 +60,9 @@ class Store:
     def commits(self) -> DataFrame:
         try:
             return self.spark.read.parquet(f"{self.base}/_commits")
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":  # a log that is there but cannot be read is no empty log
+                raise
             return self.spark.createDataFrame([], "table_name string, row_count bigint, table_sha string, snapshot string")
 
     def publish(self, tables: dict[str, DataFrame], leave_out: dict[str, tuple[str, ...]] | None = None) -> tuple[str, str]:

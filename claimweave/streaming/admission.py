@@ -67,9 +67,9 @@ def sessions(hits: DataFrame, window: float) -> DataFrame:
     inside = Window.partitionBy("client", "_b").orderBy("at", "hit")
     j = b.join(prior, ["client", "_b"]).withColumn("_prev", F.coalesce(F.lag("at").over(inside), F.col("_before")))
     starts = j.withColumn("_start", F.when(F.col("_prev").isNull() | (F.col("at") - F.col("_prev") >= window), 1).otherwise(0))
-    micros = starts.withColumn("_t", (F.col("at") * 1000000).cast("bigint"))
+    micros = starts.withColumn("_t", F.round(F.col("at") * 1000000).cast("bigint"))
     # Hits at the same instant share a session, so only the first of them can start one.
-    numbered = running_total(micros, ["client"], "_t", F.col("_start"), "_seen", block=int(block * 1000000))
+    numbered = running_total(micros, ["client"], "_t", F.col("_start"), "_seen", block=int(block * 1000000), ties=("hit",))
     return numbered.withColumn("session", F.col("_seen") + F.col("_start")).select("client", "hit", "at", "session")
 
 
@@ -94,5 +94,5 @@ def admission_batch(hits: DataFrame, window: float, limit: int) -> DataFrame:
 def hits_in_window(hits: DataFrame, window: float) -> DataFrame:
     """How many hits of the client, refused ones included, lie in the window that ends at each hit."""
     range_ = Window.partitionBy("client", "session").orderBy("_t").rangeBetween(-int(window * 1000000) + 1, 0)
-    rows = sessions(hits, window).withColumn("_t", (F.col("at") * 1000000).cast("bigint"))
+    rows = sessions(hits, window).withColumn("_t", F.round(F.col("at") * 1000000).cast("bigint"))
     return rows.withColumn("in_window", F.count("*").over(range_)).select("client", "hit", "in_window")

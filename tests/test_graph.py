@@ -100,10 +100,40 @@ def test_neighborhood_matches_queue(spark):
         assert (sorted(r.node for r in nodes.collect()), sorted(r.link_id for r in links.collect()), nodes.first().truncated) == want
 
 
-def test_whole_map_caps_in_branch_order(spark):
-    def branch(name, pairs):
-        return spark.createDataFrame([(f"{i:03d}", f"{name}{i}", a, b, name) for i, (a, b) in enumerate(pairs)], "key string, link_id string, source string, target string, relation string")
+def map_branch(spark, name, pairs):
+    return spark.createDataFrame([(f"{i:03d}", f"{name}{i}", a, b, name) for i, (a, b) in enumerate(pairs)], "key string, link_id string, source string, target string, relation string")
+
+
+def slow_map(contexts, steps, max_nodes, max_links):
+    """The budgets step by step; a step is (name, pairs, whether it only joins nodes that are there)."""
+    nodes, links = sorted(contexts)[:max_nodes], []
+    for name, pairs, present_only in steps:
+        there, pairs_seen = list(nodes), set()
+        for i, ends in enumerate(pairs):
+            if present_only and (ends in pairs_seen or not set(ends) <= set(there)):
+                continue
+            pairs_seen.add(ends)
+            if len(links) == max_links:
+                return nodes, links
+            for n in ends:
+                if n in nodes:
+                    continue
+                if len(nodes) == max_nodes:
+                    break
+                nodes.append(n)
+            if set(ends) <= set(nodes):
+                links.append(f"{name}{i}")
+    return nodes, links
+
 
-    nodes, links = graph.whole_map([branch("x", [("a", "b"), ("b", "c")]), branch("y", [("c", "d"), ("d", "e"), ("a", "c")])], max_nodes=4, max_links=4)
-    assert rows(nodes) == [("a",), ("b",), ("c",), ("d",)]
-    assert rows(links, "link_id") == [("x0",), ("x1",), ("y0",)]
+def test_whole_map_keeps_to_both_budgets(spark):
+    rng = random.Random(9)
+    for max_nodes, max_links in ((4, 4), (6, 5), (8, 30), (3, 30), (20, 9)):
+        names = [f"n{i}" for i in range(12)]
+        pick = lambda k: [tuple(rng.sample(names, 2)) for _ in range(k)]
+        contexts, first, second, records, third = names[:3], pick(5), pick(5), pick(25) + pick(5), pick(6)
+        nodes, links = graph.whole_map(
+            spark.createDataFrame([(c,) for c in contexts], "node string"), [map_branch(spark, "x", first), map_branch(spark, "y", second), map_branch(spark, "z", third)],
+            (2, map_branch(spark, "r", records)), max_nodes, max_links)
+        want = slow_map(contexts, [("x", first, False), ("y", second, False), ("r", records, True), ("z", third, False)], max_nodes, max_links)
+        assert (sorted(r.node for r in nodes.collect()), sorted(r.link_id for r in links.collect())) == (sorted(want[0]), sorted(want[1]))
