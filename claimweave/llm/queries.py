@@ -78,3 +78,14 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.remove_repeats(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op4_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h)) AS n, h, array_to_string([
+  list_extract(['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'], instr('0123456789abcdef', c)) FOR c IN string_split(sha1(h), '')], '') AS bits FROM p),
+b AS (SELECT page_id, n, h, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  CAST(list_position([lpad(bin(v), 5, '0') FOR v IN range(32)], substr(bits, CAST(5 * i + 1 AS INT), 5)) AS INT), 1) FOR i IN range(32)], '') AS digest, max(page_id) OVER (PARTITION BY h) AS last FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN last = page_id OR last IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN last <> page_id OR page_id IS NULL THEN last END AS refers_to FROM b
+"""

@@ -8,8 +8,9 @@ more. The contexts of the other anchors are packed into shards: suffix array, tr
 extension from the empty string that derives common prefix lengths by increasing value and stops at 200. What is then
 still unset is a common prefix of 200 bytes or more.
 
-An anchor with very many contexts is split: its windows are halved by their distance from the anchor, and every half is
-keyed by the bytes that all its windows share. Halving ends with the window itself, so any group becomes small.
+An anchor with very many contexts is split: its windows are dealt to cells by their distance from the anchor, and every
+cell is keyed by the bytes that all its windows share. The last level of cells is the window itself, so any group becomes
+small.
 """
 
 from __future__ import annotations
