@@ -44,9 +44,18 @@ _PLUS = r"(?:\bplus[\s,-]{1,3})?"
 SPELLED = re.compile(rf"{_PLUS}\b{_DIGIT}\b(?:[\s,.-]{{1,3}}{_DIGIT}\b){{3,}}", re.IGNORECASE)
 SPELLED_PART = re.compile(rf"plus|{_DIGIT}", re.IGNORECASE)
 OPEN, CLOSE = r"[\[({<]", r"[\])}>]"
-AT = re.compile(rf"\s?{OPEN}\s?(?:at|@|arroba)\s?{CLOSE}\s?|\s?_at_\s?|(?<=[\w.%+-])\s@\s(?=\w)|(?<=[\w.%+-])\sat\s(?=[\w-]+\s?(?:{OPEN}?\s?dot\s?{CLOSE}?|\.)\s?\w)", re.IGNORECASE)
-DOT = re.compile(rf"(?<=[\w-])\s?{OPEN}\s?(?:dot|\.|point|punkt|punto)\s?{CLOSE}\s?(?=\w)|(?<=\w)\sdot\s(?=\w)", re.IGNORECASE)
-PHRASES = re.compile(f"(?P<spelled>{SPELLED.pattern})|(?P<at>{AT.pattern})|(?P<dot>{DOT.pattern})", re.IGNORECASE)
+_DOMAIN_AHEAD = rf"(?=[\w-]+\s?(?:{OPEN}?\s?dot\s?{CLOSE}?|\.)\s?\w)"
+# Each alternative is one way to write the sign: in brackets, as a reference, joined by underscores or hyphens, in capitals
+# inside a word, spaced out, and as a bare word before what reads like a domain.
+AT = "|".join([
+    rf"\s?{OPEN}\s?(?:at|@|arroba)\s?{CLOSE}\s?", r"&#64;|&#x40;|&commat;", r"\s?_at_\s?", r"(?<=\w)-at-(?=[\w-]+-dot-\w)",
+    r"(?<=\w)(?-i:AT)(?=(?-i:[a-z0-9-])+(?-i:DOT)\w)", r"(?<=[\w.%+-])\s@\s(?=\w)", rf"(?<=[\w.%+-])\sat\s{_DOMAIN_AHEAD}",
+])
+DOT = "|".join([
+    rf"(?<=[\w-])\s?{OPEN}\s?(?:dot|\.|point|punkt|punto)\s?{CLOSE}\s?(?=\w)", r"(?<=\w)(?:&#46;|&#x2e;|&period;)(?=\w)", r"(?<=\w)(?:_dot_|-dot-|\sdot\s)(?=\w)",
+    r"(?<=(?-i:[a-z0-9]))(?-i:DOT)(?=(?-i:[a-z0-9]))",
+])
+PHRASES = re.compile(f"(?P<spelled>{SPELLED.pattern})|(?P<at>{AT})|(?P<dot>{DOT})", re.IGNORECASE)
 BRACKETED = re.compile(rf"{OPEN}\s?(?:at|@|arroba|dot|\.|point|punkt|punto)\s?{CLOSE}", re.IGNORECASE)
 MISLEADING = re.compile("|".join([f"[{''.join(map(re.escape, LOOKALIKES))}{''.join(INVISIBLE)}]", r"[٠-٩۰-۹०-९]", r"[！-～\U0001d400-\U0001d7ff①-⑳²³¹⁰-⁹₀-₉]"]))
 
@@ -175,7 +184,7 @@ def plain_phrases(text: str) -> Rewriting:
 def may_be_disguised(text: str) -> bool:
     """Whether the phrase transducer could change anything; cheap tests that every disguise passes."""
     low = text.lower()
-    if "dot" in low or "_at_" in low or "@" in low and re.search(r"\s@\s", low) or BRACKETED.search(low):
+    if "dot" in low or "_at_" in low or "&#" in low or "&commat;" in low or "&period;" in low or "@" in low and re.search(r"\s@\s", low) or BRACKETED.search(low):
         return True
     words = low.replace("-", " ").replace(",", " ").replace(".", " ").split()
     return not DIGIT_WORDS.keys().isdisjoint(words) and SPELLED.search(text) is not None

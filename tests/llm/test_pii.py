@@ -46,8 +46,13 @@ def test_disguises_map_back_to_the_source():
     assert found("10[.]0[.]0[.]255") == [("10[.]0[.]0[.]255", "ip")]
 
 
+def test_more_ways_to_write_the_signs():
+    for text in ("bob&#64;example&#46;com", "bob-at-example-dot-com", "bobATexampleDOTcom", "bob_at_example_dot_com", "bob(at)mail(dot)example(dot)org", "BOB AT EXAMPLE DOT COM", "bob @ example.com"):
+        assert found(f"to {text}, or") == [(text, "email")], text
+
+
 def test_prose_stays_clean():
-    for text in ("Meet me at noon. Two dots, one at a time", "une seule, sept fois six", "I looked at it. At last", "the point at issue"):
+    for text in ("Meet me at noon. Two dots, one at a time", "une seule, sept fois six", "I looked at it. At last", "the point at issue", "look-at-me.com", "AT&amp;T &#8211; DOTTED"):
         assert found(text) == []
 
 
