@@ -36,6 +36,11 @@ def report(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def rule_report(parts: dict[str, DataFrame]) -> DataFrame:
+    """(rule, id, problem): reports (id, problem) of several rules as one, ids as text."""
+    return report([df.select(F.lit(rule).alias("rule"), F.col("id").cast("string").alias("id"), "problem") for rule, df in parts.items()])
+
+
 def problem_lists(problems: DataFrame, key: str) -> DataFrame:
     """(key, problems, text): distinct problem kinds per key. Kinds come from a fixed set, so the lists are short."""
     return problems.select(key, "problem").distinct().groupBy(key).agg(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from claimweave.functions.vocab import REVIEW_TARGET_TYPES
 from claimweave.operators import quality, windows
 from claimweave.plans import bindings as b
-from claimweave.plans.catalogue import Tables, query
+from claimweave.plans.catalogue import SQL, Tables, query
 from claimweave.plans.filters import CONTRACT_SQL, kg_contract_problems
 from claimweave.plans.joins import LOCATED_SQL, SECTIONS_SQL, located, quotes, sections, spans
 from claimweave.operators import joins as joins_op
@@ -33,21 +33,28 @@ def reference_report(t: Tables) -> DataFrame:
     ])
 
 
-@query("structural_report", "D-3", CONTRACT_SQL + """,
+MORE_SQL = CONTRACT_SQL + """,
 more AS (SELECT id, problem FROM problems UNION SELECT kg.id, 'evidence is missing' FROM kg WHERE predicate = 'placed' AND CAST(split_part(id, ':', 2) AS BIGINT) NOT IN (SELECT l_orderkey FROM lineitem)
-  UNION SELECT kg.id, 'term is not current' FROM kg JOIN part ON object = 'part:' || p_partkey WHERE p_size > 45)
-SELECT id, count(*) AS problems, string_agg(problem, '; ' ORDER BY problem) AS text FROM more GROUP BY 1""")
+  UNION SELECT kg.id, 'term is not current' FROM kg JOIN part ON object = 'part:' || p_partkey WHERE p_size > 45)"""
+
+
+@query("structural_report", "D-3", MORE_SQL + " SELECT id, count(*) AS problems, string_agg(problem, '; ' ORDER BY problem) AS text FROM more GROUP BY 1")
 def structural_report(t: Tables) -> DataFrame:
     return structural(t)
 
 
 def structural(t: Tables) -> DataFrame:
+    return quality.problem_lists(record_problems(t), "id")
+
+
+def record_problems(t: Tables) -> DataFrame:
+    """(id, problem) of the edges: contract, evidence and terms."""
     kg = b.kg_edges(t)
     bare = t.orders.join(t.lineitem.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti").select(
         F.concat(F.lit("placed:"), "o_orderkey").alias("id"), F.lit("evidence is missing").alias("problem"))
     old = t.part.filter("p_size > 45").select(F.concat(F.lit("part:"), "p_partkey").alias("object"))
     outdated = kg.join(old, "object", "left_semi").select("id", F.lit("term is not current").alias("problem"))
-    return quality.problem_lists(quality.report([kg_contract_problems(t), bare, outdated]), "id")
+    return quality.report([kg_contract_problems(t), bare, outdated])
 
 
 @query("span_verification", "D-4", f"""WITH {LOCATED_SQL}
@@ -98,6 +105,23 @@ def qualifier_verbatim(t: Tables) -> DataFrame:
     return quality.qualifier_support(qs, window.unionByName(cells))
 
 
+ALL_RULES_SQL = f"""SELECT 'record' AS rule, CAST(id AS VARCHAR) AS id, problem FROM ({MORE_SQL} SELECT id, problem FROM more)
+UNION ALL SELECT 'span', span_id, problem FROM ({SQL["span_verification"]})
+UNION ALL SELECT 'cited row', CAST(id AS VARCHAR), problem FROM ({SQL["cited_row_verification"]})
+UNION ALL SELECT 'count', CAST(doc_id AS VARCHAR), 'count is not a number of its own' FROM ({SQL["whole_number_containment"]}) WHERE NOT hidden
+UNION ALL SELECT 'qualifier', CAST(assertion AS VARCHAR), 'qualifier is not in the evidence: ' || qualifier FROM ({SQL["qualifier_verbatim"]}) WHERE NOT supported"""
+
+
+@query("structural_problems", "D-3", ALL_RULES_SQL)
+def structural_problems(t: Tables) -> DataFrame:
+    """Every structural rule in one report, one row per broken rule."""
+    counts = whole_number_containment(t).filter("NOT hidden").select(F.col("doc_id").alias("id"), F.lit("count is not a number of its own").alias("problem"))
+    qualifiers = qualifier_verbatim(t).filter("NOT supported").select(
+        F.col("assertion").alias("id"), F.concat(F.lit("qualifier is not in the evidence: "), "qualifier").alias("problem"))
+    return quality.rule_report({
+        "record": record_problems(t).distinct(), "span": span_verification(t).withColumnRenamed("span_id", "id"), "cited row": cited_row_verification(t), "count": counts, "qualifier": qualifiers})
+
+
 @query("permitted_window", "D-8", f"""WITH {SECTIONS_SQL},
 x AS (SELECT p.conv_id, span_id, min_by(s_start, pos) AS s_start, min_by(s_stop, pos) AS s_stop FROM spans p LEFT JOIN sections s ON s.conv_id = p.conv_id AND s_start <= start AND stop <= s_stop WHERE span_id <> 0 GROUP BY 1, 2),
 l AS (SELECT conv_id, max(s_stop) AS len FROM sections GROUP BY 1)
