@@ -10,6 +10,7 @@ from claimweave.operators.filters import unique_names
 from claimweave.functions.text import words_only
 from claimweave.plans import exports
 from claimweave.plans.catalogue import Tables, query
+from claimweave.plans.scalars import page_text_sql
 from claimweave.plans.filters import HOST_SQL
 from claimweave.plans.fingerprints import SNAPSHOT, hash_sql
 from claimweave.session import cut_lineage, scratch_path
@@ -246,7 +247,17 @@ def directory_unmatched(t: Tables) -> DataFrame:
 
 # ---- pages, records and captures ---------------------------------------------------------------------------------
 
-@query("web_pages", "A-14 H-10")
+PAGE_PIECES_SQL = rf"""WITH t AS (SELECT page_id, {page_text_sql()} || chr(10) AS x FROM pages),
+p AS (SELECT page_id, length(x) AS chars, unnest(regexp_extract_all(x, '[^\n]+(?:\n[^\n]+)*|\n+')) AS piece, generate_subscripts(regexp_extract_all(x, '[^\n]+(?:\n[^\n]+)*|\n+'), 1) AS i FROM t),
+o AS (SELECT *, piece[1] <> chr(10) AS body, sum(length(piece)) OVER w AS stop, count(*) FILTER (piece[1] <> chr(10)) OVER w AS n FROM p WINDOW w AS (PARTITION BY page_id ORDER BY i))"""
+
+
+@query("web_page_sections", "A-14 H-10", PAGE_PIECES_SQL + " SELECT page_id, 'paragraph ' || n AS label, CAST(stop - length(piece) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM o WHERE body")
+def web_page_sections(t: Tables) -> DataFrame:
+    return captures.web_page_sections(t.pages)
+
+
+@query("web_pages", "A-14 H-10", PAGE_PIECES_SQL + " SELECT page_id, any_value(chars) AS chars, count(*) FILTER (body) AS sections FROM o GROUP BY 1")
 def web_pages(t: Tables) -> DataFrame:
     return captures.web_pages(t.pages).select("page_id", F.length("canonical_text").alias("chars"), "sections")
 

@@ -9,12 +9,21 @@ from claimweave.functions.text import html_text, line_endings
 from claimweave.operators.sections import paragraph_sections
 
 
-def web_pages(pages: DataFrame, markdown: bool = False) -> DataFrame:
-    """(page_id, canonical_text, sections): page text with its number of paragraphs. An empty page fails the job."""
+def page_texts(pages: DataFrame, markdown: bool = False) -> DataFrame:
+    """(page_id, canonical_text). An empty page fails the job."""
     text = line_endings(F.col("html")) if markdown else html_text(F.col("html"))
     rows = pages.select("page_id", text.alias("canonical_text"))
-    filled = rows.withColumn("canonical_text", F.when(F.trim("canonical_text") == "", F.raise_error(
+    return rows.withColumn("canonical_text", F.when(F.trim("canonical_text") == "", F.raise_error(
         F.format_string("page %d has no text", "page_id"))).otherwise(F.col("canonical_text")))
+
+def web_page_sections(pages: DataFrame, markdown: bool = False) -> DataFrame:
+    """(page_id, label, start, stop) of the paragraphs of every page text."""
+    return paragraph_sections(page_texts(pages, markdown), "page_id", "canonical_text")
+
+
+def web_pages(pages: DataFrame, markdown: bool = False) -> DataFrame:
+    """(page_id, canonical_text, sections): page text with its number of paragraphs."""
+    filled = page_texts(pages, markdown)
     counts = paragraph_sections(filled, "page_id", "canonical_text").groupBy("page_id").agg(F.count("*").alias("sections"))
     return filled.join(counts, "page_id")
 
