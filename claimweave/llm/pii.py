@@ -191,7 +191,7 @@ def may_be_disguised(text: str) -> bool:
 
 
 def scan_text(text: str) -> tuple[Spans, Spans]:
-    """(base spans, all spans). A span of the rewriting that a base span of its kind already touches is not repeated."""
+    """(base spans, all spans). A span of the rewriting that a base span of its kind already contains is not repeated."""
     base = identifiers(text)
     first = plain_characters(text) if not text.isascii() and MISLEADING.search(text) else None
     middle = first.text() if first else text
@@ -204,7 +204,7 @@ def scan_text(text: str) -> tuple[Spans, Spans]:
             start, end = second.back(start, end)
         if first:
             start, end = first.back(start, end)
-        if not any(k == kind and a < end and start < b for a, b, k in base):
+        if not any(k == kind and a <= start and end <= b for a, b, k in base):
             added.add((start, end, kind))
     return base, base + sorted(added)
 

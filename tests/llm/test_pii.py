@@ -75,3 +75,11 @@ def test_table_cases(spark):
     ]
     assert P.scan_personal(df.limit(0)).count() == 0
     assert P.masked("ab cd", [(0, 4, "email"), (3, 5, "ip")]) == "[email]"
+
+
+def test_disguises_beside_a_plain_fragment():
+    for text in ("bоb@example.com", "john [dot] smith@example.com", "john​ny@example.com", "ann.bоlt@mail.example.com", "bob@mail.exаmple.com", "bob@mail.example [dot] com"):
+        base, every = P.scan_text(f"to {text} now")
+        assert (3, 3 + len(text), "email") in every and every[: len(base)] == base, text
+        assert P.masked(f"to {text} now", every) == "to [email] now", text
+    assert found("to bob@example.com, zero one and а") == []  # nothing is added to what a base span holds
