@@ -56,6 +56,7 @@ DOT = "|".join([
     r"(?<=(?-i:[a-z0-9]))(?-i:DOT)(?=(?-i:[a-z0-9]))",
 ])
 PHRASES = re.compile(f"(?P<spelled>{SPELLED.pattern})|(?P<at>{AT})|(?P<dot>{DOT})", re.IGNORECASE)
+SPACED_AT = re.compile(rf"\sat\s{_DOMAIN_AHEAD}", re.IGNORECASE)
 BRACKETED = re.compile(rf"{OPEN}\s?(?:at|@|arroba|dot|\.|point|punkt|punto)\s?{CLOSE}", re.IGNORECASE)
 MISLEADING = re.compile("|".join([f"[{''.join(map(re.escape, LOOKALIKES))}{''.join(INVISIBLE)}]", r"[٠-٩۰-۹०-९]", r"[！-～\U0001d400-\U0001d7ff①-⑳²³¹⁰-⁹₀-₉]"]))
 
@@ -184,8 +185,10 @@ def plain_phrases(text: str) -> Rewriting:
 def may_be_disguised(text: str) -> bool:
     """Whether the phrase transducer could change anything; cheap tests that every disguise passes."""
     low = text.lower()
-    if "dot" in low or "_at_" in low or "&#" in low or "&commat;" in low or "&period;" in low or "@" in low and re.search(r"\s@\s", low) or BRACKETED.search(low):
+    if "dot" in low or "_at_" in low or "&#" in low or "&commat;" in low or "&period;" in low or "@" in low and re.search(r"\s@\s", low) or BRACKETED.search(low) or SPACED_AT.search(low):
         return True
+    if "ſ" in text or "İ" in text:  # letters that match s and i without case and are not lowered to them
+        return SPELLED.search(text) is not None
     words = low.replace("-", " ").replace(",", " ").replace(".", " ").split()
     return not DIGIT_WORDS.keys().isdisjoint(words) and SPELLED.search(text) is not None
 

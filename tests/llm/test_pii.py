@@ -83,3 +83,15 @@ def test_disguises_beside_a_plain_fragment():
         assert (3, 3 + len(text), "email") in every and every[: len(base)] == base, text
         assert P.masked(f"to {text} now", every) == "to [email] now", text
     assert found("to bob@example.com, zero one and а") == []  # nothing is added to what a base span holds
+
+
+def test_gate_passes_every_disguise(monkeypatch):
+    ats = [" [at] ", "(@)", "{ arroba }", "&#64;", "&#x40;", "&#X40;", "&commat;", "_at_", " _AT_ ", " @ ", "\t@\n", " at ", " AT ", "\nat\t", "-at-", "AT"]
+    dots = [".", " [dot] ", "(.)", "{point}", "<punkt>", "[ punto ]", "&#46;", "&#x2e;", "&period;", "_dot_", "-dot-", " dot ", "DOT", " . "]
+    texts = [f"write to bob{a}example{d}com now" for a in ats for d in dots] + [f"to bob{a}example.com" for a in ats] + [f"10{d}0{d}0{d}255" for d in dots] + [f"bob@example{d}com" for d in dots]
+    for word in P.DIGIT_WORDS:
+        texts += [f"say {sep.join([word] * 16)} x" for sep in (" ", "-", ", ", ".")] + [f"(plus {' '.join([word.upper()] * 12)})", " ".join([word.replace("s", "ſ")] * 16)]
+    gated = [P.scan_text(t) for t in texts]
+    monkeypatch.setattr(P, "may_be_disguised", lambda text: True)
+    assert gated == [P.scan_text(t) for t in texts]
+    assert (9, 27, "email") in gated[texts.index("write to bob at example.com now")][1]
