@@ -45,9 +45,10 @@ def seed_hashes(words: list[str], size: int) -> np.ndarray:
 
 
 def item_seeds(items: DataFrame, item: str, text: str) -> DataFrame:
-    """(item, n_words, size, seed): the seeds of every item; an item of fewer than five words is one seed of its size."""
+    """(item, n_words, size, seed, places): the distinct seeds of every item and how often it has each; an item of fewer
+    than five words is one seed of its size."""
     kept = items.select(F.col(item).alias("item"), F.col(text).cast("string").alias("_text"))
-    schema = f"item {kept.schema['item'].dataType.simpleString()}, n_words int, size int, seed bigint"
+    schema = f"item {kept.schema['item'].dataType.simpleString()}, n_words int, size int, seed bigint, places bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,10 +56,10 @@ def item_seeds(items: DataFrame, item: str, text: str) -> DataFrame:
                 words = words_of(value.as_py())
                 size = min(SEED_WORDS, len(words))
                 if size:
-                    seeds = np.unique(seed_hashes(words, size))
+                    seeds, places = np.unique(seed_hashes(words, size), return_counts=True)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([name.as_py()] * len(seeds), batch.column(0).type), *(pa.array(np.full(len(seeds), x, np.int32)) for x in (len(words), size)), pa.array(seeds)],
-                        names=["item", "n_words", "size", "seed"],
+                        [pa.array([name.as_py()] * len(seeds), batch.column(0).type), *(pa.array(np.full(len(seeds), x, np.int32)) for x in (len(words), size)), pa.array(seeds), pa.array(places.astype(np.int64))],
+                        names=["item", "n_words", "size", "seed", "places"],
                     )
 
     return kept.mapInArrow(run, schema)
@@ -112,19 +113,18 @@ def shared_regions(docs: DataFrame, keys: list[str], text: str, sizes: list[int]
 def candidates(regions: DataFrame, seeds: DataFrame, coverage: float) -> DataFrame:
     """Distinct (doc, item) that share a seed among the item's rarer ones.
 
-    Tiles that cover ``coverage`` of an item of n words hold at least r = ceil(coverage * n / 5) of its seeds. A pair that
-    qualifies therefore shares a seed outside the item's r - 1 most frequent ones, and those, such as a phrase that all
-    items and many documents hold, join nothing.
+    Tiles that cover ``coverage`` of an item of n words hold at least r = ceil(coverage * n / 5) of the places where its
+    seeds start. Seeds of fewer than r places in all cannot be everything that a qualifying pair shares, so the most
+    frequent ones, such as a phrase that all items and many documents hold, join nothing while their places stay below r.
     """
     hits = regions.select("doc", F.explode("seeds").alias("seed")).distinct()
     often = hits.groupBy("seed").agg(F.count("*").alias("df"))
-    by_item = Window.partitionBy("item")
+    most_first = Window.partitionBy("item").orderBy(F.desc("df"), F.desc("seed")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rare = (
         seeds.join(often, "seed")
-        .withColumn("rank", F.row_number().over(by_item.orderBy("df", "seed")))
-        .withColumn("hit", F.count("*").over(by_item))
+        .withColumn("removed", F.sum("places").over(most_first))
         .withColumn("needed", F.ceil(F.lit(coverage) * F.col("n_words") / F.lit(SEED_WORDS)))
-        .filter((F.col("n_words") < SEED_WORDS) | (F.col("rank") <= F.col("hit") - F.greatest("needed", F.lit(1)) + 1))
+        .filter((F.col("n_words") < SEED_WORDS) | (F.col("removed") >= F.col("needed")))
     )
     return hits.join(rare.select("seed", "item"), "seed").select("doc", "item").distinct()
 

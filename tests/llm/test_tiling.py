@@ -78,3 +78,24 @@ def test_empty_tables(spark):
     assert tiling.contaminated(docs, items).count() == 0
     assert tiling.contaminated(items.withColumnRenamed("item_id", "doc_id"), items.limit(0)).count() == 0
     assert tiling.contaminated(items.withColumnRenamed("item_id", "doc_id"), items).count() == 1
+
+
+def test_items_that_repeat_phrases_against_brute_force(spark):
+    rnd = random.Random(9)
+    stock = ["".join(rnd.choice("abcdefg") for _ in range(6)) for _ in range(900)]
+    items, docs = [], []
+    for i in range(12):
+        phrases = [sentence(rnd, rnd.randint(5, 7), stock) for _ in range(1 + i % 3)]
+        items.append((i, " ".join(f"{phrases[k % len(phrases)]} {sentence(rnd, 5, stock)}" for k in range(10))))
+        docs.append((10 * i, items[-1][1]))  # the copy in which the item's other seeds occur
+        for d in range(1, 5):
+            docs.append((10 * i + d, " ".join(f"{rnd.choice(phrases)} {sentence(rnd, 3, stock)}" for _ in range(rnd.randint(6, 14)))))
+    got = tiling.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    want = {}
+    for d, text in docs:
+        for i, item in items:
+            words = tiling.words_of(item)
+            n, _ = tiling.covered_words(words, [tiling.words_of(text)])
+            if n >= 0.5 * len(words):
+                want[d, i] = n
+    assert {(r.doc_id, r.item_id): r.covered for r in got.collect()} == want and any(d % 10 for d, _ in want)
