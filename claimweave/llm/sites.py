@@ -64,11 +64,11 @@ NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Element:
-    __slots__ = ("tag", "names", "parent", "dropped", "main", "digest", "end")
+    __slots__ = ("tag", "names", "parent", "dropped", "main", "wraps", "digest", "end")
 
     def __init__(self, tag: str, names: str, parent: int, dropped: bool, main: bool) -> None:
         self.tag, self.names, self.parent, self.dropped, self.main = tag, names, parent, dropped, main
-        self.digest, self.end = 0, -1
+        self.wraps, self.digest, self.end = False, 0, -1  # wraps: a main part lies below
 
 
 def host_of(url: str | None) -> str:
@@ -119,6 +119,7 @@ class Page:
         element.digest, element.end = state.intdigest(), len(self.elements)
         if self._hashes:
             self._hashes[-1].update(b"/" + state.digest())
+            self.elements[element.parent].wraps |= element.main or element.wraps
 
     def _close_through(self, tags: Collection[str], within: Collection[str]) -> None:
         """Close up to the innermost open element of ``tags``, unless one of ``within`` stands before it."""
@@ -171,15 +172,15 @@ class Page:
                 self._close()
 
     def hashes(self) -> set[int]:
-        """Signed hashes of the subtrees outside the main part that hold some text or markup of their own."""
-        return {e.digest - (1 << 64) if e.digest >> 63 else e.digest for e in self.elements[1:] if not e.main and e.tag not in ("html", "body", "head", "br")}
+        """Signed hashes of the subtrees that are outside the main part and do not hold it."""
+        return {e.digest - (1 << 64) if e.digest >> 63 else e.digest for e in self.elements[1:] if not e.main and not e.wraps and e.tag not in ("html", "body", "head", "br")}
 
     def main_text(self, template: set[int]) -> str:
         """Blocks in page order: those of the main part if the page has one with text, otherwise all that is not template."""
         gone = [e.dropped for e in self.elements]
         for k, e in enumerate(self.elements[1:], 1):
             signed = e.digest - (1 << 64) if e.digest >> 63 else e.digest
-            gone[k] = gone[k] or gone[e.parent] or (not e.main and signed in template)
+            gone[k] = gone[k] or gone[e.parent] or (not e.main and not e.wraps and signed in template)
         kept = [(k, text, b) for k, text, b in self.texts if not gone[k]]
         if any(self.elements[k].main and not text.isspace() for k, text, _ in kept):
             kept = [x for x in kept if self.elements[x[0]].main]

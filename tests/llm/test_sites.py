@@ -40,3 +40,11 @@ def test_template_of_a_site(spark):
 def test_long_and_deep_pages():
     assert len(text("<div>" * 3000 + "x" + "<p>y " * 3000)) > 3000
     assert text("<p>" + "word " * 200_000).count("word") == 200_000
+
+
+def test_copies_of_a_wrapped_article_stay_whole(spark):
+    banner = "<div><p>Welcome to our site</p></div>"
+    copy = f"<body><div id=page>{banner}<div id=content><article><p>Copied text</p></article></div></div></body>"
+    pages = [(i, f"http://site.org/{i}", copy) for i in range(6)] + [(10 + i, f"http://site.org/o{i}", copy.replace("Copied", f"Own {i}")) for i in range(6)]
+    got = sorted((r.page_id, r.text) for r in main_texts(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect())
+    assert got == [(i, "Copied text") for i in range(6)] + [(10 + i, f"Own {i} text") for i in range(6)]
