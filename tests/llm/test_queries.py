@@ -11,12 +11,14 @@ SHAPES = {
     "op3_html_extraction": ["page_id", "url", "text", "n_chars"],
     "op4_warc": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
     "op8_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op11_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
+    "op12_periodic_runs": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
     "op9_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
 }
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", SHAPES)
