@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from claimweave.operators import windows
 from claimweave.plans import bindings as b
 from claimweave.plans.catalogue import Tables, query
-from claimweave.streaming import admission, logs
+from claimweave.session import scratch_path
+from claimweave.streaming import admission, logs, tables
 
 WINDOW, LIMIT = 6 * 3600.0, 2
 
@@ -28,7 +29,10 @@ def hits(t: Tables) -> DataFrame:
 
 @query("latest_decision_stream", "K-1", f"WITH {b.REVIEWS_SQL}, {b.LATEST_SQL} SELECT * FROM latest")
 def latest_decision_stream(t: Tables) -> DataFrame:
-    return logs.drain(logs.latest_decisions(b.reviews(Log(t.spark, t.folder))), "complete", "latest")
+    base = scratch_path(t.spark, "latest")
+    table = tables.UpsertTable(t.spark, f"{base}/table", ["target_type", "target_id"])
+    logs.run_batches(logs.latest_changes(b.reviews(Log(t.spark, t.folder))), "update", table.write, f"{base}/checkpoint")
+    return table.current().drop("version")
 
 
 ADMISSION_SQL = """
@@ -43,7 +47,7 @@ SELECT user_id AS client, event_id AS hit, admitted, wait FROM r"""
 @query("sliding_admission_stream", "K-2", ADMISSION_SQL)
 def sliding_admission_stream(t: Tables) -> DataFrame:
     stream = admission.admission_stream(hits(Log(t.spark, t.folder)), WINDOW, LIMIT)
-    return logs.drain(stream, "append", "admission").drop("at")
+    return logs.drain(stream, "admission").drop("at")
 
 
 @query("sliding_admission_batch", "K-2", ADMISSION_SQL)
@@ -61,17 +65,22 @@ def charges(t: Tables) -> DataFrame:
     return t.events.filter("event_type = 'purchase'").select(F.col("ts").cast("timestamp").alias("at"), F.col("value").alias("amount"))
 
 
-SPEND_SQL = """SELECT strftime(ts, '%Y-%m-%d') AS day, round(sum(value), 2) AS spent, round(greatest(0, 1500 - sum(value)), 2) AS remaining, sum(value) > 1500 AS over_cap
-FROM events WHERE event_type = 'purchase' GROUP BY 1"""
+SPEND_SQL = """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, round(sum(value), 2) AS spent, round(greatest(0, 1500 - sum(value)), 2) AS remaining, sum(value) > 1500 AS over_cap,
+  date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events WHERE event_type = 'purchase') - INTERVAL 1 DAY AS closed
+FROM events WHERE event_type = 'purchase' GROUP BY date_trunc('day', ts)"""
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    return df.select("day", F.round("spent", 2).alias("spent"), F.round("remaining", 2).alias("remaining"), "over_cap")
+def rounded(df: DataFrame, closed: bool) -> DataFrame:
+    return df.select("day", F.round("spent", 2).alias("spent"), F.round("remaining", 2).alias("remaining"), "over_cap", F.lit(closed).alias("closed"))
 
 
 @query("daily_spend_stream", "K-3", SPEND_SQL)
 def daily_spend_stream(t: Tables) -> DataFrame:
-    return rounded(logs.drain(logs.daily_spend(charges(Log(t.spark, t.folder)), 1500.0), "complete", "spend"))
+    """Closed days as the ledger appended them, and the days that are still open."""
+    base = scratch_path(t.spark, "spend")
+    ledger = tables.DayLedger(t.spark, f"{base}/table", "1 day")
+    logs.run_batches(charges(Log(t.spark, t.folder)), "append", ledger.write, f"{base}/checkpoint")
+    return rounded(logs.spend_view(ledger.closed_days(), 1500.0), True).unionByName(rounded(logs.spend_view(ledger.open_days(), 1500.0), False))
 
 
 @query("running_daily_spend", "K-3", """

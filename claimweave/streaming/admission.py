@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from claimweave.operators.windows import running_total
 
+ORIGIN = 86_400  # seconds: event times start a day after the epoch, so that hits counted from zero are not late at once
 RESULT = "client bigint, hit bigint, at double, admitted boolean, wait bigint"
 
 
@@ -22,8 +25,25 @@ def decide(recent: list[float], now: float, window: float, limit: int) -> tuple[
     return live, False, max(1, int(window - (now - live[0])) + 1)
 
 
+def decide_all(recent: list[float], at: list[float], window: float, limit: int) -> tuple[list[float], list[bool], list[int]]:
+    """``decide`` over hits in time order; a stretch of refused hits is found by bisection and answered as a whole."""
+    admitted, waits, i = [False] * len(at), [0] * len(at), 0
+    while i < len(at):
+        recent = [h for h in recent if at[i] - h < window]
+        if len(recent) < limit:
+            recent.append(at[i])
+            admitted[i] = True
+            i += 1
+            continue
+        oldest = recent[0] if recent else float("inf")
+        end = bisect_left(at, window, lo=i, key=lambda t: t - oldest) if recent else len(at)
+        waits[i:end] = [max(1, int(window - (t - oldest)) + 1) if recent else 1 for t in at[i:end]]
+        i = end
+    return recent, admitted, waits
+
+
 class Admission(StatefulProcessor):
-    """Keeps at most ``limit`` admitted times per client."""
+    """Keeps at most ``limit`` admitted times per client, and none once the watermark is a window past the last of them."""
 
     def __init__(self, window: float, limit: int) -> None:
         self.window, self.limit = window, limit
@@ -34,24 +54,39 @@ class Admission(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         recent = [r[0] for r in self.hits.get()] if self.hits.exists() else []
-        # A micro-batch, bounded by the reader's trigger options, may bring a client's hits in any order.
-        batch = pd.concat(list(rows)).sort_values(["at", "hit"])
-        out = []
-        for hit, at in zip(batch["hit"], batch["at"]):
-            recent, ok, wait = decide(recent, at, self.window, self.limit)
-            out.append((key[0], hit, at, ok, wait))
+        # A micro-batch, bounded by the reader's trigger options, may bring a client's hits in any order; only their
+        # times and numbers are held.
+        parts = [(p["hit"].to_numpy(), p["at"].to_numpy()) for p in rows]
+        hit, at = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        order = np.lexsort((hit, at))
+        hit, at = hit[order], at[order]
+        recent, admitted, waits = decide_all(recent, at.tolist(), self.window, self.limit)
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
         if recent:
             self.hits.put([(h,) for h in recent])
-        yield pd.DataFrame(out, columns=["client", "hit", "at", "admitted", "wait"])
+            self.handle.registerTimer(int((recent[-1] + self.window + ORIGIN) * 1000) + 1)
+        else:
+            self.hits.clear()
+        yield pd.DataFrame({"client": key[0], "hit": hit, "at": at, "admitted": admitted, "wait": waits})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.hits.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
 
 
-def admission_stream(hits: DataFrame, window: float, limit: int) -> DataFrame:
-    """Streaming (client, hit, at) to decisions; batches arrive in time order, hits within a batch in any order."""
-    return hits.groupBy("client").transformWithStateInPandas(
-        statefulProcessor=Admission(window, limit), outputStructType=RESULT, outputMode="Append", timeMode="None")
+def admission_stream(hits: DataFrame, window: float, limit: int, late: str = "1 minute") -> DataFrame:
+    """Streaming (client, hit, at) to decisions; batches arrive in time order, hits within a batch in any order.
+
+    ``at`` is in seconds and is the event time; hits more than ``late`` behind the newest one of earlier batches are
+    dropped, as Spark's watermark does. A timer ends a client's state one window after its last admitted hit.
+    """
+    timed = hits.select("client", "hit", "at", F.timestamp_micros(((F.col("at") + ORIGIN) * 1000000).cast("bigint")).alias("_time")).withWatermark("_time", late)
+    return timed.groupBy("client").transformWithStateInPandas(
+        statefulProcessor=Admission(window, limit), outputStructType=RESULT, outputMode="Append", timeMode="EventTime")
 
 
 def sessions(hits: DataFrame, window: float) -> DataFrame:
