@@ -51,16 +51,68 @@ def subtree(closure: DataFrame, root: str) -> DataFrame:
 
 
 def cycle_nodes(edges: DataFrame) -> DataFrame:
-    """Nodes on or below a cycle: peel nodes whose parents are all gone until nothing changes."""
-    left = cut_lineage(edges.select("child", "parent").distinct(), "peel")
+    """Nodes on or below a cycle, that is those from which parents can be followed without end.
+
+    Leaves, nearly all of a hierarchy, are joined once at the end. Above them three steps alternate: parents that have no
+    parents are trimmed; a node with one way up points to where its way ends, found by pointer jumping, so a chain takes
+    as many rounds as the logarithm of its length; and a node with an endless parent is endless itself. Edges that only
+    repeat after this contraction go. When nothing changes any more, every node left has a parent left.
+    """
+    edges = cut_lineage(edges.select("child", "parent").distinct(), "cycle-edges")
+    inner = edges.select(F.col("parent").alias("child")).distinct()
+    endless = cut_lineage(_endless(edges.join(inner, "child", "left_semi")), "endless")
+    below = edges.join(endless.select(F.col("node").alias("parent")), "parent", "left_semi").select(F.col("child").alias("node"))
+    return endless.unionByName(below).distinct()
+
+
+def _endless(edges: DataFrame) -> DataFrame:
+    """(node) of all nodes with an endless way up. A null parent stands for one that is known to be endless."""
+    kind = edges.schema["child"].dataType
+    itself = F.when(F.col("parent") != F.col("child"), F.col("parent"))
+    left = cut_lineage(edges.select("child", itself.alias("parent")).distinct(), "ways")
+    decided: list[DataFrame] = []  # (node, to): the fate of a node is that of where it leads
+    before = -1
     while True:
-        kept = left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
-        kept = cut_lineage(kept.select("child", "parent"), "peel")
-        before, after = left.count(), kept.count()
-        left = kept
-        if after in (0, before):
+        trimmed = left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("child", "parent")
+        left = cut_lineage(trimmed.unionByName(left.filter("parent IS NULL").select("child", "parent")), "ways")
+        ways = left.groupBy("child").agg(F.count("*").alias("n"), F.bool_or(F.col("parent").isNull()).alias("sure"), F.min("parent").alias("first"))
+        ways = cut_lineage(ways.select("child", ((F.col("n") == 1) | F.col("sure")).alias("one"), F.when(~F.col("sure"), F.col("first")).alias("first"), "n"), "ways-up")
+        now = left.count()
+        if now == 0:
+            break
+        single = ways.filter("one").select(F.col("child").alias("node"), F.col("first").alias("to"))
+        if now == before and single.isEmpty():
+            decided.append(ways.select(F.col("child").alias("node"), F.lit(None).cast(kind).alias("to")))
             break
-    return left.select(F.col("child").alias("node")).distinct()
+        leads = _jumped(single)
+        decided.append(leads)
+        via = leads.select(F.col("node").alias("parent"), "to", F.lit(True).alias("leads"))
+        rest = left.join(leads.select(F.col("node").alias("child")), "child", "left_anti").join(via, "parent", "left")
+        target = F.when(F.col("leads"), F.col("to")).otherwise(F.col("parent"))
+        rest = rest.select("child", target.alias("parent")).select("child", itself.alias("parent")).distinct()
+        before = now if single.isEmpty() else -1
+        left = cut_lineage(rest, "ways")
+    endless = edges.sparkSession.createDataFrame([], f"node {kind.simpleString()}")
+    for leads in reversed(decided):
+        more = leads.filter("to IS NULL").select("node").unionByName(leads.join(endless.select(F.col("node").alias("to")), "to", "left_semi").select("node"))
+        endless = cut_lineage(endless.unionByName(more), "endless")
+    return endless
+
+
+def _jumped(single: DataFrame) -> DataFrame:
+    """(node, to) with ``to`` moved to the end of the way; null if it runs in a circle. Each round doubles the step."""
+    names = single.select(F.col("node").alias("to"), F.lit(True).alias("more"))
+    step = cut_lineage(single.join(names, "to", "left").select("node", "to", F.coalesce("more", F.lit(False)).alias("open")), "jumps")
+    waiting = step.filter("open").count()
+    while waiting:
+        ahead = step.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("open").alias("still"))
+        moved = step.filter("open").join(ahead, "to").select("node", F.col("next").alias("to"), F.col("still").alias("open"))
+        step = cut_lineage(moved.unionByName(step.filter("NOT open")), "jumps")
+        left = step.filter("open").count()
+        if left == waiting:  # no way of the next length ends: the rest are circles
+            break
+        waiting = left
+    return step.select("node", F.when(~F.col("open"), F.col("to")).alias("to"))
 
 
 def shortest_chains(edges: DataFrame, starts: DataFrame, max_depth: int = 4) -> DataFrame:
@@ -213,29 +265,63 @@ def bounded_neighborhood(
     return nodes.select("node", "depth", flag), kept.select("link_id", "predicate", "source", "target", flag)
 
 
+def _levels(edges: DataFrame, start: str, goal: str, max_length: int) -> list[DataFrame] | None:
+    """(node) of every level of the shortest ways from ``start`` to ``goal``, found from both ends; none if there are none.
+
+    The side with the smaller frontier goes on. The first time a frontier meets the other one, the sum of the levels is
+    the distance, and what does not lie between the ends is pruned away from the middle to both sides.
+    """
+    spark = edges.sparkSession
+    sides = [[spark.createDataFrame([(n,)], "node string")] for n in (start, goal)]
+    seen, sizes = [s[0] for s in sides], [1, 1]
+    while True:
+        if len(sides[0]) + len(sides[1]) - 2 >= max_length:
+            return None
+        k = 0 if sizes[0] <= sizes[1] else 1
+        step = edges.join(sides[k][-1], "node", "left_semi").select(F.col("other").alias("node")).distinct()
+        fresh = cut_lineage(step.join(seen[k], "node", "left_anti"), "frontier")
+        sizes[k] = fresh.count()
+        if not sizes[k]:
+            return None
+        sides[k].append(fresh)
+        seen[k] = cut_lineage(seen[k].unionByName(fresh), "seen")
+        middle = fresh.join(sides[1 - k][-1], "node", "left_semi")
+        if not middle.isEmpty():
+            break
+    middle = cut_lineage(middle, "middle")
+    halves = []
+    for side in sides:
+        kept = [middle]
+        for level in reversed(side[:-1]):
+            near = edges.join(kept[-1], "node", "left_semi").select(F.col("other").alias("node")).distinct()
+            kept.append(cut_lineage(near.join(level, "node", "left_semi"), "between"))
+        halves.append(kept)
+    return [*reversed(halves[0]), *halves[1][1:]]
+
+
 def shortest_paths(
     edges: DataFrame, start: str, goal: str, max_length: int = 5, max_paths: int = PATHS,
     excluded: tuple[str, ...] = ("mentions",),
 ) -> DataFrame:
     """Up to ``max_paths`` shortest paths: (path_no, step, from_node, to_node, link_id).
 
-    Level-synchronous search. A node keeps its first ``max_paths`` distinct parents in discovery order; that is enough
-    to rebuild the first ``max_paths`` routes. The search stops at the level that reaches the goal.
+    ``edges`` comes from ``two_way``; stored bucketed by node (``session.bucketed``) no step of the search moves it. The
+    levels between both ends are found from both of them; on these alone, which hold every predecessor on a shortest way,
+    each node keeps its first ``max_paths`` distinct parents in discovery order (the order of the first way that reaches
+    the parent, then predicate and link), and the paths are read back from the goal by the ranks of the parents.
     """
     spark = edges.sparkSession
     usable = edges.filter(~F.col("predicate").isin(*excluded))
-    reached = spark.createDataFrame([(start, [])], "node string, ord array<string>")
-    seen = reached.select("node")
+    empty = "path_no int, step int, from_node string, to_node string, link_id string"
+    levels = _levels(usable, start, goal, max_length) if start != goal else None
+    if levels is None:
+        return spark.createDataFrame([], empty)
+    frontier = spark.createDataFrame([(start, [])], "node string, ord array<string>")
     parents: list[DataFrame] = []
-    frontier, hit = reached, start == goal
-    for _ in range(max_length):
-        if hit:
-            break
+    for level in levels[1:]:
         step = (
-            usable.join(frontier.select("node", "ord"), "node")
-            .join(seen.select(F.col("node").alias("other")), "other", "left_anti")
-            .groupBy("other", "node", "ord")
-            .agg(F.min(F.struct("predicate", "link_id")).alias("via"))
+            usable.join(frontier, "node").join(level.select(F.col("node").alias("other")), "other", "left_semi")
+            .groupBy("other", "node", "ord").agg(F.min(F.struct("predicate", "link_id")).alias("via"))
         )
         by_order = Window.partitionBy("other").orderBy("ord", "via.predicate", "via.link_id")
         kept = step.withColumn("rank", F.row_number().over(by_order)).filter(F.col("rank") <= max_paths)
@@ -246,13 +332,6 @@ def shortest_paths(
         )
         parents.append(kept)
         frontier = kept.filter("rank = 1").select(F.col("other").alias("node"), F.col("path_ord").alias("ord"))
-        if frontier.isEmpty():
-            break
-        hit = not frontier.filter(F.col("node") == goal).isEmpty()
-        seen = cut_lineage(seen.unionByName(frontier.select("node")), "seen")
-    empty = "path_no int, step int, from_node string, to_node string, link_id string"
-    if not hit or start == goal:
-        return spark.createDataFrame([], empty)
     walk = spark.createDataFrame([(goal,)], "at string").select(
         "at", F.array().cast("array<int>").alias("key"),
         F.array().cast("array<struct<from_node:string,to_node:string,link_id:string>>").alias("steps"),

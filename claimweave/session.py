@@ -64,6 +64,16 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str = "bucketed") -> DataFrame:
+    """Write ``df`` to the shared folder in buckets of ``key`` and read it back, so that later joins on it need not move it."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, name)
+    table = f"claimweave_{path.rsplit('-', 1)[1]}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(table, format="parquet")
+    return spark.table(table)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that functions find it wherever the driver was started."""
     context = spark.sparkContext

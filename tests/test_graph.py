@@ -1,7 +1,11 @@
 import random
 from collections import deque
+from itertools import islice
+
+from pyspark.sql import functions as F
 
 from claimweave.operators import graph
+from claimweave.session import bucketed, cut_lineage
 from tests.conftest import rows
 
 
@@ -24,6 +28,42 @@ def test_cycle(spark):
     assert rows(graph.cycle_nodes(e.filter("child <> 'c'"))) == []
 
 
+def endless(edges):
+    """Kahn's peeling from the top, edge by edge."""
+    up = {}
+    for c, p in edges:
+        up.setdefault(c, set()).add(p)
+    while True:
+        gone = {c for c, ps in up.items() if not ps & up.keys()}
+        if not gone:
+            return sorted((c,) for c in up)
+        for c in gone:
+            del up[c]
+
+
+def test_cycles_match_peeling(spark):
+    for seed in range(6):
+        rng = random.Random(seed)
+        n, m = rng.choice([(12, 14), (40, 38), (60, 80)])
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        if seed % 2:  # mostly upwards, so that long ways without a cycle occur
+            edges = [(max(a, b), min(a, b)) for a, b in edges if a != b] + edges[:2]
+        edges += [(1000 + i, 1001 + i) for i in range(9)]  # a chain
+        got = rows(graph.cycle_nodes(spark.createDataFrame(edges, "child int, parent int")))
+        assert got == endless(edges)
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(graph, "cut_lineage", lambda df, name="cut": cuts.append(name) or cut_lineage(df, name))
+    n = 100_000
+    chain = spark.range(n).select(F.col("id").alias("child"), (F.col("id") + 1).alias("parent"))
+    assert graph.cycle_nodes(chain).count() == 0 and cuts.count("jumps") < 30
+    cuts.clear()
+    ring = chain.unionByName(spark.range(1).select(F.lit(n).alias("child"), F.lit(n // 2).alias("parent")))
+    assert graph.cycle_nodes(ring).count() == n + 1 and cuts.count("jumps") < 30
+
+
 def test_shortest_chain_prefers_early_parents(spark):
     e = spark.createDataFrame([("s", "p", 0), ("s", "q", 1), ("p", "t", 0), ("q", "t", 0), ("t", "u", 0), ("u", "v", 0), ("v", "w", 0)],
                               "child string, parent string, pos int")
@@ -64,6 +104,44 @@ def test_paths_are_shortest_continuous_and_avoid_mentions(spark):
     assert graph.shortest_paths(kg(spark, [("a", "p", "b"), ("b", "p", "c"), ("c", "p", "d")]), "a", "d", max_length=2).count() == 0
 
 
+def reference_paths(edges, start, goal, most, paths=3):
+    by = {}
+    for i, (a, p, b) in enumerate(edges):
+        by.setdefault(a, []).append((p, f"e{i}", b))
+        by.setdefault(b, []).append((p, f"e{i}", a))
+    depth, parents, frontier = {start: 0}, {start: []}, [start]
+    while frontier and goal not in depth and depth[frontier[0]] < most:
+        after = []
+        for n in frontier:
+            for p, link, o in sorted(by.get(n, [])):
+                if o not in depth:
+                    depth[o], parents[o] = depth[n] + 1, []
+                    after.append(o)
+                if depth[o] == depth[n] + 1 and len(parents[o]) < paths and all(q != n for q, _ in parents[o]):
+                    parents[o].append((n, link))
+        frontier = after
+
+    def walk(node):
+        if node == start:
+            yield []
+        for n, link in parents.get(node, []):
+            yield from ([*way, (n, node, link)] for way in walk(n))
+
+    return list(islice(walk(goal), paths)) if goal in depth and start != goal else []
+
+
+def test_paths_match_breadth_first_search(spark):
+    for seed in range(5):
+        rng = random.Random(seed)
+        edges = [(f"n{rng.randrange(30)}", rng.choice("pq"), f"n{rng.randrange(30)}") for _ in range(50)]
+        links = bucketed(kg(spark, edges), "node")
+        for goal in ("n1", "n7", "n12"):
+            got = {}
+            for r in graph.shortest_paths(links, "n0", goal, max_length=4).orderBy("path_no", "step").collect():
+                got.setdefault(r.path_no, []).append((r.from_node, r.to_node, r.link_id))
+            assert [got[k] for k in sorted(got)] == reference_paths(edges, "n0", goal, 4)
+
+
 def reference_neighborhood(edges, focus, depth, max_nodes, max_links):
     by = {}
     for i, (a, p, b) in enumerate(edges):
