@@ -45,34 +45,25 @@ def search(aliases: DataFrame, entities: DataFrame, query: str, limit: int = SEA
 def retrieve(mentions: DataFrame, aliases: DataFrame, limit: int = 5) -> DataFrame:
     """(mention, entity, score, rank): the best entities per mention by token overlap of any alias, then by id.
 
-    Mentions are compared with distinct alias keys, not with entities. All entities of one key score alike, so the first
-    ``limit`` of them by id are enough to fill any answer.
+    ``mentions``: (mention) and ``aliases``: (entity, alias). If both also have ``type``, a mention is answered with
+    entities of its type only, and ``type`` is in the result. The search ranks entities, each by its best alias
+    (``similarity.top_partners`` with owners), so how many aliases an entity has does not matter. All owners of one alias
+    key score alike: the first ``limit`` of them by id are enough to fill any answer.
     """
-    def keyed(df: DataFrame, c: str) -> DataFrame:
-        return df.withColumn("key", normalize_key(F.col(c)))
+    typed = "type" in mentions.columns and "type" in aliases.columns
+    level = F.col("type") if typed else F.lit("")
 
-    keys = keyed(aliases, "alias").select("key").distinct()
-    wanted = keyed(mentions.select("mention").distinct(), "mention")
-
-    def profile(df: DataFrame, name: str) -> DataFrame:
+    def profile(df: DataFrame, *more: str) -> DataFrame:
         tokens = F.explode(F.array_distinct(word_tokens(F.col("key"))))
-        return df.select(F.col(name).alias("entity"), F.lit(0).alias("level"), tokens.alias("term"), F.lit(1.0).alias("weight"))
-
-    order = Window.partitionBy("key").orderBy("entity")
-    owners = (
-        keyed(aliases, "alias").select("key", "entity").distinct()
-        .withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
-    )
-    # Whole keys tie when their token sets give equal scores, so a key is ranked by its first owner's id.
-    first = owners.filter("place = 1").select("key", F.col("entity").alias("first_owner"))
-    named = keys.join(first, "key").select(F.concat("first_owner", F.lit("\u0001"), "key").alias("named"), "key")
-    most = aliases.groupBy("entity").agg(F.count_distinct("alias").alias("n")).agg(F.max("n")).first()[0] or 1
-    # An entity may own several of the best keys; with this many keys ``limit`` different entities are certain.
-    best = top_partners(profile(wanted, "mention"), profile(named, "named"), limit * most, exclude_self=False)
-    hits = best.select(F.col("a").alias("mention"), F.substring_index("b", "\u0001", -1).alias("key"), "score")
-    scored = hits.join(owners, "key").groupBy("mention", "entity").agg(F.max("score").alias("score"))
-    top = Window.partitionBy("mention").orderBy(F.desc("score"), "entity")
-    return scored.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= limit)
+        return df.select("entity", "level", *more, tokens.alias("term"), F.lit(1.0).alias("weight"))
+
+    wanted = mentions.select(F.col("mention").alias("entity"), level.alias("level"), normalize_key(F.col("mention")).alias("key")).distinct()
+    order = Window.partitionBy("level", "key").orderBy("owner")
+    keys = aliases.select(level.alias("level"), normalize_key(F.col("alias")).alias("key"), F.col("entity").alias("owner")).distinct()
+    owners = keys.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+    named = owners.withColumn("entity", F.concat("owner", F.lit("\u0001"), "key"))
+    best = top_partners(profile(wanted), profile(named, "owner"), limit, exclude_self=False)
+    return best.select(F.col("a").alias("mention"), *([F.col("level").alias("type")] if typed else []), F.col("b").alias("entity"), "score", "rank")
 
 
 def capped_lists(rows: DataFrame, key: str, item: str, cap: int) -> DataFrame:

@@ -1,15 +1,16 @@
 """Information-content-weighted similarity between term profiles.
 
 Profiles are long tables of distinct (entity, level, term). Scores never come from comparing every pair: an inverted
-index joins entities through terms that are rare enough, and terms held by very many entities are handled through
-groups of entities with the same set of such terms.
+index joins entities through terms that are rare enough, and terms held by very many entities are searched as a
+tree of prefixes with bounds on what a branch can still give.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimweave.functions.identity import stable_id
@@ -83,14 +84,16 @@ def top_partners(
     """The ``k`` best partners of every left entity by weighted Jaccard, ties by partner id: (a, b, level, shared, score).
 
     Inputs are distinct (entity, level, term, weight) with positive weights equal for equal terms; partners overlap in
-    at least one term. The result is exact:
+    at least one term. If ``right`` has a column ``owner``, equal for all rows of an entity, the partners are owners: each
+    counts with its best entity, ties go by owner, and ``b`` in the result is the owner. The result is exact:
 
     1. Pairs are listed only through terms with at most ``heavy`` holders in the level; shared weight from heavy terms
        is added to these pairs by intersecting the two short lists of heavy terms.
     2. A pair that shares heavy terms only scores at most (heavy weight of a) / (weight of a). An entity whose k-th
        score is above this bound is finished.
-    3. For the others it suffices to look, in every group of entities with equal heavy terms, at the lightest ``k``
-       (plus one for the entity itself): within a group the score falls as the partner's weight grows.
+    3. The others look at the lightest entities below each prefix of their own heavy terms, which gives every one of
+       them a bar, and then search the tree of prefixes of all lists of heavy terms, leaving every branch whose best
+       possible score is below the bar (``_search_prefixes``).
     """
     same = left is right
     exact = F.col("weight").cast("decimal(28,15)")  # decimal sums do not depend on the order of rows
@@ -101,8 +104,10 @@ def top_partners(
     has_hot = not hot.isEmpty()
     hot = cut_lineage(hot, "hot-terms") if has_hot else hot
 
-    def totals(p: DataFrame) -> DataFrame:
-        return p.groupBy("level", "entity").agg(F.sum("weight").cast(WEIGHT).alias("total"))
+    owned = "owner" in right.columns
+
+    def totals(p: DataFrame, *more: Column) -> DataFrame:
+        return p.groupBy("level", "entity").agg(F.sum("weight").cast(WEIGHT).alias("total"), *more)
 
     def split(p: DataFrame) -> tuple[DataFrame, DataFrame]:
         if not has_hot:
@@ -123,7 +128,8 @@ def top_partners(
         .agg(F.sum("a.weight").cast(WEIGHT).alias("shared"))
     )
     left_total = totals(left).select("level", F.col("entity").alias("a"), F.col("total").alias("total_a"))
-    right_total = totals(right).select("level", F.col("entity").alias("b"), F.col("total").alias("total_b"))
+    owner = F.first("owner") if owned else F.first("entity")
+    right_total = totals(right, owner.alias("owner")).select("level", F.col("entity").alias("b"), F.col("total").alias("total_b"), "owner")
 
     def scored(p: DataFrame) -> DataFrame:
         union = F.col("total_a") + F.col("total_b") - F.col("shared")
@@ -134,68 +140,136 @@ def top_partners(
             return p
         return p.unionByName(p.select("level", F.col("b").alias("a"), F.col("a").alias("b"), "shared",
                                       F.col("total_b").alias("total_a"), F.col("total_a").alias("total_b"),
-                                      *[c for c in p.columns if c == "score"]))
+                                      F.col("a").alias("owner"), *[c for c in p.columns if c == "score"]))
 
-    best = Window.partitionBy("level", "a").orderBy(F.desc("score"), "b")
+    best = Window.partitionBy("level", "a").orderBy(F.desc("score"), "owner")
+    best_of_owner = Window.partitionBy("level", "a", "owner").orderBy(F.desc("score"), "b")
 
     def top(p: DataFrame) -> DataFrame:
+        if owned:
+            p = p.withColumn("rank", F.row_number().over(best_of_owner)).filter("rank = 1")
         return p.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
-    columns = ["a", "b", "level", F.col("shared").cast("double").alias("shared"), "score", "rank"]
+    columns = ["a", F.col("owner").alias("b"), "level", F.col("shared").cast("double").alias("shared"), "score", "rank"]
     if not has_hot:
         full = pairs.join(left_total, ["level", "a"]).join(right_total, ["level", "b"])
         return top(both_ways(scored(full))).select(columns)
 
     def hot_lists(p: DataFrame, name: str) -> DataFrame:
-        return p.groupBy("level", "entity").agg(
-            F.array_sort(F.collect_list(F.struct("term", "weight"))).alias(f"hot_{name}")
-        ).withColumnRenamed("entity", name)
+        """Heavy terms of an entity by falling weight: the order in which a search looks at them."""
+        item = F.struct((-F.col("weight")).alias("less"), "term", "weight")
+        return p.groupBy("level", "entity").agg(F.array_sort(F.collect_list(item)).alias(f"hot_{name}")).withColumnRenamed("entity", name)
 
-    no_hot = F.array().cast("array<struct<term:string,weight:decimal(28,15)>>")
+    no_hot = F.array().cast("array<struct<less:decimal(28,15),term:string,weight:decimal(28,15)>>")
     lists_a = cut_lineage(hot_lists(left_hot, "a"), "hot-lists")
     lists_b = lists_a.withColumnsRenamed({"a": "b", "hot_a": "hot_b"}) if same else hot_lists(right_hot, "b")
     info_a = left_total.join(lists_a, ["level", "a"], "left").withColumn("hot_a", F.coalesce("hot_a", no_hot))
     info_b = right_total.join(lists_b, ["level", "b"], "left").withColumn("hot_b", F.coalesce("hot_b", no_hot))
-
-    def weight(items):
-        return F.aggregate(items, F.lit(0).cast(WEIGHT), lambda acc, x: (acc + x["weight"]).cast(WEIGHT))
-
     full = (
         pairs.join(info_a, ["level", "a"]).join(info_b, ["level", "b"])
-        .withColumn("shared", (F.col("shared") + weight(F.array_intersect("hot_a", "hot_b"))).cast(WEIGHT))
+        .withColumn("shared", (F.col("shared") + _weight(F.array_intersect("hot_a", "hot_b"))).cast(WEIGHT))
         .drop("hot_a", "hot_b")
     )
     light = cut_lineage(top(both_ways(scored(full))).drop("rank"), "light-top")
-    bar = light.groupBy("level", "a").agg(F.count("*").alias("found"), F.min("score").alias("kth"))
-    bound = F.round(weight(F.col("hot_a")).cast("double") / F.col("total_a").cast("double"), 12)  # as the scores are rounded
-    open_a = (
-        info_a.filter(F.size("hot_a") > 0).join(bar, ["level", "a"], "left")
-        .filter((F.coalesce("found", F.lit(0)) < k) | (bound >= F.col("kth")))
-        .select("level", "a", "total_a", "hot_a")
-    )
-    lightest = Window.partitionBy("level", "hot_b").orderBy("total_b", "b")
-    groups = (
-        info_b.filter(F.size("hot_b") > 0)
-        .withColumn("place", F.row_number().over(lightest)).filter(F.col("place") <= k + 1)
-        .groupBy("level", "hot_b").agg(F.collect_list(F.struct("b", "total_b")).alias("members"))  # at most k + 1
-    )
-    terms_a = open_a.select("level", "a", F.explode("hot_a.term").alias("term"))
-    terms_g = groups.select("level", "hot_b", F.explode("hot_b.term").alias("term"))
-    touch = terms_a.join(terms_g, ["level", "term"]).select("level", "a", "hot_b").distinct()
-    probes = (
-        touch.join(open_a, ["level", "a"]).join(groups, ["level", "hot_b"])
-        .withColumn("shared", weight(F.array_intersect("hot_a", "hot_b")))
-        .select("level", "a", "total_a", "shared", F.inline("members"))
-    )
+    with_hot = info_b.filter(F.size("hot_b") > 0)
+    tree = cut_lineage(_prefixes(with_hot), "hot-prefixes")
+    near = _first_guesses(info_a, tree, info_b, k, owned)
+    if exclude_self:
+        near = near.filter("a <> b")
+    known = cut_lineage(_larger(light, scored(near)), "known")
+    bar = top(known).groupBy("level", "a").agg(F.count("*").alias("found"), F.min("score").alias("kth"))
+    bar = bar.select("level", "a", F.when(F.col("found") >= k, F.col("kth")).otherwise(0.0).alias("kth"))
+    probes = _search_prefixes(info_a.join(bar, ["level", "a"], "left").fillna(0.0, ["kth"]), tree, k, owned)
     if exclude_self:
         probes = probes.filter("a <> b")
-    # A probe that also shares rare terms is an underestimate of a pair already scored exactly: keep the larger.
-    merged = (
-        light.select("level", "a", "b", "shared", "score")
-        .unionByName(scored(probes).select("level", "a", "b", "shared", "score"))
-        .groupBy("level", "a", "b").agg(F.max_by("shared", "score").alias("shared"), F.max("score").alias("score"))
-    )
-    return top(merged).select(columns)
+    return top(_larger(known, scored(probes))).select(columns)
+
+
+def _weight(items: Column) -> Column:
+    return F.aggregate(items, F.lit(0).cast(WEIGHT), lambda acc, x: (acc + x["weight"]).cast(WEIGHT))
+
+
+def _larger(*parts: DataFrame) -> DataFrame:
+    """Pairs once each. One that also shares rare terms is underestimated by the search over heavy ones: the larger counts."""
+    both = reduce(DataFrame.unionByName, [p.select("level", "a", "b", "owner", "shared", "score") for p in parts])
+    return both.groupBy("level", "a", "b", "owner").agg(F.max_by("shared", "score").alias("shared"), F.max("score").alias("score"))
+
+
+def _lightest(rows: DataFrame, k: int, owned: bool) -> DataFrame:
+    """Of each (level, node) the lightest ``k`` + 1 entities, of different owners if they have any."""
+    if owned:
+        one = Window.partitionBy("level", "node", "owner").orderBy("total_b", "b")
+        rows = rows.withColumn("place", F.row_number().over(one)).filter("place = 1")
+    order = Window.partitionBy("level", "node").orderBy("total_b", "owner")
+    return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1).drop("place")
+
+
+def _node(items: Column) -> Column:
+    return F.md5(F.concat_ws("\u0001", F.transform(items, lambda x: x["term"])))
+
+
+#: Lengths at which heavy-term lists are cut: single terms where weights are large, longer stretches behind them.
+CUTS = (1, 2, 3, 4, 6, 9, 13, 19, 28, 42, 63, 94, 141, 211, 316, 474, 711, 1066)
+
+
+def _prefixes(entities: DataFrame) -> DataFrame:
+    """(level, node, depth, parent, stretch, whole, b, total_b, owner): every entity below each prefix of its heavy terms.
+
+    ``stretch`` are the terms that the node adds to its parent; ``whole`` marks the full list of the entity.
+    """
+    n = F.size("hot_b")
+    cuts = F.array(*[F.lit(c) for c in CUTS])
+    ends = F.array_distinct(F.concat(F.filter(cuts, lambda c: c < n), F.array(n)))
+    rows = entities.select("level", "b", "total_b", "owner", "hot_b", F.posexplode(F.concat(F.array(F.lit(0)), ends)).alias("depth", "start"), ends.alias("ends"))
+    rows = rows.withColumn("end", F.get("ends", F.col("depth"))).filter("end IS NOT NULL")
+    return rows.select(
+        "level", _node(F.slice("hot_b", F.lit(1), F.col("end"))).alias("node"), F.col("depth"),
+        _node(F.slice("hot_b", F.lit(1), F.col("start"))).alias("parent"), F.slice("hot_b", F.col("start") + 1, F.col("end") - F.col("start")).alias("stretch"),
+        (F.col("end") == n).alias("whole"), "b", "total_b", "owner")
+
+
+def _first_guesses(info_a: DataFrame, tree: DataFrame, info_b: DataFrame, k: int, owned: bool) -> DataFrame:
+    """Pairs of an entity with the lightest ones below each prefix of its own heavy terms: they set the bar for the search."""
+    below = _lightest(tree.select("level", "node", "b", "total_b", "owner"), k, owned)
+    own = info_a.filter(F.size("hot_a") > 0).select("level", F.col("a").alias("b"), F.col("total_a").alias("total_b"), F.col("hot_a").alias("hot_b"), F.col("a").alias("owner"))
+    own = _prefixes(own)
+    met = own.select("level", "node", F.col("b").alias("a")).join(below.select("level", "node", "b"), ["level", "node"]).select("level", "a", "b").distinct()
+    pairs = met.join(info_a, ["level", "a"]).join(info_b, ["level", "b"])
+    return pairs.withColumn("shared", _weight(F.array_intersect("hot_a", "hot_b"))).filter("shared > 0").drop("hot_a", "hot_b")
+
+
+def _search_prefixes(starts: DataFrame, tree: DataFrame, k: int, owned: bool) -> DataFrame:
+    """(level, a, b, total_a, total_b, owner, shared) of partners through heavy terms alone that may reach the bar ``kth`` of an entity.
+
+    The prefixes form a tree. An entity goes down a branch while the best that can still come there reaches its bar: what
+    the prefix shares plus the rest of its own list, over a union of at least its own weight and what the prefix has
+    besides, and of what the lightest entity below the branch needs. At a whole list the lightest ``k`` entities (plus one
+    for itself) are enough, as the score falls with the partner's weight. No two entities meet but at such a list.
+    """
+    branches = tree.groupBy("level", "parent", "node").agg(F.first("stretch").alias("stretch"), F.min("total_b").alias("lightest"), F.bool_or("whole").alias("whole"))
+    branches = cut_lineage(branches, "branches")
+    members = _lightest(tree.filter("whole").select("level", "node", "b", "total_b", "owner"), k, owned)
+    members = cut_lineage(members.groupBy("level", "node").agg(F.collect_list(F.struct("b", "total_b", "owner")).alias("members")), "members")  # at most k + 1
+    none = F.lit(0).cast(WEIGHT)
+    reach = F.round(_weight(F.col("hot_a")).cast("double") / F.col("total_a").cast("double"), 12)  # as the scores are rounded
+    frontier = starts.filter((F.size("hot_a") > 0) & (reach >= F.col("kth"))).select(
+        "level", "a", "total_a", "kth", "hot_a", F.md5(F.lit("")).alias("node"), none.alias("gained"), none.alias("missed"))
+    frontier, found = cut_lineage(frontier, "search"), []
+    while not frontier.isEmpty():
+        step = frontier.withColumnRenamed("node", "parent").join(branches, ["level", "parent"])
+        common = _weight(F.array_intersect("stretch", "hot_a"))
+        rest = _weight(F.filter("hot_a", lambda x: x > F.element_at("stretch", -1)))
+        step = step.withColumn("common", common).withColumn("most", (F.col("gained") + F.col("common") + rest).cast(WEIGHT)).withColumn(
+            "missed", (F.col("missed") + _weight(F.col("stretch")) - F.col("common")).cast(WEIGHT)).withColumn("gained", (F.col("gained") + F.col("common")).cast(WEIGHT))
+        union = F.greatest(F.col("total_a") + F.col("missed"), F.col("total_a") + F.col("lightest") - F.col("most"))
+        may = F.round(F.col("most").cast("double") / union.cast("double"), 12) >= F.col("kth")
+        kept = step.filter((F.col("most") > 0) & may)
+        frontier = cut_lineage(kept.select("level", "a", "total_a", "kth", "hot_a", "node", "gained", "missed", "whole"), "search")
+        found.append(frontier.filter("whole AND gained > 0").select("level", "a", "total_a", "node", F.col("gained").alias("shared")))
+        frontier = frontier.drop("whole")
+    if not found:
+        return members.join(starts.limit(0), "level").select("level", "a", "total_a", F.col("total_a").alias("shared"), F.inline("members"))
+    return reduce(DataFrame.unionByName, found).join(members, ["level", "node"]).select("level", "a", "total_a", "shared", F.inline("members"))
 
 
 def usable_entities(coverage: DataFrame, disagreements: DataFrame | None = None) -> DataFrame:

@@ -25,21 +25,35 @@ def ranked_search(t: Tables) -> DataFrame:
     return ranking.search(aliases, entities, " Red  WIDGET ")
 
 
-@query("lexical_retrieval", "I-2", f"""WITH {b.NAMES_SQL},
-m AS (SELECT DISTINCT alias AS mention FROM names WHERE type <> 'customer'),
-mt AS (SELECT DISTINCT mention, unnest(regexp_extract_all(lower(mention), '[\\p{{L}}\\p{{N}}_]+(?:[-''][\\p{{L}}\\p{{N}}_]+)*')) AS tok FROM m),
-k AS (SELECT DISTINCT lower(alias) AS key FROM names WHERE type <> 'customer'),
-kt AS (SELECT DISTINCT key, unnest(regexp_extract_all(key, '[\\p{{L}}\\p{{N}}_]+(?:[-''][\\p{{L}}\\p{{N}}_]+)*')) AS tok FROM k),
-mn AS (SELECT mention, count(*) AS n FROM mt GROUP BY 1), kn AS (SELECT key, count(*) AS n FROM kt GROUP BY 1),
-j AS (SELECT mention, key, count(*) AS c FROM mt JOIN kt USING (tok) GROUP BY 1, 2),
-s AS (SELECT mention, entity, round(max(c / (mn.n + kn.n - c)), 6) AS score FROM j JOIN mn USING (mention) JOIN kn USING (key) JOIN names ON lower(alias) = key WHERE type <> 'customer' GROUP BY 1, 2)
-SELECT mention, entity, score, row_number() OVER (PARTITION BY mention ORDER BY score DESC, entity) AS rank FROM s QUALIFY rank <= 5""")
+TOKEN_SQL = "regexp_extract_all({}, '[\\p{{L}}\\p{{N}}_]+(?:[-''][\\p{{L}}\\p{{N}}_]+)*')"
+
+
+def retrieval_sql(typed: bool) -> str:
+    """Best five entities of every name by token overlap, among all names or among those of the same type."""
+    kind, on, by = ("type, ", "AND k.type = m.type", "m.type, ") if typed else ("", "", "")
+    return f"""WITH {b.NAMES_SQL},
+m AS (SELECT DISTINCT {kind}alias AS mention, list_distinct({TOKEN_SQL.format("lower(alias)")}) AS toks FROM names),
+k AS (SELECT DISTINCT {kind}lower(alias) AS key, list_distinct({TOKEN_SQL.format("lower(alias)")}) AS toks FROM names),
+mt AS (SELECT {kind}mention, len(toks) AS n, unnest(toks) AS tok FROM m), kt AS (SELECT {kind}key, len(toks) AS n, unnest(toks) AS tok FROM k),
+j AS (SELECT {by}mention, key, count(*) / (any_value(m.n) + any_value(k.n) - count(*)) AS score FROM mt m JOIN kt k ON k.tok = m.tok {on} GROUP BY ALL),
+s AS (SELECT j.mention, {"j.type, " if typed else ""}entity, round(max(score), 6) AS score FROM j JOIN names n ON lower(alias) = key {"AND n.type = j.type" if typed else ""} GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY mention{", type" if typed else ""} ORDER BY score DESC, entity) AS rank FROM s QUALIFY rank <= 5"""
+
+
+@query("lexical_retrieval", "I-2", retrieval_sql(False))
 def lexical_retrieval(t: Tables) -> DataFrame:
-    names = b.names(t).filter("type <> 'customer'")
+    names = b.names(t)
     out = ranking.retrieve(names.select(F.col("alias").alias("mention")), names.select("entity", "alias"))
     return out.withColumn("score", F.round("score", 6))
 
 
+@query("typed_retrieval", "I-2", retrieval_sql(True))
+def typed_retrieval(t: Tables) -> DataFrame:
+    names = b.names(t)
+    out = ranking.retrieve(names.select(F.col("alias").alias("mention"), "type"), names.select("entity", "alias", "type"))
+    return out.withColumn("score", F.round("score", 6))
+
+
 @query("capped_lists", "I-4", f"""WITH r AS (SELECT l_partkey, {b.LINE_ID_SQL} AS item FROM lineitem)
 SELECT l_partkey, string_agg(item, ',' ORDER BY item) FILTER (i <= 25) AS items, count(*) AS total, count(*) > 25 AS truncated
 FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY item) AS i FROM r) GROUP BY 1""")

@@ -5,6 +5,7 @@ import pytest
 
 from claimweave.operators import similarity as s
 from claimweave.operators.graph import transitive_closure
+from claimweave.session import cut_lineage
 from tests.conftest import rows
 
 
@@ -48,6 +49,25 @@ def test_a_term_held_by_everybody_does_not_list_all_pairs(spark):
     assert sorted(r.b for r in got if r.a == 1) == [0, 2, 3]
 
 
+def test_distinct_sets_of_heavy_terms_are_not_compared_in_pairs(spark, monkeypatch):
+    """Nearly every entity has a set of heavy terms of its own: what the search visits grows like the table, not its square."""
+    rng = random.Random(6)
+    terms = {f"t{i:02d}": round(0.5 + i / 8, 3) for i in range(24)}
+
+    def visited(n):
+        profiles = {e: (0, {t: terms[t] for t in rng.sample(sorted(terms), 8)}) for e in range(n)}
+        df = spark.createDataFrame([(e, 0, t, w) for e, (_, ts) in profiles.items() for t, w in ts.items()], "entity bigint, level int, term string, weight double")
+        seen = []
+        monkeypatch.setattr(s, "cut_lineage", lambda d, name="cut": cut_lineage(d, name) if name != "search" else seen.append(cut_lineage(d, name)) or seen[-1])
+        got = sorted((r.a, r.b, round(r.score, 9)) for r in s.top_partners(df, df, 3, heavy=10).collect())
+        if n <= 400:
+            assert got == brute_top(profiles, 3)
+        return sum(d.count() for d in seen)
+
+    few, many = visited(400), visited(1600)
+    assert many < 10 * few  # 16 times as many pairs
+
+
 @pytest.fixture(scope="module")
 def world(spark):
     """Eleven reference diseases; the root has two children that share a leaf."""
