@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -211,12 +213,20 @@ def capture_files(t: Tables) -> tuple[str, DataFrame]:
     """Benchmark texts as one file each, with a manifest that records some wrong hashes and a failed capture."""
     path = scratch_path(t.spark, "captures")
     rows = t.benchmark.select("item_id", F.regexp_replace("text", "\n", " ").alias("value"))
-    rows.withColumn("item", F.col("item_id")).drop("item_id").repartition("item").write.partitionBy("item").text(path)
-    names = t.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path).select(
-        F.substring_index("path", path + "/", -1).alias("path"))
-    named = names.withColumn("item_id", F.regexp_extract("path", r"item=(\d+)/", 1).cast("bigint"))
+    named = rows.select("item_id", F.concat(F.lit("c"), F.pmod("item_id", F.lit(8)), F.lit("/"), "item_id", F.lit(".txt")).alias("path"), "value")
+
+    def put_files(batches):
+        for batch in batches:
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+                store.create_dir(f"{root}/{name.rsplit('/', 1)[0]}")
+                with store.open_output_stream(f"{root}/{name}") as out:
+                    out.write(value.encode() + b"\n")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    named.select("path", "value").mapInArrow(put_files, "n bigint").agg(F.sum("n")).collect()
     sha = F.sha2(F.concat("value", F.lit("\n")), 256)
-    manifest = rows.join(named, "item_id").select(
+    manifest = named.select(
         F.col("item_id").alias("key"), "path", F.when(F.col("item_id") % 10 == 3, F.sha2("value", 256)).otherwise(sha).alias("sha256"), (F.col("item_id") % 7 != 5).alias("ok"))
     return path, manifest
 

@@ -9,6 +9,7 @@ from claimweave.functions.vocab import ANNOTATION_COLUMNS, MAPPING_RELATIONS, SU
 from claimweave.functions.web import namespace
 from claimweave.operators.filters import lookup
 from claimweave.sources.lines import cell, header_of, number_rows, read_lines
+from claimweave.sources.split import quoted_records
 
 
 def read_annotations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -80,10 +81,16 @@ def read_mappings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
         col("object_id").alias("original_object_id"), F.nullif(col("mapping_justification"), F.lit("")).alias("mapping_justification")), meta
 
 
-def read_submissions(spark: SparkSession, path: str, symbols: DataFrame | None = None, quoted_newlines: bool = True) -> DataFrame:
-    """Submission CSV with 1-based data-row numbers, for selected symbols only when given: (symbol)."""
-    reader = spark.read.option("header", True).option("multiLine", quoted_newlines).option("escape", '"')
-    raw = number_rows(reader.csv(path), "row")
+def read_submissions(spark: SparkSession, path: str, symbols: DataFrame | None = None) -> DataFrame:
+    """Submission CSV with 1-based data-row numbers, for selected symbols only when given: (symbol).
+
+    Values may hold line breaks inside quotes; one large file is read by many tasks all the same (``split.quoted_records``).
+    """
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    names = reader.csv(path).columns  # from the first record alone
+    schema = ", ".join(f"`{n}` string" for n in names)
+    cells = F.from_csv("value", schema, {"escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"})
+    raw = quoted_records(spark, path).filter("record > 1").select((F.col("record") - 1).alias("row"), cells.alias("c")).select("row", "c.*")
     have = [c for c in SUBMISSION_COLUMNS if c in raw.columns]
     rows = raw.select("row", *[F.coalesce(c, F.lit("")).alias(c) for c in have])
     if symbols is None:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from claimweave.functions.vocab import GRAPH_ALT_ID, GRAPH_REPLACED_BY, GRAPH_SYNONYM_SCOPES
 from claimweave.functions.web import curie
 from claimweave.operators.filters import lookup
+from claimweave.sources.split import json_elements
 
 SYNONYM = r'^"((?:[^"\\]|\\.)*)"\s+(EXACT|BROAD|NARROW|RELATED)\b'
 
@@ -52,16 +53,18 @@ def read_obo(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return terms, release
 
 
-GRAPH_SCHEMA = """graphs array<struct<meta: struct<version: string>,
- nodes: array<struct<id: string, lbl: string, type: string, meta: struct<deprecated: boolean,
-  synonyms: array<struct<pred: string, val: string>>, basicPropertyValues: array<struct<pred: string, val: string>>>>>,
- edges: array<struct<sub: string, pred: string, obj: string>>>>"""
+NODE_SCHEMA = """id string, lbl string, type string, meta struct<deprecated: boolean,
+ synonyms: array<struct<pred: string, val: string>>, basicPropertyValues: array<struct<pred: string, val: string>>>"""
+EDGE_SCHEMA = "sub string, pred string, obj string"
+HEAD_SCHEMA = "graphs array<struct<meta: struct<version: string>>>"
+GRAPH_DEPTH = 4  # {"graphs": [{"nodes": [ ... ], "edges": [ ... ]}]}
 
 
 def read_obographs(spark: SparkSession, path: str, prefix: str = "HP:") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(terms, edges, release) of OBO Graphs files; one document per file, so large releases come as several files."""
-    graph = spark.read.schema(GRAPH_SCHEMA).option("multiLine", True).json(path).select(F.get("graphs", F.lit(0)).alias("g"))
-    nodes = graph.select(F.explode("g.nodes").alias("n")).filter("n.type = 'CLASS'").select(curie(F.col("n.id")).alias("id"), "n")
+    """(terms, edges, release) of OBO Graphs files, a large one read by many tasks (``split.json_elements``)."""
+    elements, rest = json_elements(spark, path, GRAPH_DEPTH)
+    nodes = elements.filter("array = 'nodes'").select(F.from_json("value", NODE_SCHEMA).alias("n"))
+    nodes = nodes.filter("n.type = 'CLASS'").select(curie(F.col("n.id")).alias("id"), "n")
     empty_pairs = F.array().cast("array<struct<pred:string,val:string>>")
     props = F.coalesce("n.meta.basicPropertyValues", empty_pairs)
     synonyms = F.transform(F.coalesce("n.meta.synonyms", empty_pairs), lambda s: F.struct(
@@ -75,9 +78,10 @@ def read_obographs(spark: SparkSession, path: str, prefix: str = "HP:") -> tuple
         F.filter(synonyms, lambda s: s["scope"].isNotNull() & (s["text"] != "")).alias("synonyms"),
         F.coalesce("n.meta.deprecated", F.lit(False)).alias("is_obsolete"),
         F.transform(property_values(GRAPH_REPLACED_BY), curie).alias("replaced_by"))
-    edges = graph.select(F.explode("g.edges").alias("e")).filter("e.pred = 'is_a'").select(
+    edges = elements.filter("array = 'edges'").select(F.from_json("value", EDGE_SCHEMA).alias("e")).filter("e.pred = 'is_a'").select(
         curie(F.col("e.sub")).alias("child"), curie(F.col("e.obj")).alias("parent"))
     edges = edges.filter(F.col("parent").startswith(prefix)).join(terms.select(F.col("id").alias("child")), "child", "left_semi")
+    graph = rest.select(F.get(F.from_json("value", HEAD_SCHEMA)["graphs"], F.lit(0)).alias("g"))
     version = F.col("g.meta.version")
     dated = F.regexp_extract(version, r"releases/([^/]+)/", 1)
     release = graph.select(F.when(dated != "", F.concat(F.lit("hp/releases/"), dated)).otherwise(version).alias("release"))

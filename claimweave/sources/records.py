@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.operators.windows import latest_per_key
+from claimweave.session import cut_lineage
 from claimweave.sources.lines import read_lines
 
 # JSON type names by Spark type, as ``schema_of_variant`` spells them.
@@ -39,6 +45,49 @@ def read_strict(spark: SparkSession, path: str, ddl: str) -> tuple[DataFrame, Da
     return records, judged.filter(F.size("problems") > 0).select("file", "line_no", "value", F.explode("problems").alias("problem"))
 
 
+CHUNK = 1 << 20  # bytes of a file in memory at a time
+TASK_SCHEMES = ("", "file", "hdfs", "s3", "s3a", "gs", "gcs", "abfs", "abfss")  # stores that tasks can open themselves
+
+
+def _digests(folder: str):
+    """(path, digest, bytes) of the files named in a partition; a file that is not there has no digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uri = folder.replace("s3a://", "s3://", 1)
+        store, root = (fs.LocalFileSystem(), uri) if "://" not in uri and not uri.startswith("file:") else fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            out = []
+            for path in batch.column(0).to_pylist():
+                sha, size = hashlib.sha256(), 0
+                try:
+                    with store.open_input_stream(f"{root.rstrip('/')}/{path}", compression=None) as file:
+                        while chunk := file.read(CHUNK):
+                            sha.update(chunk)
+                            size += len(chunk)
+                    out.append((path, sha.hexdigest(), size))
+                except FileNotFoundError:
+                    out.append((path, None, None))
+            columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["path", "digest", "bytes"])
+
+    return run
+
+
+def file_digests(paths: DataFrame, folder: str) -> DataFrame:
+    """(path, digest, bytes) of every distinct ``path`` below ``folder``, SHA-256 read in chunks where the row lies.
+
+    The rows of the manifest plan the work: no folder is listed, and files of any size pass in constant memory. Stores that
+    only Spark can open are read by Spark's own file source instead, which lists the folder.
+    """
+    spark = paths.sparkSession
+    scheme = folder.split("://", 1)[0] if "://" in folder else folder.split(":", 1)[0] if folder.startswith("file:") else ""
+    if scheme in TASK_SCHEMES:
+        return paths.select("path").distinct().mapInArrow(_digests(folder), "path string, digest string, bytes bigint")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    relative = F.substring_index("path", folder.rstrip("/") + "/", -1)
+    return files.select(relative.alias("path"), F.sha2("content", 256).alias("digest"), F.col("length").alias("bytes"))
+
+
 def verified_files(spark: SparkSession, folder: str, manifests: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(verified, problems): every usable manifest row must find its file with the recorded SHA-256.
 
@@ -48,10 +97,7 @@ def verified_files(spark: SparkSession, folder: str, manifests: list[DataFrame])
     for m in manifests[1:]:
         rows = rows.unionByName(m)
     wanted = rows.filter(F.col("ok") & F.col("path").isNotNull())
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    relative = F.substring_index("path", folder.rstrip("/") + "/", -1)
-    found = files.select(relative.alias("path"), F.sha2("content", 256).alias("digest"), F.col("length").alias("bytes"))
-    j = wanted.join(found, "path", "left")
+    j = cut_lineage(wanted.join(file_digests(wanted, folder), "path", "left"), "verified")  # read once for both results
     problem = F.when(F.col("digest").isNull(), "file is missing").when(F.col("digest") != F.col("sha256"), "SHA-256 differs")
     judged = j.withColumn("problem", problem)
     return judged.filter("problem is null").select("key", "path", "digest", "bytes"), judged.filter("problem is not null").select("key", "path", "problem")
