@@ -44,19 +44,26 @@ _PLUS = r"(?:\bplus[\s,-]{1,3})?"
 SPELLED = re.compile(rf"{_PLUS}\b{_DIGIT}\b(?:[\s,.-]{{1,3}}{_DIGIT}\b){{3,}}", re.IGNORECASE)
 SPELLED_PART = re.compile(rf"plus|{_DIGIT}", re.IGNORECASE)
 OPEN, CLOSE = r"[\[({<]", r"[\])}>]"
-_DOMAIN_AHEAD = rf"(?=[\w-]+\s?(?:{OPEN}?\s?dot\s?{CLOSE}?|\.)\s?\w)"
+_SPELLED_AHEAD = rf"(?=[\w-]+\s?{OPEN}?\s?dot\s?{CLOSE}?\s?\w)"
 # Each alternative is one way to write the sign: in brackets, as a reference, joined by underscores or hyphens, in capitals
 # inside a word, spaced out, and as a bare word before what reads like a domain.
 AT = "|".join([
     rf"\s?{OPEN}\s?(?:at|@|arroba)\s?{CLOSE}\s?", r"&#64;|&#x40;|&commat;", r"\s?_at_\s?", r"(?<=\w)-at-(?=[\w-]+-dot-\w)",
-    r"(?<=\w)(?-i:AT)(?=(?-i:[a-z0-9-])+(?-i:DOT)\w)", r"(?<=[\w.%+-])\s@\s(?=\w)", rf"(?<=[\w.%+-])\sat\s{_DOMAIN_AHEAD}",
+    r"(?<=\w)(?-i:AT)(?=(?-i:[a-z0-9-])+(?-i:DOT)\w)", r"(?<=[\w.%+-])\s@\s(?=\w)", rf"(?<=[\w.%+-])\sat\s{_SPELLED_AHEAD}",
 ])
+#: The bare word before a name with plain dots is mostly prose ("look at github.com"): ``reads_as_sign`` decides.
+BARE_AT = r"(?<=[\w.%+-])\sat\s(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w@]))"
 DOT = "|".join([
     rf"(?<=[\w-])\s?{OPEN}\s?(?:dot|\.|point|punkt|punto)\s?{CLOSE}\s?(?=\w)", r"(?<=\w)(?:&#46;|&#x2e;|&period;)(?=\w)", r"(?<=\w)(?:_dot_|-dot-|\sdot\s)(?=\w)",
     r"(?<=(?-i:[a-z0-9]))(?-i:DOT)(?=(?-i:[a-z0-9]))",
 ])
-PHRASES = re.compile(f"(?P<spelled>{SPELLED.pattern})|(?P<at>{AT})|(?P<dot>{DOT})", re.IGNORECASE)
-SPACED_AT = re.compile(rf"\sat\s{_DOMAIN_AHEAD}", re.IGNORECASE)
+PHRASES = re.compile(f"(?P<spelled>{SPELLED.pattern})|(?P<at>{AT})|(?P<bare>{BARE_AT})|(?P<dot>{DOT})", re.IGNORECASE)
+#: What may follow a bare "at", searched from the letters so that other text costs little.
+SPACED_AT = re.compile(r"at(?<=\sat)\s(?=[\w-]+(?:\.[\w-]|\s?[\[({<]?\s?dot))", re.IGNORECASE)
+LOCAL_BEFORE = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+#: Words after which a name before "at" is an address, with small words in between; and words that are no such name.
+CUE = re.compile(r"\b(?:e-?mails?|mails?|contact|write|reach|courriel|correo|kontakt|adresse|address)(?:[\s:,;(<\"'-]+(?:me|us|him|her|them|to|is|address|directly|an|à|a|ist|es))*[\s:,;(<\"'-]+\Z", re.IGNORECASE)
+NO_NAMES = frozenset("a all an and are available be been both call directly found for from hosted here him her here's is it just live look me now on online only or out read see served stay them there this times to today us visit was we were you".split())
 BRACKETED = re.compile(rf"{OPEN}\s?(?:at|@|arroba|dot|\.|point|punkt|punto)\s?{CLOSE}", re.IGNORECASE)
 MISLEADING = re.compile("|".join([f"[{''.join(map(re.escape, LOOKALIKES))}{''.join(INVISIBLE)}]", r"[٠-٩۰-۹०-९]", r"[！-～\U0001d400-\U0001d7ff①-⑳²³¹⁰-⁹₀-₉]"]))
 
@@ -166,11 +173,25 @@ def plain_characters(text: str) -> Rewriting:
     return out
 
 
+def reads_as_sign(text: str, start: int) -> bool:
+    """Whether a bare "at" at ``start`` before a plain domain stands for the sign: the word before it has the form of an
+    address (letters with a digit, dot or underscore) or follows a word such as mail, contact or write to."""
+    local = LOCAL_BEFORE.search(text, max(0, start - 64), start)
+    if not local or local.group().lower() in NO_NAMES:
+        return False
+    name = local.group()
+    if any(c in "0123456789._" for c in name[1:-1]) and any(c.isalpha() for c in name):
+        return True
+    return CUE.search(text[max(0, local.start() - 60) : local.start()]) is not None
+
+
 def plain_phrases(text: str) -> Rewriting:
     out = Rewriting(text)
     for m in PHRASES.finditer(text):
-        if m.lastgroup == "at":
+        if m.lastgroup == "at" or m.lastgroup == "bare" and reads_as_sign(text, m.start()):
             out.replace(m.start(), m.end(), "@")
+        elif m.lastgroup == "bare":
+            continue
         elif m.lastgroup == "dot":
             out.replace(m.start(), m.end(), ".")
         else:

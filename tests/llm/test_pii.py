@@ -56,6 +56,16 @@ def test_prose_stays_clean():
         assert found(text) == []
 
 
+def test_host_names_times_and_numbers_after_at_stay():
+    for text in (
+        "look at github.com for it", "Visit us at www.example.org.", "The talk is at python.org today", "at 5.30 pm we met at 10.15 sharp", "Mail us at example.com or call",
+        "version 2.0 at github.com", "on 2024-05-01 at example.com", "priced at 3.50 each", "See more at docs.example.co.uk/page", "We look at v1.2 and at v2.0.", "write to me at example.org",
+    ):
+        assert found(text) == [] and P.masked(text, P.scan_text(text)[1]) == text, text
+    for before, address in (("write to ", "bob at example.com"), ("E-mail: ", "ann at mail.example.org"), ("contact him, ", "j.smith at example.com"), ("or ", "bob_7 at example.net"), ("look, ", "bob at example dot com")):
+        assert found(f"{before}{address} now") == [(address, "email")], address
+
+
 def test_rewriting_returns_every_span():
     out = P.Rewriting("abcdef")
     out.replace(1, 3, "X")
