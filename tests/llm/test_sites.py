@@ -1,3 +1,5 @@
+import time
+
 from claimweave.llm.sites import Page, host_of, main_texts
 
 
@@ -48,3 +50,60 @@ def test_copies_of_a_wrapped_article_stay_whole(spark):
     pages = [(i, f"http://site.org/{i}", copy) for i in range(6)] + [(10 + i, f"http://site.org/o{i}", copy.replace("Copied", f"Own {i}")) for i in range(6)]
     got = sorted((r.page_id, r.text) for r in main_texts(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect())
     assert got == [(i, "Copied text") for i in range(6)] + [(10 + i, f"Own {i} text") for i in range(6)]
+
+
+def test_ordinary_markup_keeps_its_text():
+    for page, want in (
+        ("<article><div style='overflow:hidden'><p>Body text.</p></div></article>", "Body text."),
+        ('<article><p>See <a title="A hidden gem">the shop</a> now</p></article>', "See the shop now"),
+        ('<body class="has-sidebar"><article><p>Text</p></article></body>', "Text"),
+        ('<body class="single no-comments"><p>Text</p></body>', "Text"),
+        ('<article><h2 id="social-policy">Policy</h2><section id="related-work"><p class="widget-intro">Work</p></section></article>', "Policy\nWork"),
+        ('<div class="menu-wrapper"><article><p>Inside a wrapper</p></article></div>', "Inside a wrapper"),
+        ("<article><p>One</p></article><p>Two stands outside</p>", "One\nTwo stands outside"),
+        ('<p data-x="class=ad">A</p><p id=b class="x y">B</p><p aria-hidden=false>C</p><p aria-hidden="true">D</p><p hidden>E</p>', "A\nB\nC"),
+        ('<article><p>A long enough text</p></article><section class="comments"><article><p>says who</p></article></section>', "A long enough text"),
+        ('<article><div class="comments"><p>c</p></div><div class="ad">x</div><p>T</p></article>', "T"),
+    ):
+        assert text(page) == want, page
+
+
+def test_recurring_blocks_inside_articles_against_brute_force(spark):
+    """A notice without a telling name goes from every article of a host; shared paragraphs and copied articles stay."""
+    notice, box = "<div class='x1'><p>Dear readers, we moved.</p></div>", "<section><p>Read on every day</p></section>"
+    own = lambda i: f"<p>Story {i} " + f"goes on and on {i} " * 30 + "</p>"
+    pages = [(i, f"http://a.org/{i}", f"<article><h1>T {i}</h1>{notice}{own(i)}<p>Shared words</p>{box if i < 4 else ''}</article><div>Start here</div>") for i in range(9)]
+    pages += [(20 + i, f"http://b.org/{i}", f"<article><h1>Copy</h1>{notice}{own(0)}</article>") for i in range(9)]  # copies count as one page
+    pages += [(40, "http://c.org/", pages[0][2]), (41, None, pages[0][2])]
+
+    def template(host):
+        found = {}
+        for _, url, html in pages:
+            if host_of(url) == host:
+                hashes, main = Page(html).subtrees()
+                for h in hashes:
+                    found.setdefault(h, set()).add(main)
+        return {h for h, mains in found.items() if len(mains) >= 5}
+
+    got = sorted(tuple(r) for r in main_texts(spark.createDataFrame(pages, "page_id bigint, url string, html string")).select("page_id", "text").collect())
+    assert got == sorted((i, Page(h).main_text(template(host_of(u)))) for i, u, h in pages)
+    texts = dict(got)
+    assert texts[0] == f"T 0\nStory 0 {('goes on and on 0 ' * 30).strip()}\nShared words\nRead on every day"
+    assert "Dear readers" not in texts[8] and "Dear readers" in texts[20] and "Dear readers" in texts[40] and "Start here" in texts[40]
+
+
+def test_unmatched_end_tags_are_cheap():
+    start = time.perf_counter()
+    n = 60_000
+    assert text("<b>" * n + "x" + "</i>" * n) == "x"
+    assert text("<i><table>" + "<b>" * n + "y" + "</i>" * n) == "y"
+    assert time.perf_counter() - start < 20
+
+
+def test_pages_that_are_not_read_by_the_size_of_the_host(spark):
+    """The same block on five pages goes on a small host and on a large one."""
+    block = "<div><p>Spring fair in town</p></div>"
+    page = lambda i: f"<body>{block if i < 5 else ''}<div><p>Text number {i}</p></div></body>"
+    for n in (6, 400):
+        df = spark.createDataFrame([(i, f"http://h.org/{i}", page(i)) for i in range(n)], "page_id bigint, url string, html string")
+        assert sorted(r.text for r in main_texts(df).collect()) == sorted(f"Text number {i}" for i in range(n))
