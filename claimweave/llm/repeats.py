@@ -324,7 +324,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
     rows = df.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
     rows = rows.select("id", F.xxhash64("_t").alias("th"), F.encode("_t", "UTF-8").alias("text"))
     often = anchor_counts(rows, length).groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key")
-    wanted = anchor_counts(rows, length).join(often, "key").groupBy("id", "th").agg(F.collect_list("key").alias("keys"))
+    wanted = anchor_counts(rows, length).join(often, "key").groupBy("id", "th").agg(F.collect_set("key").alias("keys"))  # equal rows ask once
     wanted = wanted.withColumnsRenamed({"id": "_id", "th": "_th"})
     same = lambda left: left["id"].eqNullSafe(F.col("_id")) & (left["th"] == F.col("_th"))
     texts = packed(rows)
@@ -332,7 +332,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
     table = stored(contexts(found, length), "occurrences")
     small = stored(table.withColumn("size", F.octet_length("data")).groupBy("key", "cid").agg(F.count("*").alias("weight"), F.max("size").alias("size")), "weights")
     ranges = resolve(small, table.filter("data IS NOT NULL").select("key", "cid", "low", "data"), length, STEPS, shard_bytes)
-    removal = table.select("key", "cid", "id", "th", "at").join(ranges, ["key", "cid"]).groupBy("id", "th").agg(F.collect_list(F.struct("at", "ranges")).alias("found"))
+    removal = table.select("key", "cid", "id", "th", "at").join(ranges, ["key", "cid"]).groupBy("id", "th").agg(F.collect_set(F.struct("at", "ranges")).alias("found"))
     removal = removal.withColumnsRenamed({"id": "_id", "th": "_th"})
     joined = texts.join(removal, same(texts), "left").select("id", "z", "found")
     kind = joined.schema["id"].dataType.simpleString()

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from claimweave.llm import repeats
 
@@ -70,3 +71,12 @@ def test_anchors_cover_every_window_once():
 
 def test_empty_table(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_many_equal_rows_with_one_id(spark):
+    """Equal rows share one list of places: the work grows with their number, not with its square."""
+    text = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(3000))
+    df = spark.range(2000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(text).alias("text"))
+    df = df.unionByName(spark.createDataFrame([(1, "short"), (2, text[:150] + "#" + text[200:420])], "doc_id bigint, text string"))
+    got = {tuple(r): r[4] for r in repeats.remove_repeats(df).groupBy("doc_id", "n_bytes", "n_removed", F.size("spans").alias("k")).count().collect()}
+    assert got == {(None, 3000, 3000, 1, 2000): 2000, (1, 5, 0, 0, 1): 1, (2, 371, 220, 1, 1): 1}
