@@ -23,7 +23,8 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 @query
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan_secrets(read(spark, sf_dir, "documents"))
+    docs = read(spark, sf_dir, "documents")
+    found = secrets.scan_secrets(docs, words=secrets.corpus_words(docs))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_guess", "max_log10_guesses")
 
 

@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Mapping
+from collections import Counter
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from claimweave.llm.common import Spans, per_row, spans_text
 
@@ -76,6 +79,18 @@ def _word_cost(value: str, rank: int, plain: str) -> float:
     return cost + (SEGMENT if value.lower() != plain else 0.0)
 
 
+_LONGEST: dict[int, tuple[Mapping[str, int], int]] = {}
+
+
+def longest_word(words: Mapping[str, int]) -> int:
+    """The length of the longest word, looked up once per dictionary."""
+    held = _LONGEST.get(id(words))
+    if held is None or held[0] is not words:
+        _LONGEST.clear()
+        held = _LONGEST[id(words)] = (words, max(map(len, words), default=0))
+    return held[1]
+
+
 def segments(value: str, words: Mapping[str, int], max_period: int) -> list[list[tuple[int, float]]]:
     """For every start in ``value`` the (end, log10 guesses) of the words, dates, walks, sequences and repeats from there."""
     n = len(value)
@@ -83,7 +98,7 @@ def segments(value: str, words: Mapping[str, int], max_period: int) -> list[list
     plain = lower.translate(LEET)
     if len(plain) != n:  # lower-casing changed the length: compare letter by letter
         lower = plain = value
-    longest = max(map(len, words), default=0)
+    longest = longest_word(words)
     starts: list[list[tuple[int, float]]] = [[] for _ in range(n)]  # by start: (end, cost)
     for i in range(n):
         for size in range(2, min(longest, n - i) + 1):
@@ -168,18 +183,46 @@ def scan_text(text: str, words: Mapping[str, int] = DEFAULT_WORDS, least_cost: f
     return base, base + added, highest
 
 
+WORD = re.compile(r"(?<![^\s\"'(])[a-z]{3,32}(?=[\s.,;:!?)\"']|\Z)")  # whole words of letters: no pieces of longer tokens
+MOST_WORDS = 50_000  # words of the dictionary: about half a megabyte, whatever the corpus
+LEAST_DOCS = 3  # texts that hold a word of the dictionary
+
+
+def corpus_words(df: DataFrame, text: str = "text", most: int = MOST_WORDS, least_docs: int = LEAST_DOCS) -> dict[str, int]:
+    """A dictionary of word ranks: the built-in words first, then the corpus's own by the number of texts that hold them.
+
+    Words are lower-cased and counted once per text; ties go by the word. Each batch is counted before the shuffle, and
+    only the ``most`` words with the highest counts come to the driver. Null texts have no words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total: Counter[str] = Counter()
+            for value in batch.column(0):
+                total.update(set(WORD.findall((value.as_py() or "").lower())))
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
+
+    counts = df.select(F.col(text).cast("string")).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counts.filter(F.col("n") >= least_docs).orderBy(F.desc("n"), "word").limit(most).select("word").toArrow().column(0).to_pylist()
+    ranks = dict(DEFAULT_WORDS)
+    for word in top:
+        ranks.setdefault(word, len(ranks) + 1)
+    return ranks
+
+
 def scan_secrets(
     df: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), words: Mapping[str, int] | None = None, least_cost: float = 10.0
 ) -> DataFrame:
     """Secrets of every row: ``keys``, counts by kind, spans of the base patterns, all spans, highest guess cost.
 
     A null text is an empty one. Repeated rows are scanned each for itself, other columns are not kept, an empty table
-    gives no rows, and texts are scanned whole whatever their length. ``words`` replaces the built-in word ranks.
+    gives no rows, and texts are scanned whole whatever their length. ``words`` replaces the built-in word ranks, for
+    instance by those of ``corpus_words``; they are broadcast and must be few enough for that.
     """
-    ranks = dict(DEFAULT_WORDS if words is None else words)
+    known = df.sparkSession.sparkContext.broadcast(dict(DEFAULT_WORDS if words is None else words))
 
     def scan(value: str) -> tuple:
-        base, every, highest = scan_text(value, ranks, least_cost)
+        base, every, highest = scan_text(value, known.value, least_cost)
         counts = [sum(k == kind for _, _, k in every) for kind in KINDS]
         return (*counts, spans_text(base, KINDS), spans_text(every, KINDS), highest)
 

@@ -63,3 +63,18 @@ def test_table_cases(spark):
     assert got == [(-1, 1, "assign:0:13"), (1, 0, ""), (2, 0, ""), (4, 1, "assign:0:13"), (4, 1, "assign:0:13"), (5, 1, "assign:300001:300016")]
     assert S.scan_secrets(df.limit(0)).count() == 0
     assert len(S.guess_cost.__doc__) and S.guess_cost("qw" * 20_000) > 0  # long values take linear time
+
+
+def test_words_of_the_corpus_are_cheap(spark):
+    texts = ["Internationalization is hard.", "internationalization (again), hard!", "an internationalization", "token: kqzxw9hard", "x kqzxw9 y", None, "once only"]
+    df = spark.createDataFrame([(t, 1) for t in texts], "text string, word int")
+    words = S.corpus_words(df, least_docs=2)
+    assert {w: r - len(S.DEFAULT_WORDS) for w, r in words.items() if w not in S.DEFAULT_WORDS} == {"internationalization": 1, "hard": 2}
+    assert S.guess_cost("internationalization") == 20 and S.guess_cost("internationalization", words) < 3
+    assert S.guess_cost("Internationalization2019hard", words) < 8 < S.guess_cost("kqzxwvbrtplm", words)
+    assert len(S.corpus_words(df, most=1, least_docs=2)) == len(S.DEFAULT_WORDS) + 1 and S.corpus_words(df.limit(0)) == S.DEFAULT_WORDS
+    rnd = random.Random(5)
+    parts = ["internationalization", "hard", "Hard", "qwerty", "2019", "aaa", "zq", "7"]
+    for _ in range(100):
+        value = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 3)))
+        assert abs(S.guess_cost(value, words) - cheapest(value, words, 16)) < 1e-9
