@@ -153,10 +153,12 @@ def same_set_owners(pairs: DataFrame, owner: str, item: str, least: int = 2) ->
 
 
 def mechanism_features(pairs: DataFrame) -> DataFrame:
-    """(a, b, dimension, comparison) with one row per dimension; there is no combined score.
+    """(a, b, dimension, comparison, assertion_ids) with one row per dimension; there is no combined score.
 
     ``pairs`` carries ``effect``, ``gene``, ``process_key``, ``cell`` and ``assay`` of both sides with suffixes _a and _b,
-    and ``known_a``/``known_b`` saying whether a mechanism definition exists.
+    ``known_a``/``known_b`` saying whether a mechanism definition exists, and ``evidence_a``/``evidence_b``: a map from
+    dimension to the ids of the assertions that state it, a bounded list per mechanism. A dimension names the assertions of
+    both sides, sorted, each once.
     """
     def text_dimension(name: str) -> Column:
         x, y = F.col(f"{name}_a"), F.col(f"{name}_b")
@@ -169,8 +171,11 @@ def mechanism_features(pairs: DataFrame) -> DataFrame:
     gene = F.when(F.col("gene_a") == F.col("gene_b"), "same").otherwise("different")
     both = F.col("known_a") & F.col("known_b")
 
+    none = F.array().cast("array<string>")
+
     def feature(name: str, value: Column) -> Column:
-        return F.struct(F.lit(name).alias("dimension"), value.alias("comparison"))
+        stated = [F.coalesce(F.try_element_at(f"evidence_{s}", F.lit(name)), none) for s in "ab"]
+        return F.struct(F.lit(name).alias("dimension"), value.alias("comparison"), F.array_sort(F.array_union(*stated)).alias("assertion_ids"))
 
     full = F.array(
         feature("functional_effect", effect), feature("gene", gene),
@@ -239,3 +244,14 @@ def order_statistics(df: DataFrame, value: str, ranks: dict[str, Column], enough
                 break
             part, rank, size = narrowed, rank - shift, new_size
     return out
+
+
+def profile_members(claims: DataFrame) -> DataFrame:
+    """(subject, level, kind, id), each once: what stands behind the profiles of both levels.
+
+    ``claims``: (subject, level, statement_status, eligible, evidence, family, mapped_id). Kinds are the evidence of positive
+    eligible claims, their publication families and the annotation ids that were mapped; members stay rows, however many.
+    """
+    positive = claims.filter(F.col("eligible") & F.col("statement_status").isin(*POSITIVE_STATUSES))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("id")) for k, c in (("evidence", "evidence"), ("family", "family"), ("mapped", "mapped_id"))])
+    return positive.select("subject", "level", F.inline(kinds)).filter("id IS NOT NULL").distinct()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.functions.vocab import (
+    ID_LENGTH,
     ANNOTATION_NAMESPACES, EFFECT_TERMS, NON_POSITIVE_VALIDITY, PROTOCOL_STATUSES, PUBLIC_METADATA, REVIEW_DIMENSIONS,
 )
 
@@ -201,3 +204,29 @@ def with_marker(captures: DataFrame, marker: Column) -> DataFrame:
     return captures.filter(
         (F.col("status") == 200) & (F.length("body") > 0) & F.coalesce(F.contains("body", marker), F.lit(True))
     )
+
+
+def entity_rules(prefixes: dict[str, tuple[str, ...]]) -> dict[str, Column]:
+    """What every entity (id, type, label) must fulfil: a known type, an id with a prefix of it and of bounded length, a label."""
+    fits = F.lit(False)
+    for kind, starts in prefixes.items():
+        for start in starts:
+            fits = fits | ((F.col("type") == kind) & F.startswith("id", F.lit(start)))
+    return {
+        "type is known": F.col("type").isin(*prefixes), "id has a prefix of its type": fits | ~F.col("type").isin(*prefixes),
+        "id is not too long": F.length("id") <= ID_LENGTH, "label is not empty": F.length(F.trim(F.coalesce("label", F.lit("")))) > 0,
+    }
+
+
+def span_rules() -> dict[str, Column]:
+    """What every quoted span (start, stop, quote, size) of a text of ``size`` characters must fulfil."""
+    return {
+        "span is not empty": (F.col("start") >= 0) & (F.col("start") < F.col("stop")), "span lies inside the text": F.col("stop") <= F.col("size"),
+        "quote is as long as the span": F.length("quote") == F.col("stop") - F.col("start"),
+    }
+
+
+def sentence_rules() -> dict[str, Column]:
+    """What every sentence (text, assertion_ids, calculation_ids, opportunity_ids) must fulfil."""
+    named = reduce(lambda x, y: x + y, [F.coalesce(F.size(c), F.lit(0)) for c in ("assertion_ids", "calculation_ids", "opportunity_ids")])
+    return {"sentence names a record": named > 0, "sentence has a text": F.length(F.trim("text")) > 0}

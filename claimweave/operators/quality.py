@@ -225,3 +225,46 @@ def coverage_class(total: Column, limit: Column, missing: Column, failed: Column
 def coverage_rule(completion: Column, reason: Column) -> Column:
     """A reason is required exactly when a search was not complete."""
     return (completion == "complete_for_query") == reason.isNull()
+
+
+PROTOCOL_STATUSES = ("planned", "listed_record")  # what a protocol document may support
+
+
+def assertion_problems(
+    assertions: DataFrame, contexts: DataFrame, variants: DataFrame, entities: DataFrame, terms: DataFrame,
+    support_refs: DataFrame, supports: DataFrame, evidence: DataFrame, sources: DataFrame,
+) -> DataFrame:
+    """(id, problem), each once: what is structurally wrong with an assertion and with everything it names.
+
+    ``assertions``: (id, predicate, subject_id, object_id, context_id, statement_status); ``contexts``: (id, disease_id);
+    ``variants``: (id, variant_id), the typed scope of an assertion; ``entities``: (id, type); ``terms``: (id, current,
+    phenotypic); ``support_refs``: (id, support_id) as listed by assertions; ``supports``: (id, assertion_id, evidence_id,
+    stance); ``evidence``: (id, source_document_id); ``sources``: (id, document_role). Each rule is a join by key on the
+    rows that it concerns; no rule gathers an assertion's records.
+    """
+    def said(df: DataFrame, problem: Column) -> DataFrame:
+        return df.select("id", problem.alias("problem")).filter("problem IS NOT NULL")
+
+    phenotype = F.col("predicate") == "has_phenotype"
+    scoped = assertions.filter("context_id IS NOT NULL").join(contexts.select(F.col("id").alias("context_id"), "disease_id", F.lit(True).alias("known")), "context_id", "left")
+    context = F.when(F.col("known").isNull(), F.concat(F.lit("context "), "context_id", F.lit(" does not exist"))).when(
+        phenotype & ~F.col("disease_id").eqNullSafe(F.col("subject_id")), "the subject of a scoped phenotype is not the context's disease")
+    typed = variants.join(entities.select(F.col("id").alias("variant_id"), "type"), "variant_id", "left")
+    variant = F.when(~F.col("type").eqNullSafe(F.lit("variant")), F.concat(F.lit("scope variant "), "variant_id", F.lit(" is no variant entity")))
+    named = assertions.filter(phenotype).join(terms.select(F.col("id").alias("object_id"), "current", "phenotypic"), "object_id", "left")
+    term = F.when(~F.coalesce("current", F.lit(False)), F.concat("object_id", F.lit(" is no current term"))).when(~F.col("phenotypic"), F.concat("object_id", F.lit(" is no phenotype term")))
+    owned = support_refs.select("id", "support_id").distinct().join(
+        supports.select(F.col("id").alias("support_id"), F.col("assertion_id").alias("owner"), "evidence_id", "stance"), "support_id", "left")
+    backed = owned.join(evidence.select(F.col("id").alias("evidence_id"), "source_document_id", F.lit(True).alias("found")), "evidence_id", "left")
+    backed = backed.join(sources.select(F.col("id").alias("source_document_id"), "document_role", F.lit(True).alias("captured")), "source_document_id", "left")
+    backed = backed.join(assertions.select("id", "statement_status"), "id")
+    mine = F.col("owner").eqNullSafe(F.col("id"))
+    support = F.when(~mine, F.concat(F.lit("support "), "support_id", F.lit(" is missing or belongs to another assertion"))).when(
+        F.col("found").isNull(), F.concat(F.lit("support "), "support_id", F.lit(" cites missing evidence"))).when(
+        F.col("captured").isNull(), F.concat(F.lit("evidence "), "evidence_id", F.lit(" cites a source that is not captured"))).when(
+        (F.col("document_role") == "protocol") & (F.col("stance") == "supports") & ~F.col("statement_status").isin(*PROTOCOL_STATUSES),
+        F.concat("source_document_id", F.lit(" is a protocol and cannot support a "), "statement_status", F.lit(" claim")))
+    count = backed.groupBy("id").agg(F.count_if(mine & F.col("captured").isNotNull() & (F.col("stance") == "supports")).alias("supporting"))
+    counted = assertions.select("id").join(count, "id", "left")
+    none = F.when(F.col("supporting").isNull(), "assertion has no support records").when(F.col("supporting") == 0, "assertion has no supporting evidence")
+    return report([said(scoped, context), said(typed, variant), said(named, term), said(backed, support), said(counted, none)]).distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimweave.functions.text import fold, normalize_key, word_tokens
-from claimweave.functions.vocab import SEARCH_MATCHES
+from claimweave.functions.vocab import SEARCH_CONTEXTS, SEARCH_MATCHES
 from claimweave.operators.similarity import top_partners
 from claimweave.operators.windows import best_alias, latest_per_key
 
@@ -42,6 +42,21 @@ def search(aliases: DataFrame, entities: DataFrame, query: str, limit: int = SEA
         F.col("t.total").alias("total"), (F.col("t.total") > limit).alias("truncated"))
 
 
+def search_contexts(matches: DataFrame, contexts: DataFrame, limit: int = SEARCH_CONTEXTS) -> DataFrame:
+    """(entity, place, context, contexts, warning): the first ``limit`` contexts of every match by id, with their number.
+
+    ``contexts``: (entity, context). A match without a context has one row without one. ``warning`` says how many contexts
+    are shown if not all are. Matches are few, so contexts are cut per match before anything is sorted.
+    """
+    mine = contexts.select("entity", "context").distinct().join(matches.select("entity"), "entity", "left_semi")
+    order = Window.partitionBy("entity").orderBy("context")
+    shown = mine.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+    totals = mine.groupBy("entity").agg(F.count("*").alias("contexts"))
+    rows = matches.select("entity").join(shown, "entity", "left").join(totals, "entity", "left").withColumn("contexts", F.coalesce("contexts", F.lit(0)))
+    warning = F.when(F.col("contexts") > limit, F.format_string(f"CONTEXTS_TRUNCATED: showing {limit} of %d", "contexts"))
+    return rows.select("entity", "place", "context", "contexts", warning.alias("warning"))
+
+
 def retrieve(mentions: DataFrame, aliases: DataFrame, limit: int = 5) -> DataFrame:
     """(mention, entity, score, rank): the best entities per mention by token overlap of any alias, then by id.
 

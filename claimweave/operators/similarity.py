@@ -364,6 +364,75 @@ def comparison_cards(cards: DataFrame, coverage: DataFrame, facts: DataFrame) ->
         .when(differs, "overlap coexists with different effects").alias("counterexample"))
 
 
+def pair_scores(pairs: DataFrame, weighted: DataFrame, out: str) -> DataFrame:
+    """(a, b, ``out``): the weighted overlap of given pairs, null where a side has no profile of positive weight.
+
+    ``weighted``: (entity, term, weight) of the entities whose score is not withheld. Pairs are few per start.
+    """
+    exact = weighted.select("entity", "term", F.col("weight").cast("decimal(28,15)").alias("weight"))
+    totals = exact.groupBy("entity").agg(F.sum("weight").cast(WEIGHT).alias("total"))
+    left = pairs.select("a", "b").join(exact.withColumnRenamed("entity", "a"), "a")
+    shared = left.join(exact.select(F.col("entity").alias("b"), "term"), ["b", "term"]).groupBy("a", "b").agg(F.sum("weight").cast(WEIGHT).alias("shared"))
+    j = pairs.select("a", "b").join(shared, ["a", "b"], "left")
+    for side in "ab":
+        j = j.join(totals.select(F.col("entity").alias(side), F.col("total").alias(f"total_{side}")), side, "left")
+    common = F.coalesce("shared", F.lit(0).cast(WEIGHT))
+    union = F.col("total_a") + F.col("total_b") - common
+    return j.select("a", "b", F.round(common.cast("double") / union.cast("double"), 12).alias(out))
+
+
+def unranked_candidates(profiles: DataFrame, features: DataFrame, ranked: DataFrame, k: int) -> DataFrame:
+    """(a, b, shares, feature): pairs that may be listed without a score, for starts with fewer than ``k`` ranked partners.
+
+    ``profiles``: (entity, level, term) with every expanded term, scored or not; ``features``: (entity, level, feature);
+    ``ranked``: (a, b). Unranked partners are listed by id, and fewer than ``k`` ranked ones and the start itself can stand
+    before them, so the first ``2k`` holders of each term or feature are enough for everybody.
+    """
+    def met(rows: DataFrame, name: str) -> DataFrame:
+        order = Window.partitionBy("level", name).orderBy("entity")
+        first = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= 2 * k).select("level", name, F.col("entity").alias("b"))
+        return rows.withColumnRenamed("entity", "a").join(full, "a", "left_anti").join(first, ["level", name]).filter("a <> b").select("a", "b").distinct()
+
+    full = ranked.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("a")
+    both = met(profiles, "term").withColumn("shares", F.lit(True)).join(met(features, "feature").withColumn("feature", F.lit(True)), ["a", "b"], "full")
+    return both.join(ranked.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", F.coalesce("shares", F.lit(False)).alias("shares"), F.coalesce("feature", F.lit(False)).alias("feature"))
+
+
+def two_level_cards(ranked: DataFrame, unranked: DataFrame, base: DataFrame, subgroup: DataFrame, contexts: DataFrame, effects: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` cards of each start with the scores of both levels, differences, unknowns and counterexamples.
+
+    ``ranked``: (a, b, score) at the start's own level; ``unranked``: as from ``unranked_candidates``; ``base`` and
+    ``subgroup``: weighted profiles of entities whose score is not withheld; ``contexts``: (entity, profile_level, parent);
+    ``effects``: (entity, effect, evidence). Ranked cards come first, by score and partner, then the others by partner.
+    """
+    own = F.when(F.col("profile_level") == "subgroup", "subgroup").otherwise("disease_baseline")
+    levels = contexts.select(F.col("entity").alias("a"), own.alias("basis"))
+    listed = ranked.select("a", "b", "score", F.lit(None).cast("boolean").alias("shares"), F.lit(None).cast("boolean").alias("feature")).unionByName(
+        unranked.select("a", "b", F.lit(None).cast("double").alias("score"), "shares", "feature"))
+    order = Window.partitionBy("a").orderBy(F.col("score").isNull(), F.desc("score"), "b")
+    cards = cut_lineage(listed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "two-level-cards")
+    j = cards.join(pair_scores(cards, base, "base_score"), ["a", "b"]).join(pair_scores(cards, subgroup, "subgroup_score"), ["a", "b"]).join(levels, "a")
+    for side in "ab":
+        j = j.join(contexts.select(F.col("entity").alias(side), F.col("parent").alias(f"parent_{side}")), side)
+        j = j.join(effects.select(F.col("entity").alias(side), F.col("effect").alias(f"effect_{side}"), F.col("evidence").alias(f"evidence_{side}")), side, "left")
+    is_ranked = F.col("score").isNotNull()
+    effect = F.when(F.col("effect_a").isNull() | F.col("effect_b").isNull(), "unknown").when(F.col("effect_a") == F.col("effect_b"), "same").otherwise("different")
+    why = F.when(F.when(F.col("basis") == "subgroup", F.col("subgroup_score")).otherwise(F.col("base_score")).isNull(), "a profile is missing or its score withheld").otherwise("no shared term of weight")
+    reasons = F.array_join(F.array_compact(F.array(F.when(F.col("shares"), "shared disease-baseline terms"), F.when(F.col("feature"), "sourced mechanism features"))), " and ")
+    unknowns = F.array_compact(F.array(
+        F.when(effect == "unknown", "functional effect not recorded on both sides"),
+        F.when(~is_ranked, F.concat(F.lit("not ranked at the "), F.regexp_replace("basis", "_", " "), F.lit(" level ("), why, F.lit("); listed because of "), reasons))))
+    counter = F.array_compact(F.array(
+        F.when((F.col("parent_a") == F.col("parent_b")) & F.col("base_score").isNotNull() & F.col("subgroup_score").isNull(),
+               F.concat(F.lit("one shared parent baseline (overlap "), score_text(F.col("base_score")), F.lit(") does not establish subgroup similarity"))),
+        F.when((effect == "different") & (F.col("base_score") >= 0.5), "overlap coexists with different functional effects")))
+    return j.select(
+        "a", "b", "rank", F.when(is_ranked, F.col("basis")).otherwise("unranked").alias("ranking_basis"), "base_score", "subgroup_score", effect.alias("effect_comparison"),
+        F.array_sort(F.array_distinct(F.array_compact(F.array("evidence_a", "evidence_b")))).alias("feature_evidence"),
+        F.array_compact(F.array(F.when(effect == "different", "functional effects differ"))).alias("differences"), unknowns.alias("unknowns"), counter.alias("counterexamples"),
+        F.array(F.concat(F.lit("Disease-baseline weighted overlap: "), score_text(F.col("base_score"))), F.concat(F.lit("Subgroup weighted overlap: "), score_text(F.col("subgroup_score")))).alias("summary"))
+
+
 def calculation_rows(cards: DataFrame, ic: DataFrame) -> DataFrame:
     """Provenance of each card with an id derived from its content."""
     size = ic.agg(F.max("total")).scalar()

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimweave.functions.vocab import PREDICATE_PHRASES, STATUS_PHRASES
+from claimweave.functions.vocab import LIST_ITEMS, PREDICATE_PHRASES, STATUS_PHRASES
 from claimweave.operators.filters import lookup
 
 
@@ -84,6 +84,34 @@ def context_views(contexts: DataFrame, explanations: DataFrame, definitions: Dat
                     F.col("written").isNotNull().alias("reviewed"), F.array_join(limits, "; ").alias("limitations"))
 
 
+def context_profiles(contexts: DataFrame, claims: DataFrame, shown: int = LIST_ITEMS) -> DataFrame:
+    """(context, profile_level, mechanism, disease_profile, subgroup_profile, limitations): both profiles of every context.
+
+    ``contexts``: (context, profile_level, mechanism); ``claims``: (context, level, term, negated, assessed) with level
+    disease_baseline or subgroup. A profile is a struct of its number of direct terms, of those without reference support
+    and of those that are also denied, and the first ``shown`` terms. Only contexts of the level subgroup have a subgroup
+    profile; one without terms is missing, not empty. What follows from the gaps is spelled out in ``limitations``.
+    """
+    terms = claims.groupBy("context", "level", "term").agg(F.bool_or(~F.col("negated")).alias("stated"), F.bool_or("negated").alias("denied"), F.bool_or("assessed").alias("assessed"))
+    direct = terms.filter("stated")
+    totals = direct.groupBy("context", "level").agg(
+        F.count("*").alias("direct_terms"), F.count_if(~F.col("assessed")).alias("unassessed_terms"), F.count_if("denied").alias("open_disagreements"))
+    order = Window.partitionBy("context", "level").orderBy("term")
+    first = direct.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= shown).groupBy("context", "level").agg(F.array_sort(F.collect_list("term")).alias("terms"))
+    profile = totals.join(first, ["context", "level"])
+    fields = ["direct_terms", "unassessed_terms", "open_disagreements", "terms"]
+    j = contexts
+    for level, name in (("disease_baseline", "disease_profile"), ("subgroup", "subgroup_profile")):
+        j = j.join(profile.filter(F.col("level") == level).select("context", F.struct(*fields).alias(name)), "context", "left")
+    has_subgroup = F.col("profile_level") == "subgroup"
+    limits = F.array_compact(F.array(
+        F.lit("grouping, not a diagnosis"), F.when(F.col("mechanism").isNull(), "mechanism unknown"), F.when(F.col("disease_profile").isNull(), "no baseline"),
+        F.when(F.col("disease_profile.unassessed_terms") > 0, "scores withheld: terms without reference support"),
+        F.when(F.col("disease_profile.open_disagreements") > 0, "scores withheld: open disagreements"),
+        F.when(has_subgroup & F.col("subgroup_profile").isNull(), "subgroup profile is missing, not empty")))
+    return j.select("context", "profile_level", "mechanism", "disease_profile", F.when(has_subgroup, F.col("subgroup_profile")).alias("subgroup_profile"), limits.alias("limitations"))
+
+
 def snapshot_summary(snapshot: str, counts: dict[str, DataFrame], versions: DataFrame) -> DataFrame:
     """(name, value) rows: the snapshot, one count per table and each distinct source version."""
     spark = versions.sparkSession

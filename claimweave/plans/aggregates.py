@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.functions.vocab import STATUS_PHRASES
@@ -72,6 +72,19 @@ def profile_terms(t):
     return aggregates.profile_terms(eligible_claims(t))
 
 
+@query("profile_members", "G-7", f"""WITH {ELIGIBLE_SQL},
+pos AS (SELECT subject, CASE WHEN l_quantity >= 25 THEN 'disease_baseline' ELSE 'subgroup' END AS level, evidence, 'order:' || source AS family, CASE WHEN origin = 'source_adapter' THEN 'OMIM:' || l_suppkey END AS mapped_id
+  FROM elig WHERE eligible AND statement_status IN ('reported_result', 'listed_record'))
+SELECT DISTINCT subject, level, 'evidence' AS kind, evidence AS id FROM pos UNION ALL SELECT DISTINCT subject, level, 'family', family FROM pos
+UNION ALL SELECT DISTINCT subject, level, 'mapped', mapped_id FROM pos WHERE mapped_id IS NOT NULL""")
+def profile_members(t):
+    """Evidence, publication families and mapped ids of both levels; lines of 25 and more speak about the disease."""
+    c = eligible_claims(t)
+    return aggregates.profile_members(c.select(
+        "subject", F.when(F.col("l_quantity") >= 25, "disease_baseline").otherwise("subgroup").alias("level"), "statement_status", "eligible", "evidence",
+        F.concat(F.lit("order:"), "source").alias("family"), F.when(F.col("origin") == "source_adapter", F.concat(F.lit("OMIM:"), "l_suppkey")).alias("mapped_id")))
+
+
 @query("profile_summary", "G-7", f"""WITH {PROFILE_TERMS_SQL} SELECT subject, count(*) FILTER (positives > 0) AS direct_terms,
 CAST(sum(positives) AS BIGINT) AS assertions, count(*) FILTER (positives > 0 AND negated > 0) AS open_disagreements FROM pt GROUP BY 1""")
 def profile_summary(t):
@@ -187,8 +200,8 @@ def mechanism_process_view(t):
 
 MECH_SQL = f"""mech AS (SELECT p_partkey AS id, p_size <= 45 AS known, coalesce({EFFECT_SQL}, 'unknown') AS effect, p_brand AS gene,
   CASE WHEN p_size % 4 <> 0 THEN p_type END AS process_key, CASE WHEN p_size % 3 <> 0 THEN p_name END AS cell, CASE WHEN p_size % 5 <> 0 THEN p_brand END AS assay FROM part),
-pairs AS (SELECT x.l_partkey AS a, y.l_partkey AS b FROM (SELECT l_orderkey, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1) x
-  JOIN (SELECT l_orderkey, max(l_partkey) AS l_partkey FROM lineitem GROUP BY 1) y USING (l_orderkey) WHERE x.l_partkey <> y.l_partkey GROUP BY 1, 2)"""
+pairs AS (SELECT DISTINCT x.l_partkey AS a, y.l_partkey AS b FROM (SELECT l_orderkey, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1) x
+  JOIN lineitem y USING (l_orderkey) WHERE x.l_partkey <> y.l_partkey)"""
 
 
 def mechanisms(t: Tables) -> DataFrame:
@@ -197,13 +210,24 @@ def mechanisms(t: Tables) -> DataFrame:
         F.col("p_partkey").alias("id"), (size <= 45).alias("known"),
         F.coalesce(filters.stated_effect(association_type()), F.lit("unknown")).alias("effect"), F.col("p_brand").alias("gene"),
         F.when(size % 4 != 0, F.col("p_type")).alias("process_key"), F.when(size % 3 != 0, F.col("p_name")).alias("cell"),
-        F.when(size % 5 != 0, F.col("p_brand")).alias("assay"))
+        F.when(size % 5 != 0, F.col("p_brand")).alias("assay"), stated_by(size).alias("evidence"))
+
+
+def stated_by(size: Column) -> Column:
+    """Dimension -> the records of a part that state it: its type, its brand, its size sheet."""
+    def ids(*names: str) -> Column:
+        return F.array(*[F.concat(F.lit(f"{n}:"), "p_partkey") for n in names])
+
+    none = F.array().cast("array<string>")
+    return F.create_map(
+        F.lit("functional_effect"), ids("type"), F.lit("gene"), ids("brand"), F.lit("affected_process"), F.when(size % 4 != 0, ids("type", "sheet")).otherwise(none),
+        F.lit("cell_or_tissue_context"), F.when(size % 3 != 0, ids("name")).otherwise(none), F.lit("assay_or_species_context"), F.when(size % 5 != 0, ids("brand")).otherwise(none))
 
 
 def mechanism_pairs(t: Tables) -> DataFrame:
-    """One pair per order: its first and last part."""
-    pairs = t.lineitem.groupBy("l_orderkey").agg(F.min("l_partkey").alias("a"), F.max("l_partkey").alias("b"))
-    pairs = pairs.filter("a <> b").select("a", "b").distinct()
+    """The first part of every order with each other part of it."""
+    first = t.lineitem.groupBy("l_orderkey").agg(F.min("l_partkey").alias("a"))
+    pairs = t.lineitem.select("l_orderkey", F.col("l_partkey").alias("b")).join(first, "l_orderkey").filter("a <> b").select("a", "b").distinct()
     m = mechanisms(t)
 
     def side(s):
@@ -218,10 +242,14 @@ f AS (SELECT a, b, 'functional_effect' AS dimension, CASE WHEN NOT (ma.known AND
   UNION ALL SELECT a, b, 'gene', CASE WHEN ma.gene = mb.gene THEN 'same' ELSE 'different' END FROM j WHERE ma.known AND mb.known
   UNION ALL SELECT a, b, 'affected_process', CASE WHEN ma.process_key IS NULL OR mb.process_key IS NULL THEN 'unknown' WHEN ma.process_key = mb.process_key THEN 'same' ELSE 'not_comparable' END FROM j WHERE ma.known AND mb.known
   UNION ALL SELECT a, b, 'cell_or_tissue_context', CASE WHEN ma.cell IS NULL OR mb.cell IS NULL THEN 'unknown' WHEN ma.cell = mb.cell THEN 'same' ELSE 'not_comparable' END FROM j WHERE ma.known AND mb.known
-  UNION ALL SELECT a, b, 'assay_or_species_context', CASE WHEN ma.assay IS NULL OR mb.assay IS NULL THEN 'unknown' WHEN ma.assay = mb.assay THEN 'same' ELSE 'not_comparable' END FROM j WHERE ma.known AND mb.known)
-SELECT a, b, dimension, comparison FROM f""")
+  UNION ALL SELECT a, b, 'assay_or_species_context', CASE WHEN ma.assay IS NULL OR mb.assay IS NULL THEN 'unknown' WHEN ma.assay = mb.assay THEN 'same' ELSE 'not_comparable' END FROM j WHERE ma.known AND mb.known),
+ev AS (SELECT p_partkey AS id, unnest([['functional_effect', 'type:' || p_partkey], ['gene', 'brand:' || p_partkey], ['affected_process', CASE WHEN p_size % 4 <> 0 THEN 'type:' || p_partkey END],
+    ['affected_process', CASE WHEN p_size % 4 <> 0 THEN 'sheet:' || p_partkey END], ['cell_or_tissue_context', CASE WHEN p_size % 3 <> 0 THEN 'name:' || p_partkey END],
+    ['assay_or_species_context', CASE WHEN p_size % 5 <> 0 THEN 'brand:' || p_partkey END]]) AS e FROM part),
+ids AS (SELECT f.a, f.b, f.dimension, string_agg(DISTINCT e[2], ',' ORDER BY e[2]) AS assertion_ids FROM (SELECT a, b, dimension, unnest([a, b]) AS id FROM f) f JOIN ev ON ev.id = f.id AND e[1] = f.dimension WHERE e[2] IS NOT NULL GROUP BY ALL)
+SELECT f.a, f.b, f.dimension, f.comparison, coalesce(assertion_ids, '') AS assertion_ids FROM f LEFT JOIN ids USING (a, b, dimension)""")
 def mechanism_comparison(t):
-    return aggregates.mechanism_features(mechanism_pairs(t))
+    return aggregates.mechanism_features(mechanism_pairs(t)).withColumn("assertion_ids", F.array_join("assertion_ids", ","))
 
 
 @query("status_counts", "G-23", """

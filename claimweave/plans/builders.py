@@ -309,6 +309,35 @@ def context_view(t: Tables) -> DataFrame:
         o.filter("o_orderstatus = 'F'").select("context", F.col("o_orderkey").alias("assertion")), profiles)
 
 
+def _side_sql(name: str, alias: str) -> str:
+    return f"{alias}.direct_terms AS {name}_terms, {alias}.unassessed AS {name}_unassessed, {alias}.denied AS {name}_disagreements, {alias}.terms AS {name}_list"
+
+
+@query("context_profiles", "F-23", f"""
+WITH cl AS (SELECT o_custkey AS context, CASE l_linestatus WHEN 'F' THEN 'base' ELSE 'sub' END AS level, 'part:' || l_partkey AS term, bool_or(l_returnflag <> 'R') AS stated, bool_or(l_returnflag = 'R') AS denied,
+  bool_or(coalesce(p_size <= 45, false)) AS assessed FROM orders JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey GROUP BY ALL),
+d AS (SELECT *, row_number() OVER (PARTITION BY context, level ORDER BY term) AS i FROM cl WHERE stated),
+p AS (SELECT context, level, count(*) AS direct_terms, count(*) FILTER (NOT assessed) AS unassessed, count(*) FILTER (denied) AS denied, string_agg(term, ',' ORDER BY term) FILTER (i <= 25) AS terms FROM d GROUP BY 1, 2),
+c AS (SELECT c_custkey AS context, CASE WHEN c_custkey % 3 = 0 THEN 'disease' ELSE 'subgroup' END AS profile_level, CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS mechanism FROM customer)
+SELECT c.context, profile_level, mechanism, {_side_sql("base", "x")}, {_side_sql("subgroup", "y")},
+  concat_ws('; ', 'grouping, not a diagnosis', CASE WHEN mechanism IS NULL THEN 'mechanism unknown' END, CASE WHEN x.context IS NULL THEN 'no baseline' END,
+    CASE WHEN x.unassessed > 0 THEN 'scores withheld: terms without reference support' END, CASE WHEN x.denied > 0 THEN 'scores withheld: open disagreements' END,
+    CASE WHEN profile_level = 'subgroup' AND y.context IS NULL THEN 'subgroup profile is missing, not empty' END) AS limitations
+FROM c LEFT JOIN p x ON x.context = c.context AND x.level = 'base' LEFT JOIN p y ON y.context = c.context AND y.level = 'sub' AND profile_level = 'subgroup'""")
+def context_profiles(t: Tables) -> DataFrame:
+    """Customers as contexts: finished lines speak about the disease, open ones about the subgroup."""
+    sizes = t.part.select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") <= 45).alias("assessed"))
+    lines = t.orders.select("o_orderkey", F.col("o_custkey").alias("context")).join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).join(sizes, "l_partkey", "left")
+    claims = lines.select("context", F.when(F.col("l_linestatus") == "F", "disease_baseline").otherwise("subgroup").alias("level"), F.concat(F.lit("part:"), "l_partkey").alias("term"),
+                          (F.col("l_returnflag") == "R").alias("negated"), F.coalesce("assessed", F.lit(False)).alias("assessed"))
+    contexts = t.customer.select(F.col("c_custkey").alias("context"), F.when(F.col("c_custkey") % 3 == 0, "disease").otherwise("subgroup").alias("profile_level"),
+                                 F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")).alias("mechanism"))
+    sides = [F.col(f"{p}_profile.{f}").alias(f"{n}_{g}") for p, n in (("disease", "base"), ("subgroup", "subgroup"))
+             for f, g in (("direct_terms", "terms"), ("unassessed_terms", "unassessed"), ("open_disagreements", "disagreements"))]
+    lists = [F.array_join(f"{p}_profile.terms", ",").alias(f"{n}_list") for p, n in (("disease", "base"), ("subgroup", "subgroup"))]
+    return views.context_profiles(contexts, claims).select("context", "profile_level", "mechanism", *sides, *lists, F.array_join("limitations", "; ").alias("limitations"))
+
+
 @query("context_sentences", "F-23", """
 WITH w AS (SELECT o_custkey AS context, o_orderkey AS record FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 400000)
 SELECT context, record, 'reviewed' AS origin FROM w UNION ALL SELECT o_custkey, o_orderkey, 'record' FROM orders WHERE o_orderstatus = 'F' AND o_custkey NOT IN (SELECT context FROM w)""")

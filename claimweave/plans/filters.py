@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.functions import text, web
-from claimweave.functions.vocab import OBO_IRI
+from claimweave.functions.vocab import ID_PREFIXES, OBO_IRI
 from claimweave.operators import filters, windows
 from claimweave.plans import bindings as b
 from claimweave.plans.catalogue import Tables, query
@@ -167,6 +169,41 @@ def record_constraints(t):
     })
 
 
+@query("kind_constraints", "C-9", """
+WITH ent AS (SELECT CASE c_custkey % 7 WHEN 0 THEN 'customer:' WHEN 1 THEN 'ORCID:' ELSE 'person:' END || c_custkey AS id, 'person' AS type, c_name AS label FROM customer
+  UNION ALL SELECT 'asset:' || p_partkey, CASE WHEN p_size = 50 THEN 'thing' ELSE 'asset' END, CASE WHEN p_size = 49 THEN ' ' ELSE p_name END FROM part
+  UNION ALL SELECT 'org:' || CASE WHEN s_suppkey % 10 = 0 THEN repeat('x', 180) ELSE '' END || s_suppkey, 'organization', s_name FROM supplier),
+sp AS (SELECT doc_id, doc_id % 50 AS start, doc_id % 50 + CASE WHEN doc_id % 11 = 0 THEN 0 ELSE 40 END AS stop, substr(text, doc_id % 50 + 1, 40) AS quote, length(text) AS size FROM documents)
+SELECT 'entity' AS kind, id, 'type is known' AS problem FROM ent WHERE type = 'thing'
+UNION ALL SELECT 'entity', id, 'id has a prefix of its type' FROM ent WHERE type = 'person' AND id LIKE 'customer:%'
+UNION ALL SELECT 'entity', id, 'id is not too long' FROM ent WHERE length(id) > 180
+UNION ALL SELECT 'entity', id, 'label is not empty' FROM ent WHERE trim(label) = ''
+UNION ALL SELECT 'span', CAST(doc_id AS VARCHAR), 'span is not empty' FROM sp WHERE start >= stop
+UNION ALL SELECT 'span', CAST(doc_id AS VARCHAR), 'span lies inside the text' FROM sp WHERE stop > size
+UNION ALL SELECT 'span', CAST(doc_id AS VARCHAR), 'quote is as long as the span' FROM sp WHERE length(quote) <> stop - start
+UNION ALL SELECT 'sentence', conv_id || ':' || turn, 'sentence names a record' FROM conversations WHERE turn % 3 = 2
+UNION ALL SELECT 'sentence', conv_id || ':' || turn, 'sentence has a text' FROM conversations WHERE trim(text, ' ') = ''""")
+def kind_constraints(t):
+    """Constraints of entities, spans and sentences in one report."""
+    k = F.col("c_custkey") % 7
+    entities = (
+        t.customer.select(F.concat(F.when(k == 0, "customer:").when(k == 1, "ORCID:").otherwise("person:"), "c_custkey").alias("id"), F.lit("person").alias("type"), F.col("c_name").alias("label"))
+        .unionByName(t.part.select(F.concat(F.lit("asset:"), "p_partkey").alias("id"), F.when(F.col("p_size") == 50, "thing").otherwise("asset").alias("type"),
+                                   F.when(F.col("p_size") == 49, " ").otherwise(F.col("p_name")).alias("label")))
+        .unionByName(t.supplier.select(F.concat(F.lit("org:"), F.when(F.col("s_suppkey") % 10 == 0, F.repeat(F.lit("x"), 180)).otherwise(""), "s_suppkey").alias("id"),
+                                       F.lit("organization").alias("type"), F.col("s_name").alias("label"))))
+    start = (F.col("doc_id") % 50).cast("int")
+    spans = t.documents.select(
+        F.col("doc_id").cast("string").alias("id"), start.alias("start"), (start + F.when(F.col("doc_id") % 11 == 0, 0).otherwise(40)).alias("stop"),
+        F.substring("text", start + 1, F.lit(40)).alias("quote"), F.char_length("text").alias("size"))
+    record = lambda n: F.when(F.col("turn") % 3 == n, F.array(F.concat(F.lit("r:"), "turn"))).otherwise(F.array().cast("array<string>"))
+    sentences = t.conversations.select(
+        F.concat_ws(":", "conv_id", "turn").alias("id"), "text", record(0).alias("assertion_ids"), record(1).alias("calculation_ids"), F.lit(None).cast("array<string>").alias("opportunity_ids"))
+    parts = {"entity": (entities, filters.entity_rules(ID_PREFIXES)), "span": (spans, filters.span_rules()), "sentence": (sentences, filters.sentence_rules())}
+    found = [filters.violations(df, "id", rules).select(F.lit(kind).alias("kind"), "id", "problem") for kind, (df, rules) in parts.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
 def mappings(t: Tables) -> DataFrame:
     relation = (
         F.when(F.col("p_type") == "PROMO", "exact").when(F.col("p_type") == "SMALL", "broad")

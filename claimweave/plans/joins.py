@@ -102,7 +102,7 @@ def lookup_inputs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     mentions = (
         names.select(F.col("alias").alias("mention"))
         .unionByName(t.nation.select(F.concat(F.lit(" "), F.upper("n_name"), F.lit(" ")).alias("mention")))
-        .unionByName(t.part.filter("p_size = 1").select(F.concat(F.lit("part:"), "p_partkey").alias("mention")))
+        .unionByName(t.part.select(F.concat(F.lit("part:"), "p_partkey").alias("mention")))
         .unionByName(t.part.filter("p_size = 2").select(F.concat(F.lit("alt:"), "p_partkey").alias("mention")))
         .unionByName(t.region.select(F.concat(F.lit("unknown "), "r_name").alias("mention")))
     )
@@ -343,17 +343,17 @@ def covered_buckets(t):
 REACH_SQL = """reach AS (
   SELECT entity, anchor, min_by(predicate, way || ':' || lpad(record, 20, '0')) AS predicate, min_by(record, way || ':' || lpad(record, 20, '0')) AS record FROM (
     SELECT 'supplier:' || l_suppkey AS entity, p_brand AS anchor, 'serves' AS predicate, CAST(l_orderkey AS VARCHAR) AS record, 0 AS way
-      FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size = 1 AND l_quantity >= 45
+      FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 45
     UNION ALL SELECT 'customer:' || o_custkey, p_brand, 'investigator_on', CAST(o_orderkey AS VARCHAR), 1
-      FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE p_size = 1
+      FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
     UNION ALL SELECT 'supplier:' || x.l_suppkey, p_brand, 'owns_or_runs', CAST(x.l_orderkey AS VARCHAR), 1
-      FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey JOIN part ON p_partkey = y.l_partkey WHERE p_size = 1 AND x.l_linenumber = 1)
+      FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey JOIN part ON p_partkey = y.l_partkey WHERE x.l_linenumber = 1)
   WHERE entity NOT IN (SELECT 'customer:' || c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY') GROUP BY 1, 2)"""
 
 
 def reach(t: Tables) -> DataFrame:
-    """Customers and suppliers tied to brands of one-inch parts: directly, or through an order that contains such a part."""
-    small = t.part.filter("p_size = 1").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("anchor"))
+    """Customers and suppliers tied to brands: directly, or through an order that contains a part of it."""
+    small = t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("anchor"))
     lines = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
     named = lines.join(small, "l_partkey")
     record = F.lpad(F.col("l_orderkey").cast("string"), 20, "0")
@@ -385,8 +385,8 @@ def bridging_entities(t):
 
 
 def nation_communities(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nations as contexts: members buy or sell one-inch parts there, the region is the disease, brands are genes."""
-    small = t.part.filter("p_size = 1").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    """Nations as contexts: members buy or sell parts there, the region is the disease, brands are genes."""
+    small = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     lines = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey").join(small, "l_partkey")
     buyers = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").join(
         t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
@@ -403,7 +403,7 @@ def nation_communities(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 @query("community_overlap", "F-16 I-6", """
 WITH sold AS (SELECT c_nationkey AS context, l_suppkey, l_partkey FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey
-  JOIN customer ON c_custkey = o_custkey WHERE p_size = 1),
+  JOIN customer ON c_custkey = o_custkey),
 m AS (SELECT DISTINCT context, 'supplier:' || l_suppkey AS member, false AS person FROM sold UNION ALL SELECT DISTINCT context, 'order-part:' || l_partkey, true FROM sold)
 SELECT o.context, count(*) AS shared, count(*) FILTER (o.person) AS persons FROM m o JOIN m mine ON mine.member = o.member AND mine.context = 3
 JOIN nation n ON n.n_nationkey = o.context WHERE o.context <> 3 AND n_regionkey <> (SELECT n_regionkey FROM nation WHERE n_nationkey = 3) AND o.context % 4 <> 3

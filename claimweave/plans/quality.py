@@ -122,6 +122,54 @@ def structural_problems(t: Tables) -> DataFrame:
         "record": record_problems(t).distinct(), "span": span_verification(t).withColumnRenamed("span_id", "id"), "cited row": cited_row_verification(t), "count": counts, "qualifier": qualifiers})
 
 
+BOUND_SQL = f"""lines AS (SELECT *, 'claim:' || l_suppkey || ':' || l_partkey AS claim, {b.LINE_ID_SQL} AS line FROM lineitem),
+a AS (SELECT claim AS id, CASE WHEN any_value(l_partkey) % 5 = 0 THEN 'targets' ELSE 'has_phenotype' END AS predicate, 'supplier:' || any_value(l_suppkey) AS subject_id, 'part:' || any_value(l_partkey) AS object_id,
+  CASE WHEN any_value(l_partkey) % 2 = 0 THEN 'context:' || any_value(l_partkey) END AS context_id, CASE min(l_linestatus) WHEN 'F' THEN 'reported_result' ELSE 'planned' END AS statement_status FROM lines GROUP BY claim),
+c AS (SELECT 'context:' || c_custkey AS id, 'supplier:' || (c_custkey % 10 + 1) AS disease_id FROM customer),
+v AS (SELECT DISTINCT claim AS id, 'region:' || (l_suppkey % 7) AS variant_id FROM lines),
+en AS (SELECT 'region:' || r_regionkey AS id, CASE WHEN r_regionkey <= 2 THEN 'variant' ELSE 'gene' END AS type FROM region),
+refs AS (SELECT DISTINCT claim AS id, CASE WHEN l_linenumber = 7 THEN 'support:none' ELSE 'support:' || line END AS support_id FROM lines),
+sup AS (SELECT DISTINCT 'support:' || line AS id, CASE WHEN l_linenumber = 6 THEN 'claim:0:0' ELSE claim END AS assertion_id, line AS evidence_id, CASE l_returnflag WHEN 'R' THEN 'opposes' ELSE 'supports' END AS stance FROM lines),
+ev AS (SELECT DISTINCT line AS id, 'order:' || l_orderkey AS source_document_id FROM lines WHERE l_quantity <> 13),
+src AS (SELECT 'order:' || o_orderkey AS id, CASE WHEN o_orderpriority = '1-URGENT' THEN 'protocol' ELSE 'article' END AS document_role FROM orders WHERE o_orderstatus <> 'P'),
+backed AS (SELECT refs.*, assertion_id, evidence_id, stance, ev.id IS NOT NULL AS found, src.id AS captured, document_role, statement_status FROM refs JOIN a USING (id)
+  LEFT JOIN sup ON sup.id = support_id LEFT JOIN ev ON ev.id = evidence_id LEFT JOIN src ON src.id = source_document_id),
+sound AS (SELECT id, count(*) FILTER (assertion_id = id AND captured IS NOT NULL AND stance = 'supports') AS n FROM backed GROUP BY 1)"""
+
+
+@query("assertion_problems", "D-3", f"""WITH {BOUND_SQL}
+SELECT DISTINCT id, problem FROM (
+  SELECT a.id, CASE WHEN c.id IS NULL THEN 'context ' || context_id || ' does not exist' WHEN predicate = 'has_phenotype' AND disease_id <> subject_id THEN 'the subject of a scoped phenotype is not the context''s disease' END AS problem
+    FROM a LEFT JOIN c ON c.id = context_id WHERE context_id IS NOT NULL
+  UNION ALL SELECT v.id, CASE WHEN type IS DISTINCT FROM 'variant' THEN 'scope variant ' || variant_id || ' is no variant entity' END FROM v LEFT JOIN en ON en.id = variant_id
+  UNION ALL SELECT a.id, CASE WHEN p_size > 45 THEN object_id || ' is no current term' WHEN p_size < 3 THEN object_id || ' is no phenotype term' END FROM a JOIN part ON object_id = 'part:' || p_partkey WHERE predicate = 'has_phenotype'
+  UNION ALL SELECT id, CASE WHEN assertion_id IS DISTINCT FROM id THEN 'support ' || support_id || ' is missing or belongs to another assertion' WHEN NOT found THEN 'support ' || support_id || ' cites missing evidence'
+    WHEN captured IS NULL THEN 'evidence ' || evidence_id || ' cites a source that is not captured'
+    WHEN document_role = 'protocol' AND stance = 'supports' AND statement_status NOT IN ('planned', 'listed_record') THEN captured || ' is a protocol and cannot support a ' || statement_status || ' claim' END FROM backed
+  UNION ALL SELECT a.id, CASE WHEN n IS NULL THEN 'assertion has no support records' WHEN n = 0 THEN 'assertion has no supporting evidence' END FROM a LEFT JOIN sound USING (id)) WHERE problem IS NOT NULL""")
+def assertion_problems(t: Tables) -> DataFrame:
+    """Every rule on one set of assertions: supplier-part pairs, their lines as supports and evidence, orders as sources."""
+    lines = t.lineitem.select(
+        "l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus",
+        F.concat_ws(":", F.lit("claim"), "l_suppkey", "l_partkey").alias("id"), b.line_id().alias("line"))
+    support = F.concat(F.lit("support:"), "line")
+    key = lambda kind, c: F.concat(F.lit(kind + ":"), c)
+    claims = lines.groupBy("id", "l_suppkey", "l_partkey").agg(F.min("l_linestatus").alias("status")).select(
+        "id", F.when(F.col("l_partkey") % 5 == 0, "targets").otherwise("has_phenotype").alias("predicate"), key("supplier", F.col("l_suppkey")).alias("subject_id"),
+        key("part", F.col("l_partkey")).alias("object_id"), F.when(F.col("l_partkey") % 2 == 0, key("context", F.col("l_partkey"))).alias("context_id"),
+        F.when(F.col("status") == "F", "reported_result").otherwise("planned").alias("statement_status"))
+    return quality.assertion_problems(
+        claims, t.customer.select(key("context", F.col("c_custkey")).alias("id"), key("supplier", F.col("c_custkey") % 10 + 1).alias("disease_id")),
+        lines.select("id", key("region", F.col("l_suppkey") % 7).alias("variant_id")).distinct(),
+        t.region.select(key("region", F.col("r_regionkey")).alias("id"), F.when(F.col("r_regionkey") <= 2, "variant").otherwise("gene").alias("type")),
+        t.part.select(key("part", F.col("p_partkey")).alias("id"), (F.col("p_size") <= 45).alias("current"), (F.col("p_size") >= 3).alias("phenotypic")),
+        lines.select("id", F.when(F.col("l_linenumber") == 7, "support:none").otherwise(support).alias("support_id")),
+        lines.select(support.alias("id"), F.when(F.col("l_linenumber") == 6, "claim:0:0").otherwise(F.col("id")).alias("assertion_id"), F.col("line").alias("evidence_id"),
+                     F.when(F.col("l_returnflag") == "R", "opposes").otherwise("supports").alias("stance")).distinct(),
+        lines.filter("l_quantity <> 13").select(F.col("line").alias("id"), key("order", F.col("l_orderkey")).alias("source_document_id")).distinct(),
+        t.orders.filter("o_orderstatus <> 'P'").select(key("order", F.col("o_orderkey")).alias("id"), F.when(F.col("o_orderpriority") == "1-URGENT", "protocol").otherwise("article").alias("document_role")))
+
+
 @query("permitted_window", "D-8", f"""WITH {SECTIONS_SQL},
 x AS (SELECT p.conv_id, span_id, min_by(s_start, pos) AS s_start, min_by(s_stop, pos) AS s_stop FROM spans p LEFT JOIN sections s ON s.conv_id = p.conv_id AND s_start <= start AND stop <= s_stop WHERE span_id <> 0 GROUP BY 1, 2),
 l AS (SELECT conv_id, max(s_stop) AS len FROM sections GROUP BY 1)

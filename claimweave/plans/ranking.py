@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from claimweave.operators import ranking
 from claimweave.plans import bindings as b
 from claimweave.plans.catalogue import Tables, query
+from claimweave.session import cut_lineage
 
 
-@query("ranked_search", "I-1", f"""WITH {b.NAMES_SQL},
+SEARCH_SQL = f"""WITH {b.NAMES_SQL},
 ents AS (SELECT entity, any_value(alias) AS label FROM names WHERE alias_type = 'label' GROUP BY 1),
 al AS (SELECT entity, alias, CASE alias_type WHEN 'label' THEN 0 ELSE 1 END AS pos FROM names UNION ALL SELECT entity, entity, 1000000 FROM ents),
 r AS (SELECT entity, alias, pos, CASE WHEN lower(alias) = 'red widget' THEN 0 WHEN starts_with(lower(alias), 'red widget') THEN 1 ELSE 2 END AS rank FROM al WHERE contains(lower(alias), 'red widget')),
-best AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY entity ORDER BY rank, pos) = 1)
+best AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY entity ORDER BY rank, pos) = 1)"""
+
+
+@query("ranked_search", "I-1", SEARCH_SQL + """
 SELECT entity, label, rank, nullif(alias, label) AS matched_alias, (SELECT count(DISTINCT entity) FROM names n WHERE lower(n.alias) = lower(best.alias)) > 1 OR (rank = 0 AND (SELECT count(*) FROM best WHERE rank = 0) > 1) AS ambiguous,
   (SELECT count(*) FROM best) AS total, (SELECT count(*) FROM best) > 20 AS truncated
 FROM best JOIN ents USING (entity) ORDER BY rank, lower(label), entity LIMIT 20""")
@@ -25,6 +29,23 @@ def ranked_search(t: Tables) -> DataFrame:
     return ranking.search(aliases, entities, " Red  WIDGET ")
 
 
+@query("search_contexts", "I-1", SEARCH_SQL + """,
+top AS (SELECT entity, rank, lower(label) AS l FROM best JOIN ents USING (entity) ORDER BY rank, l, entity LIMIT 20),
+ctx AS (SELECT DISTINCT 'part:' || l_partkey AS entity, 'order:' || l_orderkey AS context FROM lineitem),
+n AS (SELECT entity, count(context) AS contexts FROM top LEFT JOIN ctx USING (entity) GROUP BY 1),
+shown AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY context) AS place FROM ctx WHERE entity IN (SELECT entity FROM top) QUALIFY place <= 20)
+SELECT entity, place, context, contexts, CASE WHEN contexts > 20 THEN 'CONTEXTS_TRUNCATED: showing 20 of ' || contexts END AS warning FROM n LEFT JOIN shown USING (entity)
+UNION ALL SELECT NULL, NULL, NULL, count(*), 'SEARCH_TRUNCATED: showing 20 of ' || count(*) FROM best HAVING count(*) > 20""")
+def search_contexts(t: Tables) -> DataFrame:
+    """Orders as contexts of the parts that a search finds, and both warnings."""
+    matches = cut_lineage(ranked_search(t), "matches")
+    contexts = t.lineitem.select(F.concat(F.lit("part:"), "l_partkey").alias("entity"), F.concat(F.lit("order:"), "l_orderkey").alias("context"))
+    found = ranking.search_contexts(matches, contexts)
+    cut = matches.filter("truncated").select(F.lit(None).cast("string").alias("entity"), F.lit(None).cast("int").alias("place"), F.lit(None).cast("string").alias("context"),
+                                             F.col("total").alias("contexts"), F.format_string("SEARCH_TRUNCATED: showing 20 of %d", "total").alias("warning")).distinct()
+    return found.unionByName(cut)
+
+
 TOKEN_SQL = "regexp_extract_all({}, '[\\p{{L}}\\p{{N}}_]+(?:[-''][\\p{{L}}\\p{{N}}_]+)*')"
 
 

@@ -319,17 +319,24 @@ def import_problems(t: Tables) -> DataFrame:
     return normalized_imports(t)[2]
 
 
-@query("reference_bundle", "N-14")
+@query("reference_bundle", "N-14", """
+WITH res AS (SELECT p.p_partkey AS id, CASE WHEN p.p_size <= 40 THEN p.p_partkey WHEN n.p_size <= 40 THEN n.p_partkey END AS term FROM part p LEFT JOIN part n ON n.p_partkey = p.p_partkey + 1),
+pos AS (SELECT DISTINCT l_suppkey, term FROM lineitem JOIN res ON id = l_partkey WHERE l_suppkey % 2 = 0 AND l_linestatus = 'F' AND l_returnflag <> 'R' AND term IS NOT NULL),
+c AS (SELECT term, count(*) AS n FROM pos GROUP BY 1)
+SELECT 'part:' || p_partkey AS term, n, round(-ln(n / (SELECT count(DISTINCT l_suppkey) FROM pos)), 6) + 0.0 AS ic FROM part LEFT JOIN c ON term = p_partkey""")
 def reference_bundle(t: Tables) -> DataFrame:
     """Ontology and annotations from files, release pinned, then information content per term."""
     terms, release = ontology.read_obo(t.spark, exports.obo(t))
-    terms = captures.pinned(terms, release, "2026-01-01")
     rows, _ = annotations.read_annotations(t.spark, exports.annotation_lines(t))
-    alternates = terms.select(F.explode("alt_ids").alias("alt_id"), F.col("id").alias("term"))
-    resolved = joins.resolve_ids(rows.select(F.col("hpo_id").alias("id")), terms.select(F.col("id").alias("term"), "is_obsolete", "replaced_by"), alternates)
-    closure = cut_lineage(graph.transitive_closure(ontology.edges_of(terms)), "closure")
-    ic = similarity.information_content(annotations.ic_reference_rows(rows, resolved), closure)
-    return terms.select(F.col("id").alias("term")).join(ic, "term", "left").select("term", "n", F.round("ic", 6).alias("ic"))
+    found = annotations.reference_terms(captures.pinned(terms, release, "2026-01-01"), rows)
+    return found.select("term", "n", (F.round("ic", 6) + F.lit(0.0)).alias("ic"))
+
+
+@query("reference_without_annotations", "N-14", "SELECT 'part:' || p_partkey AS term, CAST(NULL AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS ic FROM part")
+def reference_without_annotations(t: Tables) -> DataFrame:
+    """The same release when its annotations could not be captured: all terms, no information content."""
+    terms, release = ontology.read_obo(t.spark, exports.obo(t))
+    return annotations.reference_terms(captures.pinned(terms, release, "2026-01-01"), None).select("term", "n", "ic")
 
 
 # ---- sinks -------------------------------------------------------------------------------------------------------
@@ -345,7 +352,7 @@ def canonical_jsonl(t: Tables) -> DataFrame:
 @query("stage_part", "B-2", "SELECT 'entities' AS kind, count(*) AS n FROM part UNION ALL SELECT 'assertions', count(*) FROM lineitem WHERE l_returnflag = 'A'")
 def stage_part(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "part")
-    sinks.write_part({"entities": t.part.limit(1), "assertions": t.lineitem.limit(1)}, path)
+    sinks.write_part({"entities": t.part.unionByName(t.part), "assertions": t.lineitem}, path)  # an earlier run, to be replaced as a whole
     sinks.write_part({"entities": t.part, "assertions": t.lineitem.filter("l_returnflag = 'A'")}, path)
     return t.spark.read.parquet(f"{path}/entities").agg(F.count("*").alias("n")).select(F.lit("entities").alias("kind"), "n").unionByName(
         t.spark.read.parquet(f"{path}/assertions").agg(F.count("*").alias("n")).select(F.lit("assertions").alias("kind"), "n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,13 +23,13 @@ class World:
         self.ic = cut_lineage(
             similarity.information_content(b.reference_rows(t, self.ann), self.closure), "ic"
         )
-        self.direct = b.positive(self.ann).join(b.levels(t), "entity").select("entity", "level", "term").distinct()
+        self.direct = cut_lineage(b.positive(self.ann).join(b.levels(t), "entity").select("entity", "level", "term").distinct(), "direct")
 
-    @property
+    @cached_property
     def expanded(self) -> DataFrame:
-        return similarity.expanded_profile(self.direct, self.closure, b.ROOTS)
+        return cut_lineage(similarity.expanded_profile(self.direct, self.closure, b.ROOTS), "expanded")
 
-    @property
+    @cached_property
     def coverage(self) -> DataFrame:
         return similarity.reference_coverage(self.direct, self.ic)
 
@@ -173,6 +175,74 @@ def comparison_cards(t: Tables) -> DataFrame:
     return similarity.comparison_cards(w.cards(), w.coverage, facts).withColumn("score", F.round("score", 6))
 
 
+# Two levels: open lines are claims about the subgroup, which only suppliers with a balance of 2,000 or more have.
+TWO_LEVEL_SQL = b.PROFILEG_SQL + """,
+ctx AS (SELECT s_suppkey AS entity, level || ':' || (CASE WHEN s_acctbal >= 2000 THEN 'subgroup' ELSE 'disease' END) AS grp, CASE WHEN s_acctbal >= 2000 THEN 'subgroup' ELSE 'disease' END AS profile_level,
+  s_nationkey AS parent, CAST(CASE WHEN s_acctbal >= 0 THEN floor(s_acctbal / 1000) END AS BIGINT) AS effect, CAST(CASE WHEN s_acctbal >= 0 THEN floor(s_acctbal / 100) END AS BIGINT) AS band FROM supplier JOIN levels ON entity = s_suppkey),
+sided AS (SELECT CASE aspect WHEN 'P' THEN 'base' ELSE 'sub' END AS tier, ann.entity, term, negated FROM ann JOIN ctx USING (entity) WHERE aspect = 'P' OR profile_level = 'subgroup'),
+d2 AS (SELECT DISTINCT tier, entity, term FROM sided WHERE NOT negated),
+p2 AS (SELECT DISTINCT tier, entity, ancestor AS term FROM d2 JOIN closure ON node = term WHERE ancestor <> 'ALL'),
+ok2 AS (SELECT tier, entity FROM d2 LEFT JOIN ic USING (term) GROUP BY ALL HAVING count(*) = count(ic)
+  EXCEPT SELECT DISTINCT tier, entity FROM (SELECT tier, entity, term FROM sided GROUP BY ALL HAVING bool_or(negated) AND bool_or(NOT negated))),
+w2 AS (SELECT tier, entity, grp, term, ic FROM p2 JOIN ic USING (term) JOIN ok2 USING (tier, entity) JOIN ctx USING (entity) WHERE ic > 0),
+t2 AS (SELECT tier, entity, sum(ic) AS total FROM w2 GROUP BY ALL),
+allp AS (SELECT x.entity AS a, y.entity AS b, x.grp, x.profile_level FROM ctx x JOIN ctx y ON x.grp = y.grp AND x.entity <> y.entity),
+sh AS (SELECT x.tier, x.entity AS a, y.entity AS b, sum(x.ic) AS shared FROM w2 x JOIN w2 y ON x.tier = y.tier AND x.grp = y.grp AND x.term = y.term AND x.entity <> y.entity GROUP BY ALL),
+sc AS (SELECT p.a, p.b, p.profile_level, round(coalesce(sb.shared, 0) / (ba.total + bb.total - coalesce(sb.shared, 0)), 12) AS base_score, sb.shared IS NOT NULL AS base_overlap,
+    round(coalesce(ss.shared, 0) / (ua.total + ub.total - coalesce(ss.shared, 0)), 12) AS subgroup_score, ss.shared IS NOT NULL AS sub_overlap
+  FROM allp p LEFT JOIN sh sb ON sb.tier = 'base' AND sb.a = p.a AND sb.b = p.b LEFT JOIN sh ss ON ss.tier = 'sub' AND ss.a = p.a AND ss.b = p.b
+  LEFT JOIN t2 ba ON ba.tier = 'base' AND ba.entity = p.a LEFT JOIN t2 bb ON bb.tier = 'base' AND bb.entity = p.b
+  LEFT JOIN t2 ua ON ua.tier = 'sub' AND ua.entity = p.a LEFT JOIN t2 ub ON ub.tier = 'sub' AND ub.entity = p.b),
+terms_shared AS (SELECT DISTINCT x.entity AS a, y.entity AS b FROM p2 x JOIN p2 y ON x.tier = 'base' AND y.tier = 'base' AND x.term = y.term JOIN ctx cx ON cx.entity = x.entity JOIN ctx cy ON cy.entity = y.entity AND cx.grp = cy.grp WHERE x.entity <> y.entity),
+cand AS (SELECT sc.*, CASE WHEN sc.profile_level = 'subgroup' AND sub_overlap THEN subgroup_score WHEN sc.profile_level = 'disease' AND base_overlap THEN base_score END AS score,
+    ts.a IS NOT NULL AS shares, coalesce(ca.band = cb.band, false) AS feature, ca.parent AS pa, cb.parent AS pb,
+    CASE WHEN ca.effect IS NULL OR cb.effect IS NULL THEN 'unknown' WHEN ca.effect = cb.effect THEN 'same' ELSE 'different' END AS effect_comparison, ca.effect AS ea, cb.effect AS eb
+  FROM sc JOIN ctx ca ON ca.entity = sc.a JOIN ctx cb ON cb.entity = sc.b LEFT JOIN terms_shared ts ON ts.a = sc.a AND ts.b = sc.b),
+two AS (SELECT *, CASE profile_level WHEN 'subgroup' THEN 'subgroup' ELSE 'disease_baseline' END AS basis,
+    row_number() OVER (PARTITION BY a ORDER BY score IS NULL, score DESC, b) AS rank FROM cand WHERE score IS NOT NULL OR shares OR feature QUALIFY rank <= 3)"""
+
+
+def score_text_sql(c: str) -> str:
+    return f"coalesce(CAST(CAST(round({c}, 2) AS DECIMAL(20, 2)) AS VARCHAR), 'unavailable')"
+
+
+@query("two_level_cards", "G-7 G-19 G-20 G-21 N-13", TWO_LEVEL_SQL + f"""
+SELECT a, b, rank, CASE WHEN score IS NULL THEN 'unranked' ELSE basis END AS ranking_basis, round(base_score, 6) AS base_score, round(subgroup_score, 6) AS subgroup_score, effect_comparison,
+  concat_ws(',', CASE WHEN ea IS NOT NULL AND (eb IS NULL OR 'record:' || a < 'record:' || b) THEN 'record:' || a WHEN eb IS NOT NULL THEN 'record:' || b END,
+    CASE WHEN ea IS NOT NULL AND eb IS NOT NULL THEN greatest('record:' || a, 'record:' || b) END) AS feature_evidence,
+  CASE WHEN effect_comparison = 'different' THEN 'functional effects differ' ELSE '' END AS differences,
+  concat_ws('; ', CASE WHEN effect_comparison = 'unknown' THEN 'functional effect not recorded on both sides' END,
+    CASE WHEN score IS NULL THEN 'not ranked at the ' || replace(basis, '_', ' ') || ' level (' || CASE WHEN (CASE basis WHEN 'subgroup' THEN subgroup_score ELSE base_score END) IS NULL
+      THEN 'a profile is missing or its score withheld' ELSE 'no shared term of weight' END || '); listed because of ' || concat_ws(' and ', CASE WHEN shares THEN 'shared disease-baseline terms' END, CASE WHEN feature THEN 'sourced mechanism features' END) END) AS unknowns,
+  concat_ws('; ', CASE WHEN pa = pb AND base_score IS NOT NULL AND subgroup_score IS NULL THEN 'one shared parent baseline (overlap ' || {score_text_sql("base_score")} || ') does not establish subgroup similarity' END,
+    CASE WHEN effect_comparison = 'different' AND base_score >= 0.5 THEN 'overlap coexists with different functional effects' END) AS counterexamples,
+  'Disease-baseline weighted overlap: ' || {score_text_sql("base_score")} || '; Subgroup weighted overlap: ' || {score_text_sql("subgroup_score")} AS summary FROM two""")
+def two_level_cards(t: Tables) -> DataFrame:
+    """Cards of every supplier with both scores; suppliers without a subgroup are compared with their like."""
+    w = World(t, sparse_negation=True)
+    sub = F.when(F.col("s_acctbal") >= 2000, "subgroup").otherwise("disease")
+    known = F.col("s_acctbal") >= 0
+    contexts = cut_lineage(t.supplier.join(b.levels(t), F.col("s_suppkey") == F.col("entity")).select(
+        "entity", F.concat_ws(":", F.col("level").cast("string"), sub).alias("level"), sub.alias("profile_level"), F.col("s_nationkey").alias("parent"),
+        F.when(known, F.floor(F.col("s_acctbal") / 1000)).alias("effect"), F.when(known, F.floor(F.col("s_acctbal") / 100)).alias("feature"),
+        F.when(known, F.concat(F.lit("record:"), "s_suppkey")).alias("evidence")), "contexts")
+    tiers = {}
+    for tier, aspect, of in (("base", "P", contexts), ("sub", "O", contexts.filter("profile_level = 'subgroup'"))):
+        rows = w.ann.filter(F.col("aspect") == aspect).join(of.select("entity", "level"), "entity")
+        direct = rows.filter("NOT negated").select("entity", "level", "term").distinct()
+        open_ones = rows.groupBy("entity", "term").agg(F.bool_or("negated").alias("n"), F.bool_or(~F.col("negated")).alias("p")).filter("n AND p").select("entity", "term")
+        expanded = cut_lineage(similarity.expanded_profile(direct, w.closure, b.ROOTS), "expanded")
+        usable = similarity.usable_entities(similarity.reference_coverage(direct, w.ic), open_ones)
+        weighted = expanded.join(w.ic.filter("ic > 0").select("term", F.col("ic").alias("weight")), "term").join(usable, "entity", "left_semi").select("entity", "level", "term", "weight")
+        tiers[tier] = (expanded, cut_lineage(weighted, "weighted"))
+    own = tiers["base"][1].filter("level LIKE '%:disease'").unionByName(tiers["sub"][1])
+    ranked = cut_lineage(similarity.top_partners(own, own, 3).select("a", "b", "score"), "ranked")
+    unranked = similarity.unranked_candidates(tiers["base"][0], contexts.filter("feature IS NOT NULL").select("entity", "level", "feature"), ranked, 3)
+    cards = similarity.two_level_cards(ranked, unranked, tiers["base"][1], tiers["sub"][1], contexts, contexts.select("entity", "effect", "evidence"), 3)
+    lists = [F.array_join(c, sep).alias(c) for c, sep in (("feature_evidence", ","), ("differences", "; "), ("unknowns", "; "), ("counterexamples", "; "), ("summary", "; "))]
+    return cards.select("a", "b", "rank", "ranking_basis", score6("base_score"), score6("subgroup_score"), "effect_comparison", *lists)
+
+
 @query("card_edges", "J-12", b.CARDS_SQL + """
 SELECT 'link:' || a || ':' || b AS link_id, a AS source, b AS target, rank, true AS computed FROM cards""")
 def card_edges(t: Tables) -> DataFrame:

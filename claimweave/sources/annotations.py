@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from claimweave.functions.vocab import ANNOTATION_COLUMNS, MAPPING_RELATIONS, SUBMISSION_COLUMNS
 from claimweave.functions.web import namespace
 from claimweave.operators.filters import lookup
+from claimweave.operators.graph import transitive_closure
+from claimweave.operators.joins import resolve_ids
+from claimweave.operators.similarity import information_content
+from claimweave.session import cut_lineage
+from claimweave.sources.ontology import edges_of
 from claimweave.sources.lines import cell, header_of, number_rows, read_lines
 from claimweave.sources.split import quoted_records
 
@@ -118,3 +123,14 @@ def ic_reference_rows(annotations: DataFrame, resolved: DataFrame, prefix: str =
     kept = annotations.filter((F.col("aspect") == "P") & (F.upper("qualifier") != "NOT") & F.col("database_id").startswith(prefix))
     return kept.join(resolved.filter("resolved is not null").withColumnRenamed("id", "hpo_id"), "hpo_id").select(
         F.col("database_id").alias("entity"), F.col("resolved").alias("term"))
+
+
+def reference_terms(terms: DataFrame, annotations: DataFrame | None) -> DataFrame:
+    """(term, n, total, ic) of every term of a pinned ontology; without annotations there is no reference and all is null."""
+    named = terms.select(F.col("id").alias("term"))
+    if annotations is None:
+        return named.select("term", *[F.lit(None).cast(kind).alias(c) for c, kind in (("n", "bigint"), ("total", "bigint"), ("ic", "double"))])
+    alternates = terms.select(F.explode("alt_ids").alias("alt_id"), F.col("id").alias("term"))
+    resolved = resolve_ids(annotations.select(F.col("hpo_id").alias("id")), terms.select(F.col("id").alias("term"), "is_obsolete", "replaced_by"), alternates)
+    closure = cut_lineage(transitive_closure(edges_of(terms)), "closure")
+    return named.join(information_content(ic_reference_rows(annotations, resolved), closure), "term", "left")

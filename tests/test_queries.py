@@ -15,6 +15,8 @@ SAMPLE = [
     "weighted_jaccard", "weighted_jaccard_gated", "candidate_cards", "predicate_contract", "batch_targets", "approved_pages", "latest_review", "effective_state",
     "section_offsets", "id_resolution", "alias_lookup", "section_of_span", "symbol_mentions", "quote_location", "snapshot_diff", "community_overlap", "claim_merge",
     "disagreement_buckets", "ledger_rollup", "independent_publications", "lexical_retrieval", "capped_lists", "entity_page", "publication_gate", "decision_import",
+    "catalog_fingerprints", "review_queue_items", "two_level_cards", "assertion_problems", "search_contexts", "kind_constraints", "mechanism_comparison", "context_profiles",
+    "reference_bundle", "typed_retrieval", "shortest_path_steps", "cycle_nodes", "latest_decision_stream", "daily_spend_stream",
     "snapshot_hash", "dependency_fingerprint", "structured_evidence", "html_text", "obo_terms", "annotation_rows", "articles", "published_snapshot", "sliding_admission_batch",
 ]
 
