@@ -252,7 +252,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, text
     """
     known = labels.select("doc_id", F.col("quality").cast("int").alias("_good")).na.drop().groupBy("doc_id").agg(F.min("_good").alias("_good"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", F.col(text).cast("string").alias("_text")).join(known, "doc_id")
+    rows = docs.select("doc_id", F.col(text).cast("string").alias("_text")).join(F.broadcast(known), "doc_id")  # at most ``most`` rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
