@@ -6,7 +6,8 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as C
-from claimweave.llm import pii, quality, simhash, tiling
+from claimweave.llm import pii, quality, tiling
+from tests.llm.test_copies import components
 
 
 @pytest.fixture(scope="module")
@@ -18,6 +19,8 @@ def data(spark, tmp_path_factory):
     items = [(i, words(20)) for i in range(4)]
     docs = [(i, words(rnd.randint(30, 120)) + ".") for i in range(80)]
     docs += [(90, docs[3][1]), (91, docs[3][1].replace(" ", "  ")), (92, f"{words(30)} {items[1][1]} {words(20)}"), (93, "@@## %% !!" * 30), (94, f"mail bob@example.com {words(40)}")]
+    near = docs[7][1].split()
+    docs += [(97, " ".join([*near[:-3], "changed", *near[-2:]])), (98, " ".join([*near[:10], "far", *near[11:20], "away", *near[21:]]))]  # one within 0.8, one beyond
     docs += [(None, words(50)), (95, None), (96, ""), (5, docs[5][1]), (6, words(60))]
     rows = [(i, t, "en", "s", len(t or ""), "x") for i, t in docs]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, keep string").write.parquet(f"{folder}/documents.parquet")
@@ -39,15 +42,10 @@ def test_every_stage_against_brute_force(spark, data):
 
     single = C.drop_near_duplicates(spark, good, data)
     before = good.collect()
-    fps = [simhash.fingerprint(r.text or "") for r in before]
-    label = list(range(len(before)))
-    for i in range(len(before)):
-        for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 4 and label[i] != label[j]:
-                label = [label[j] if x == label[i] else x for x in label]
     groups = {}
-    for r, x in zip(before, label, strict=True):
+    for r, x in zip(before, components(range(len(before)), [(r.text or "").lower() for r in before]), strict=True):
         groups.setdefault(x, []).append(r)
+    assert len(groups) == len(before) - 4
     kept = single.collect()
     assert single.columns == C.COLUMNS and len(kept) == len(groups)
     ids = sorted(str(min((r.doc_id for r in g if r.doc_id is not None), default=None)) for g in groups.values())
