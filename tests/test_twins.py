@@ -36,3 +36,8 @@ def test_alias_candidates_of_every_identifier(spark, con, folder):
     got, want = both(spark, con, folder, "alias_candidates")
     assert got == want
     assert len([r for r in got[1] if r[3].startswith("'part:")]) == 6
+
+
+def test_alias_lookup_of_every_identifier(spark, con, folder):
+    got, want = both(spark, con, folder, "alias_lookup")
+    assert got == want
