@@ -41,3 +41,9 @@ def test_alias_candidates_of_every_identifier(spark, con, folder):
 def test_alias_lookup_of_every_identifier(spark, con, folder):
     got, want = both(spark, con, folder, "alias_lookup")
     assert got == want
+
+
+def test_approved_pages_share_an_address(spark, con, folder):
+    got, want = both(spark, con, folder, "approved_pages")
+    assert got == want
+    assert dict(got[1]) == {"1": "'page'", "10": "'page'", "3": "'prefix'", "20": "'rejected'", "5": "'rejected'"}
