@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+import html.entities
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,24 +78,46 @@ def drop_sql(x: str, tag: str) -> str:
     return f"regexp_replace({x}, '(?is)<{tag}\\b.*?</{tag}\\s*>', '', 'g')"
 
 
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+NAMED_SQL = "MAP {" + ", ".join(f"{_literal(name)}: {_literal(ch)}" for name, ch in sorted(html.entities.html5.items())) + "}"
+PLACED_SQL = "MAP {" + ", ".join(f"{n}: {_literal(html.unescape(f'&#{n};'))}" for n in (0, 13, *range(128, 160))) + "}"  # numbers that stand for another character
+OPEN_NAMES = range(max(len(name) for name in html.entities.html5 if not name.endswith(";")), 1, -1)  # lengths of names that need no semicolon
+
+
+def unescape_sql(x: str) -> str:
+    """Character references as HTML reads them: by name, by number, and old names also without their semicolon."""
+    pieces = f"regexp_extract_all({x}, '&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\\t\\n\\f <&#;]{{1,32}};?)|&|[^&]+')"
+    number = "CASE WHEN p[3] IN ('x', 'X') THEN TRY_CAST('0x' || rtrim(p[4:], ';') AS UBIGINT) ELSE TRY_CAST(rtrim(p[3:], ';') AS UBIGINT) END"
+    gone = f"n BETWEEN 1 AND 8 OR n = 11 OR n BETWEEN 14 AND 31 OR n = 127 OR n BETWEEN {0xFDD0} AND {0xFDEF} OR n % 65536 >= 65534"
+    numbered = (f"list_transform([{number}], lambda n: CASE WHEN n IS NULL OR n > {0x10FFFF} OR n BETWEEN {0xD800} AND {0xDFFF} THEN chr({0xFFFD})"
+                f" WHEN n < 160 AND placed[n] IS NOT NULL THEN placed[n] WHEN {gone} THEN '' ELSE chr(CAST(n AS INT)) END)[1]")
+    named = "coalesce(named[p[2:]], " + ", ".join(f"named[p[2:{k + 1}]] || p[{k + 2}:]" for k in OPEN_NAMES) + ", p)"
+    return f"list_aggregate(list_transform({pieces}, lambda p: CASE WHEN p[1] <> '&' OR p = '&' THEN p WHEN p[2] = '#' THEN {numbered} ELSE {named} END), 'string_agg', '')"
+
+
 def page_text_sql() -> str:
-    x = "html"
+    """Visible text of ``html``; ``PAGES_SQL`` brings the tables of character references."""
+    x = "regexp_replace(html, '\\r\\n?', chr(10), 'g')"
     for tag in ("script", "style", "noscript", "template", "svg"):
         x = drop_sql(x, tag)
     x = f"regexp_replace({x}, '(?s)<!--.*?-->', '', 'g')"
     x = (f"regexp_replace({x}, '(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|main|nav|blockquote|pre|dt|dd|hr)(\\s[^>]*)?/?>', chr(10), 'g')")
     x = f"regexp_replace({x}, '<[/!]?[a-zA-Z][^>]*>', '', 'g')"
-    entities = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&mdash;", "—"), ("&middot;", "·"), ("&amp;", "&")]
-    for _ in range(2):
-        for name, ch in entities:
-            x = f"replace({x}, '{name}', '{ch}')"
-    x = f"regexp_replace({x}, '[ \\t\\f\\v]+', ' ', 'g')"
-    x = f"regexp_replace({x}, '(?m)^ +| +$', '', 'g')"
+    x = f"coalesce({unescape_sql(f'coalesce({unescape_sql(x)}, {chr(39) * 2})')}, '')"
+    x = f"regexp_replace({x}, '[ \\t\\f\\v\\x{{a0}}]+', ' ', 'g')"
+    edge = "[ \\r\\x1c-\\x1f\\x{85}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+    x = f"regexp_replace({x}, '(?m)^{edge}|{edge}$', '', 'g')"
     x = f"trim(regexp_replace({x}, '\\n{{3,}}', chr(10) || chr(10), 'g'), chr(10))"
     return x
 
 
-@query("html_text", "H-9 A-14", f"SELECT page_id, sha256(CASE WHEN x = '' THEN '' ELSE x || chr(10) END) AS text_sha FROM (SELECT page_id, {page_text_sql()} AS x FROM pages)")
+PAGES_SQL = f"(SELECT * FROM pages, (SELECT {NAMED_SQL} AS named, {PLACED_SQL} AS placed))"
+
+
+@query("html_text", "H-9 A-14", f"SELECT page_id, sha256(CASE WHEN x = '' THEN '' ELSE x || chr(10) END) AS text_sha FROM (SELECT page_id, {page_text_sql()} AS x FROM {PAGES_SQL})")
 def html_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.sha2(text.html_text(F.col("html")), 256).alias("text_sha"))
 

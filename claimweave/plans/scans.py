@@ -10,7 +10,7 @@ from claimweave.operators.filters import unique_names
 from claimweave.functions.text import words_only
 from claimweave.plans import exports
 from claimweave.plans.catalogue import Tables, query
-from claimweave.plans.scalars import page_text_sql
+from claimweave.plans.scalars import PAGES_SQL, page_text_sql
 from claimweave.plans.filters import HOST_SQL
 from claimweave.plans.fingerprints import SNAPSHOT, hash_sql
 from claimweave.session import cut_lineage, scratch_path
@@ -247,7 +247,7 @@ def directory_unmatched(t: Tables) -> DataFrame:
 
 # ---- pages, records and captures ---------------------------------------------------------------------------------
 
-PAGE_PIECES_SQL = rf"""WITH t AS (SELECT page_id, {page_text_sql()} || chr(10) AS x FROM pages),
+PAGE_PIECES_SQL = rf"""WITH t AS (SELECT page_id, {page_text_sql()} || chr(10) AS x FROM {PAGES_SQL}),
 p AS (SELECT page_id, length(x) AS chars, unnest(regexp_extract_all(x, '[^\n]+(?:\n[^\n]+)*|\n+')) AS piece, generate_subscripts(regexp_extract_all(x, '[^\n]+(?:\n[^\n]+)*|\n+'), 1) AS i FROM t),
 o AS (SELECT *, piece[1] <> chr(10) AS body, sum(length(piece)) OVER w AS stop, count(*) FILTER (piece[1] <> chr(10)) OVER w AS n FROM p WINDOW w AS (PARTITION BY page_id ORDER BY i))"""
 

@@ -1,9 +1,13 @@
 """Queries and their SQL twins on small tables with the odd rows on which they once differed."""
 
+import html
+import random
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from claimweave.plans.scalars import NAMED_SQL, PLACED_SQL, unescape_sql
 from tools.check_queries import rows_of
 
 TABLES = {
@@ -47,3 +51,18 @@ def test_approved_pages_share_an_address(spark, con, folder):
     got, want = both(spark, con, folder, "approved_pages")
     assert got == want
     assert dict(got[1]) == {"1": "'page'", "10": "'page'", "3": "'prefix'", "20": "'rejected'", "5": "'rejected'"}
+
+
+def test_character_references_in_sql():
+    rng = random.Random(1)
+    bits = ["&", "amp", "#", "x", "lt", ";", "6", "9", "a", "not", "in", " ", "\n", "é", "copy", "&#150;", "&#0;", "&#55296;", "&#11;", "mdash;", *html.entities.html5]
+    texts = ["".join(rng.choices(bits[:20], k=6)) for _ in range(300)] + ["&" + name for name in bits[20:]]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE t AS SELECT unnest($1) AS x", [texts])
+    got = c.execute(f"SELECT x, {unescape_sql('x')} FROM t, (SELECT {NAMED_SQL} AS named, {PLACED_SQL} AS placed)").fetchall()
+    assert [(x, y) for x, y in got if (y or "") != html.unescape(x)] == []
+
+
+def test_html_text_of_open_references(spark, con, folder):
+    got, want = both(spark, con, folder, "html_text")
+    assert got == want
