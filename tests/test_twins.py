@@ -66,3 +66,8 @@ def test_character_references_in_sql():
 def test_html_text_of_open_references(spark, con, folder):
     got, want = both(spark, con, folder, "html_text")
     assert got == want
+
+
+def test_web_page_sections_of_open_references(spark, con, folder):
+    got, want = both(spark, con, folder, "web_page_sections")
+    assert got == want
