@@ -71,3 +71,8 @@ def test_html_text_of_open_references(spark, con, folder):
 def test_web_page_sections_of_open_references(spark, con, folder):
     got, want = both(spark, con, folder, "web_page_sections")
     assert got == want
+
+
+def test_web_pages_of_open_references(spark, con, folder):
+    got, want = both(spark, con, folder, "web_pages")
+    assert got == want
