@@ -58,3 +58,18 @@ def test_a_change_reaches_exactly_what_depends_on_it(catalog):
     assert changed(supports=volatile, sources=catalog.sources.withColumn("fetched_at", F.lit("tomorrow"))) == set()
     doubled = catalog.conflict_assertions.unionByName(catalog.conflict_assertions).orderBy(F.rand(3))
     assert changed(conflict_assertions=doubled) == set()
+
+
+def shuffled(spark):
+    return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_catalog_moves_each_line_a_bounded_number_of_bytes(spark):
+    """Hashes travel as bytes, and a table is dealt once for its distinct and the join behind it."""
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.01"
+    before = shuffled(spark)
+    entry.queries()["catalog_fingerprints"](spark, folder).write.format("noop").mode("overwrite").save()
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    assert (shuffled(spark) - before) / lines < 300
