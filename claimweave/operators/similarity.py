@@ -21,6 +21,7 @@ from claimweave.session import cut_lineage
 
 SPECIFIC_IC = math.log(SPECIFIC_SHARE)
 WEIGHT = "decimal(38,15)"
+BANDS = 64  # of heavy weight, in which partners are bounded together
 HEAVY_TERM = 2000  # holders of a term within one level beyond which pairs are not listed through it
 
 
@@ -87,10 +88,11 @@ def top_partners(
     at least one term. If ``right`` has a column ``owner``, equal for all rows of an entity, the partners are owners: each
     counts with its best entity, ties go by owner, and ``b`` in the result is the owner. The result is exact:
 
-    1. Pairs are listed only through terms with at most ``heavy`` holders in the level; shared weight from heavy terms
-       is added to these pairs by intersecting the two short lists of heavy terms.
-    2. A pair that shares heavy terms only scores at most (heavy weight of a) / (weight of a). An entity whose k-th
-       score is above this bound is finished.
+    1. Pairs are listed only through terms with at most ``heavy`` holders in the level. What they share in heavy terms
+       lies between bounds that follow from both heavy weights; pairs that cannot be among the first ``k`` go, and only
+       for the others are the two lists of heavy terms intersected.
+    2. A pair that shares heavy terms only is bounded in the same way over bands of partners. An entity whose k-th score
+       is above this bound is finished.
     3. The others look at the lightest entities below each prefix of their own heavy terms, which gives every one of
        them a bar, and then search the tree of prefixes of all lists of heavy terms, leaving every branch whose best
        possible score is below the bar (``_search_prefixes``).
@@ -160,31 +162,71 @@ def top_partners(
         item = F.struct((-F.col("weight")).alias("less"), "term", "weight")
         return p.groupBy("level", "entity").agg(F.array_sort(F.collect_list(item)).alias(f"hot_{name}")).withColumnRenamed("entity", name)
 
-    no_hot = F.array().cast("array<struct<less:decimal(28,15),term:string,weight:decimal(28,15)>>")
+    def heavy_part(p: DataFrame) -> DataFrame:
+        return p.groupBy("level", "entity").agg(F.sum("weight").cast(WEIGHT).alias("heavy"))
+
+    nothing = F.lit(0).cast(WEIGHT)
+    size_a = cut_lineage(left_total.join(heavy_part(left_hot).withColumnsRenamed({"entity": "a", "heavy": "heavy_a"}), ["level", "a"], "left")
+                         .withColumn("heavy_a", F.coalesce("heavy_a", nothing)), "sizes")
+    size_b = cut_lineage(right_total.join(heavy_part(right_hot).withColumnsRenamed({"entity": "b", "heavy": "heavy_b"}), ["level", "b"], "left")
+                         .withColumn("heavy_b", F.coalesce("heavy_b", nothing)), "sizes")
+    whole = cut_lineage(right_hot.select("level", "term", "weight").distinct().groupBy("level").agg(F.sum("weight").cast(WEIGHT).alias("whole")), "heavy-whole")
     lists_a = cut_lineage(hot_lists(left_hot, "a"), "hot-lists")
-    lists_b = lists_a.withColumnsRenamed({"a": "b", "hot_a": "hot_b"}) if same else hot_lists(right_hot, "b")
-    info_a = left_total.join(lists_a, ["level", "a"], "left").withColumn("hot_a", F.coalesce("hot_a", no_hot))
-    info_b = right_total.join(lists_b, ["level", "b"], "left").withColumn("hot_b", F.coalesce("hot_b", no_hot))
-    full = (
-        pairs.join(info_a, ["level", "a"]).join(info_b, ["level", "b"])
-        .withColumn("shared", (F.col("shared") + _weight(F.array_intersect("hot_a", "hot_b"))).cast(WEIGHT))
-        .drop("hot_a", "hot_b")
-    )
-    light = cut_lineage(top(both_ways(scored(full))).drop("rank"), "light-top")
-    with_hot = info_b.filter(F.size("hot_b") > 0)
+    lists_b = lists_a.withColumnsRenamed({"a": "b", "hot_a": "hot_b"}) if same else cut_lineage(hot_lists(right_hot, "b"), "hot-lists")
+    met = pairs.join(size_a, ["level", "a"]).join(size_b, ["level", "b"]).join(whole, "level", "left")
+    met = cut_lineage(met.withColumn("whole", F.coalesce("whole", nothing)), "light-pairs")
+    if same:
+        back = {"a": "b", "b": "a", "total_a": "total_b", "total_b": "total_a", "heavy_a": "heavy_b", "heavy_b": "heavy_a"}
+        met = met.unionByName(met.select(*[F.col(back.get(c, c)).alias(c) for c in met.columns if c != "owner"], F.col("a").alias("owner")))
+    floor = _kth(top(met.withColumn("score", _with_heavy(F.greatest(nothing, F.col("heavy_a") + F.col("heavy_b") - F.col("whole"))))), k)
+    may = met.join(floor, ["level", "a"]).filter(_with_heavy(F.least("heavy_a", "heavy_b")) >= F.col("kth")).select("level", "a", "b", "owner", "shared", "total_a", "total_b")
+    full = may.join(lists_a, ["level", "a"], "left").join(lists_b, ["level", "b"], "left")
+    common = F.coalesce(_weight(F.array_intersect("hot_a", "hot_b")), nothing)
+    light = cut_lineage(top(scored(full.withColumn("shared", (F.col("shared") + common).cast(WEIGHT)).drop("hot_a", "hot_b"))).drop("rank"), "light-top")
+    starts = cut_lineage(_unfinished(size_a.join(_kth(light, k), ["level", "a"], "left").fillna(0.0, ["kth"]), size_b, whole), "unfinished")
+    if starts.isEmpty():
+        return top(light).select(columns)
+    info_a = starts.drop("heavy_a", "kth").join(lists_a, ["level", "a"])
+    with_hot = size_b.drop("heavy_b").join(lists_b, ["level", "b"])
     tree = cut_lineage(_prefixes(with_hot), "hot-prefixes")
-    near = _first_guesses(info_a, tree, info_b, k, owned)
+    near = _first_guesses(info_a, tree, with_hot, k, owned, starts, size_b)
     if exclude_self:
         near = near.filter("a <> b")
     known = cut_lineage(_larger(light, scored(near)), "known")
-    bar = top(known).groupBy("level", "a").agg(F.count("*").alias("found"), F.min("score").alias("kth"))
-    bar = bar.select("level", "a", F.when(F.col("found") >= k, F.col("kth")).otherwise(0.0).alias("kth"))
+    bar = _kth(top(known), k)
     probes = _search_prefixes(info_a.join(bar, ["level", "a"], "left").fillna(0.0, ["kth"]), tree, k, owned)
     if exclude_self:
         probes = probes.filter("a <> b")
     return top(_larger(known, scored(probes))).select(columns)
 
 
+def _with_heavy(more: Column) -> Column:
+    """The score of a pair if it shared ``more`` weight of heavy terms."""
+    shared = (F.col("shared") + more).cast("double")
+    union = (F.col("total_a") + F.col("total_b") - F.col("shared") - more).cast("double")
+    return F.round(shared / union, 12)
+
+
+def _kth(listed: DataFrame, k: int) -> DataFrame:
+    """(level, a, kth): the lowest score of ``k`` listed partners, 0 with fewer."""
+    found = listed.groupBy("level", "a").agg(F.count("*").alias("found"), F.min("score").alias("kth"))
+    return found.select("level", "a", F.when(F.col("found") >= k, F.col("kth")).otherwise(0.0).alias("kth"))
+
+
+def _unfinished(starts: DataFrame, partners: DataFrame, whole: DataFrame) -> DataFrame:
+    """The starts that some partner may reach ``kth`` with through heavy terms alone.
+
+    Partners are put in ``BANDS`` by their heavy weight; the largest heavy weight and the smallest total of a band bound
+    what any of its members can give.
+    """
+    band = F.floor(F.col("heavy_b").cast("double") / F.col("whole").cast("double") * BANDS)
+    bands = partners.filter("heavy_b > 0").join(whole, "level").groupBy("level", band.alias("band")).agg(F.max("heavy_b").alias("most"), F.min("total_b").alias("lightest"))
+    gain = F.least("heavy_a", "most").cast("double")
+    union = F.greatest(F.col("total_a").cast("double"), (F.col("total_a") + F.col("lightest") - F.least("heavy_a", "most")).cast("double"))
+    met = starts.filter("heavy_a > 0").join(bands, "level").filter(F.round(gain / union, 12) >= F.col("kth"))
+    return starts.join(met.select("level", "a").distinct(), ["level", "a"], "left_semi")
+
+
 def _weight(items: Column) -> Column:
     return F.aggregate(items, F.lit(0).cast(WEIGHT), lambda acc, x: (acc + x["weight"]).cast(WEIGHT))
 
@@ -228,12 +270,17 @@ def _prefixes(entities: DataFrame) -> DataFrame:
         (F.col("end") == n).alias("whole"), "b", "total_b", "owner")
 
 
-def _first_guesses(info_a: DataFrame, tree: DataFrame, info_b: DataFrame, k: int, owned: bool) -> DataFrame:
-    """Pairs of an entity with the lightest ones below each prefix of its own heavy terms: they set the bar for the search."""
+def _first_guesses(info_a: DataFrame, tree: DataFrame, info_b: DataFrame, k: int, owned: bool, starts: DataFrame, size_b: DataFrame) -> DataFrame:
+    """Pairs of an entity with the lightest ones below each prefix of its own heavy terms: they set the bar for the search.
+
+    Only pairs whose heavy weights allow the score that the entity has already are compared term by term.
+    """
     below = _lightest(tree.select("level", "node", "b", "total_b", "owner"), k, owned)
     own = info_a.filter(F.size("hot_a") > 0).select("level", F.col("a").alias("b"), F.col("total_a").alias("total_b"), F.col("hot_a").alias("hot_b"), F.col("a").alias("owner"))
     own = _prefixes(own)
     met = own.select("level", "node", F.col("b").alias("a")).join(below.select("level", "node", "b"), ["level", "node"]).select("level", "a", "b").distinct()
+    sized = met.join(starts, ["level", "a"]).join(size_b.select("level", "b", "total_b", "heavy_b"), ["level", "b"]).withColumn("shared", F.lit(0).cast(WEIGHT))
+    met = sized.filter(_with_heavy(F.least("heavy_a", "heavy_b")) >= F.col("kth")).select("level", "a", "b")
     pairs = met.join(info_a, ["level", "a"]).join(info_b, ["level", "b"])
     return pairs.withColumn("shared", _weight(F.array_intersect("hot_a", "hot_b"))).filter("shared > 0").drop("hot_a", "hot_b")
 

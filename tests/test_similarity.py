@@ -119,3 +119,16 @@ def test_the_limit_never_changes_ties(spark, heavy):
     for k in (1, 2):
         got = sorted((r.a, r.b, round(r.score, 9)) for r in s.top_partners(df, df, k, heavy=heavy).collect())
         assert got == brute_top({e: (0, t) for e, t in profiles.items()}, k)
+
+
+def test_finished_entities_search_no_heavy_terms(spark, monkeypatch):
+    """With enough partners through rare terms, a weak term of everybody's cannot give a better one: lists are not searched."""
+    rng = random.Random(8)
+    weight = {"all": 0.01} | {f"rare{i}": round(rng.uniform(2.0, 5.0), 3) for i in range(30)}
+    profiles = {e: (0, {t: weight[t] for t in ["all", *rng.sample(sorted(weight)[1:], 6)]}) for e in range(60)}
+    df = spark.createDataFrame([(e, 0, t, w) for e, (_, ts) in profiles.items() for t, w in ts.items()], "entity bigint, level int, term string, weight double")
+    written = []
+    monkeypatch.setattr(s, "cut_lineage", lambda d, name="cut": written.append(name) or cut_lineage(d, name))
+    got = [(r.a, r.b, round(r.score, 9)) for r in s.top_partners(df, df, 3, heavy=30).collect()]
+    assert sorted(got) == brute_top(profiles, 3)
+    assert "hot-lists" in written and "hot-prefixes" not in written
