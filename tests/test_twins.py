@@ -92,3 +92,29 @@ def test_candidate_cards_name_the_feature_of_late_members(spark, con, folder):
     got, want = both(spark, con, folder, "candidate_cards")
     assert got == want
     assert len([r for r in got[1] if "'shared terms and mechanism features'" in r]) == 2
+
+
+def test_assertion_problems_of_repeated_lines(spark, con, folder):
+    """Lines that repeat but for stance or quantity, supports under another assertion, claims without one: each problem once."""
+    tables = {
+        "customer": "SELECT range AS c_custkey, 1.0 AS c_acctbal FROM range(8)",
+        "part": "SELECT range AS p_partkey, CAST(CASE range WHEN 7 THEN 2 WHEN 11 THEN 50 ELSE 9 END AS INT) AS p_size FROM range(12)",
+        "orders": "SELECT range AS o_orderkey, ['O', 'F', 'P'][range % 3 + 1] AS o_orderstatus, ['1-URGENT', '5-LOW'][range % 2 + 1] AS o_orderpriority FROM range(20)",
+        "lineitem": """SELECT range % 23 AS l_orderkey, range % 12 AS l_partkey, range % 3 AS l_suppkey, CAST(1 + range % 7 AS INT) AS l_linenumber, CASE WHEN range % 5 = 0 THEN 13.0 ELSE 1.0 * copy END AS l_quantity,
+          CASE WHEN range % 4 = 1 THEN 'R' ELSE ['R', 'A', 'N'][(range + copy) % 3 + 1] END AS l_returnflag, ['F', 'O'][(range // 5 + copy) % 2 + 1] AS l_linestatus FROM range(150), range(3) AS c(copy)""",
+    }
+    for name, rows in tables.items():
+        con.execute(f"COPY ({rows}) TO '{folder}/{name}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    got, want = both(spark, con, folder, "assertion_problems")
+    assert got == want
+    kinds = ("missing or", "cites missing", "not captured", "cannot support", "no supporting", "does not exist", "context's disease", "no variant", "no current", "no phenotype")
+    assert [k for k in kinds if not any(k in r[1].replace("\\'", "'") for r in got[1])] == []
+
+
+def test_assertion_problems_moves_lines_little(spark, con, folder):
+    """Claims travel once and the lines four times: as evidence, as supports, as checked supports and as references."""
+    con.execute(f"COPY (SELECT range AS l_orderkey, range AS l_partkey, range AS l_suppkey, 1 AS l_linenumber, 1.0 AS l_quantity, 'N' AS l_returnflag, 'F' AS l_linestatus FROM range(100)) TO '{folder}/lineitem.parquet' (FORMAT parquet)")
+    con.execute(f"COPY (SELECT range AS o_orderkey, 'O' AS o_orderstatus, '5-LOW' AS o_orderpriority FROM range(100)) TO '{folder}/orders.parquet' (FORMAT parquet)")
+    plan = entry.queries()["assertion_problems"](spark, str(folder))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 4 + 3  # the four uses of the claims are one exchange when it runs
