@@ -159,10 +159,19 @@ def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return j.select("id", change.alias("change")).filter("change is not null")
 
 
-def affected(dependencies: DataFrame, diff: DataFrame) -> DataFrame:
-    """Assertions with a dependency that changed or vanished; appended rows affect nobody."""
-    gone = diff.filter("change <> 'appended'").select(F.col("id").alias("depends_on"))
-    return dependencies.join(gone, "depends_on", "left_semi").select("assertion").distinct()
+def affected(assertions: DataFrame, members: DataFrame, mappings: DataFrame, diff: DataFrame) -> DataFrame:
+    """Assertions with a dependency (``dependencies``) that changed or vanished; appended rows affect nobody.
+
+    What changed is followed back to entities and contexts first, by the small tables, so that an assertion travels once
+    for each of its ends and its context, not for everything that these bring along.
+    """
+    gone = diff.filter("change <> 'appended'").select("id").distinct()
+    entities = gone.unionByName(mappings.join(gone.select(F.col("id").alias("mapping")), "mapping", "left_semi").select(F.col("entity").alias("id")))
+    held = members.join(entities.select(F.col("id").alias("member")), "member", "left_semi").select(F.col("context").alias("id"))
+    ends = assertions.select("assertion", F.explode(F.array_compact(F.array("subject", "object"))).alias("id"))
+    contexts = assertions.filter("context is not null").select("assertion", F.col("context").alias("id"))
+    hit = ends.join(entities, "id", "left_semi").unionByName(contexts.join(gone.unionByName(held), "id", "left_semi"))
+    return hit.select("assertion").distinct()
 
 
 def dependencies(assertions: DataFrame, members: DataFrame, mappings: DataFrame) -> DataFrame:

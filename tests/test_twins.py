@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from claimweave.operators import joins
 from claimweave.plans.scalars import NAMED_SQL, PLACED_SQL, unescape_sql
 from tools.check_queries import rows_of
 
@@ -118,3 +119,17 @@ def test_assertion_problems_moves_lines_little(spark, con, folder):
     con.execute(f"COPY (SELECT range AS o_orderkey, 'O' AS o_orderstatus, '5-LOW' AS o_orderpriority FROM range(100)) TO '{folder}/orders.parquet' (FORMAT parquet)")
     plan = entry.queries()["assertion_problems"](spark, str(folder))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 4 + 3  # the four uses of the claims are one exchange when it runs
+
+
+def test_affected_assertions_are_those_with_a_changed_dependency(spark):
+    """What changed leads back to the same assertions as the whole expansion does, over nulls, members and mappings."""
+    rng = random.Random(4)
+    pick = lambda kind, n, none=0.0: None if rng.random() < none else f"{kind}:{rng.randrange(n)}"
+    a = spark.createDataFrame([(f"a{i}", pick("e", 60), pick("e", 60, 0.2), pick("c", 20, 0.5)) for i in range(300)], "assertion string, subject string, object string, context string")
+    members = spark.createDataFrame([(f"c:{i}", pick("e", 60)) for i in range(20) for _ in range(2)], "context string, member string")
+    maps = spark.createDataFrame([(f"m:{i}", pick("e", 60)) for i in range(15)], "mapping string, entity string")
+    diff = spark.createDataFrame([(pick(kind, 60), rng.choice(["changed", "removed", "appended"])) for kind in "ecm" for _ in range(6)], "id string, change string")
+    gone = {r.id for r in diff.collect() if r.change != "appended"}
+    want = sorted({r.assertion for r in joins.dependencies(a, members, maps).collect() if r.depends_on in gone})
+    found = joins.affected(a, members, maps, diff)
+    assert sorted(r.assertion for r in found.collect()) == want and 0 < len(want) < 300
