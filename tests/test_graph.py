@@ -142,6 +142,21 @@ def test_paths_match_breadth_first_search(spark):
             assert [got[k] for k in sorted(got)] == reference_paths(edges, "n0", goal, 4)
 
 
+def test_paths_read_the_edges_once_a_step(spark, monkeypatch):
+    edges = [("a", "p", "b"), ("b", "p", "c"), ("c", "p", "d"), ("b", "q", "c2"), ("c2", "p", "d"), ("d", "p", "e"), ("x", "p", "e")]
+    links = bucketed(kg(spark, edges), "node")
+    stored, cut, reads = set(links.inputFiles()), graph.cut_lineage, []
+
+    def spy(df, name="cut"):
+        reads.append(bool(stored & set(df.inputFiles())))
+        return cut(df, name)
+
+    monkeypatch.setattr(graph, "cut_lineage", spy)
+    found = graph.shortest_paths(links, "a", "e").orderBy("path_no", "step").collect()
+    assert [(r.path_no, r.from_node, r.to_node) for r in found] == [(1, "a", "b"), (1, "b", "c"), (1, "c", "d"), (1, "d", "e"), (2, "a", "b"), (2, "b", "c2"), (2, "c2", "d"), (2, "d", "e")]
+    assert sum(reads) == 4
+
+
 def reference_neighborhood(edges, focus, depth, max_nodes, max_links):
     by = {}
     for i, (a, p, b) in enumerate(edges):
