@@ -190,12 +190,13 @@ def dependencies(assertions: DataFrame, members: DataFrame, mappings: DataFrame)
 
 
 def covered_sets(members: DataFrame, covers: DataFrame) -> DataFrame:
-    """Sets (set_id, item) that lie inside one cover (cover_id, item): (set_id, cover_id)."""
-    sizes = members.select("set_id", "item").distinct().groupBy("set_id").agg(F.count("*").alias("size"))
-    hits = (
-        members.select("set_id", "item").distinct().join(covers.select("cover_id", "item").distinct(), "item")
-        .groupBy("set_id", "cover_id").agg(F.count("*").alias("hit"))
-    )
+    """Sets (set_id, item) that lie inside one cover (cover_id, item): (set_id, cover_id).
+
+    Rows are counted as they come: a cover holds a set if it holds each of its rows, repeats included.
+    """
+    rows = members.select("set_id", "item")
+    sizes = rows.groupBy("set_id").agg(F.count("*").alias("size"))
+    hits = rows.join(covers.select("cover_id", "item").distinct(), "item").groupBy("set_id", "cover_id").agg(F.count("*").alias("hit"))
     return hits.join(sizes, "set_id").filter("hit = size").select("set_id", "cover_id")
 
 

@@ -133,3 +133,18 @@ def test_affected_assertions_are_those_with_a_changed_dependency(spark):
     want = sorted({r.assertion for r in joins.dependencies(a, members, maps).collect() if r.depends_on in gone})
     found = joins.affected(a, members, maps, diff)
     assert sorted(r.assertion for r in found.collect()) == want and 0 < len(want) < 300
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_covered_sets_count_rows_as_they_come(spark):
+    """Repeated items and covers change nothing, and no table of distinct items is built: covers alone are made distinct."""
+    rng = random.Random(5)
+    sets = [(s, rng.randrange(6)) for s in range(40) for _ in range(rng.randrange(1, 5))]
+    covers = [(c, i) for c in range(5) for i in range(6) if (c + i) % 3] * 2
+    found = joins.covered_sets(spark.createDataFrame(sets, "set_id int, item int"), spark.createDataFrame(covers, "cover_id int, item int"))
+    want = {(s, c) for s, _ in sets for c in range(5) if all((c, i) in covers for x, i in sets if x == s)}
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert "keys=[set_id" in plan_of(found) and not any("keys=[set_id" in line and "item" in line for line in plan_of(found).splitlines())
