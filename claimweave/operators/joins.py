@@ -204,15 +204,17 @@ def community_anchors(direct: DataFrame, project_links: DataFrame, project_ancho
     """(entity, anchor, predicate, record): who is tied to an anchor, directly or through a project, first record each.
 
     ``direct``: (entity, anchor, predicate, record); ``project_links``: (entity, project, predicate, record);
-    ``project_anchors``: (project, anchor). Both sides of the project join are reduced to one row per pair first.
+    ``project_anchors``: (project, anchor); records are never null. Both sides of the project join are reduced first, and
+    the first record is taken per predicate before predicates are compared: the minimum of a number needs no sort.
     """
-    links = project_links.groupBy("entity", "project").agg(F.min(F.struct("record", "predicate")).alias("r"))
+    def firsts(df: DataFrame, *key: str) -> DataFrame:
+        return df.groupBy(*key, "predicate").agg(F.min("record").alias("record"))
+
     anchors = project_anchors.select("project", "anchor").distinct()
-    via = links.join(anchors, "project").groupBy("entity", "anchor").agg(F.min("r").alias("r"))
-    rows = direct.select("entity", "anchor", F.struct(F.lit(0).alias("way"), "record", "predicate").alias("r")).unionByName(
-        via.select("entity", "anchor", F.struct(F.lit(1).alias("way"), F.col("r.record"), F.col("r.predicate")).alias("r")))
+    via = firsts(firsts(project_links, "entity", "project").join(anchors, "project"), "entity", "anchor")
+    rows = firsts(direct, "entity", "anchor").withColumn("way", F.lit(0)).unionByName(via.withColumn("way", F.lit(1)))
     kept = rows.join(excluded.select("entity"), "entity", "left_anti")
-    return kept.groupBy("entity", "anchor").agg(F.min("r").alias("r")).select("entity", "anchor", "r.predicate", "r.record")
+    return kept.groupBy("entity", "anchor").agg(F.min(F.struct("way", "record", "predicate")).alias("r")).select("entity", "anchor", "r.predicate", "r.record")
 
 
 def bridges(reach: DataFrame, kinds: DataFrame, cap: int) -> DataFrame:

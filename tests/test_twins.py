@@ -148,3 +148,20 @@ def test_covered_sets_count_rows_as_they_come(spark):
     want = {(s, c) for s, _ in sets for c in range(5) if all((c, i) in covers for x, i in sets if x == s)}
     assert sorted(map(tuple, found.collect())) == sorted(want)
     assert "keys=[set_id" in plan_of(found) and not any("keys=[set_id" in line and "item" in line for line in plan_of(found).splitlines())
+
+
+def test_community_anchors_take_first_records_without_sorting(spark, con, folder):
+    """Only the few rows left per entity, anchor and predicate are compared as structs."""
+    rng = random.Random(6)
+    direct = [(f"e{rng.randrange(5)}", f"a{rng.randrange(3)}", rng.choice("pq"), rng.randrange(50)) for _ in range(12)]
+    links = [(f"e{rng.randrange(9)}", rng.randrange(8), rng.choice("rs"), rng.randrange(50)) for _ in range(40)]
+    anchors = [(rng.randrange(8), f"a{rng.randrange(4)}") for _ in range(20)]
+    found = joins.community_anchors(
+        spark.createDataFrame(direct, "entity string, anchor string, predicate string, record long"), spark.createDataFrame(links, "entity string, project int, predicate string, record long"),
+        spark.createDataFrame(anchors, "project int, anchor string"), spark.createDataFrame([("e3",)], "entity string"))
+    assert plan_of(found).count("SortAggregate") == 2
+    best = {}
+    for e, a, way, r, p in [(e, a, 0, r, p) for e, a, p, r in direct] + [(e, a, 1, r, p) for e, q, p, r in links for x, a in anchors if x == q]:
+        if e != "e3":
+            best[e, a] = min(best.get((e, a), (9,)), (way, r, p))
+    assert {(r.entity, r.anchor): (r.record, r.predicate) for r in found.collect()} == {k: v[1:] for k, v in best.items()}
