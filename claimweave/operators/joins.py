@@ -241,9 +241,8 @@ def community_overlap(context, members: DataFrame, contexts: DataFrame, genes: D
         .unionByName(genes.join(my_genes, "gene", "left_semi").select("context")).distinct()
     )
     shared = (
-        members.filter(~me).join(mine, "member", "left_semi").join(related, "context", "left_anti")
-        .select("context", "member", "is_person").distinct()
-        .groupBy("context").agg(F.count("*").alias("shared"), F.count_if("is_person").alias("persons"))
+        members.filter(~me).join(related, "context", "left_anti").select("context", "member", "is_person").distinct()
+        .join(mine, "member", "left_semi").groupBy("context").agg(F.count("*").alias("shared"), F.count_if("is_person").alias("persons"))
     )
     return shared.orderBy(F.desc("persons"), "context").limit(cap)
 

@@ -165,3 +165,14 @@ def test_community_anchors_take_first_records_without_sorting(spark, con, folder
         if e != "e3":
             best[e, a] = min(best.get((e, a), (9,)), (way, r, p))
     assert {(r.entity, r.anchor): (r.record, r.predicate) for r in found.collect()} == {k: v[1:] for k, v in best.items()}
+
+
+def test_community_overlap_leaves_related_contexts_first(spark):
+    """Members of contexts that do not count are not made distinct, and repeated members count once."""
+    members = [(1, 10, True), (1, 11, False), (2, 10, True), (2, 10, True), (2, 11, False), (3, 10, True), (4, 11, False), (4, 11, False), (5, 12, True)]
+    found = joins.community_overlap(
+        1, spark.createDataFrame(members, "context int, member long, is_person boolean"), spark.createDataFrame([(c, c % 4) for c in range(1, 6)], "context int, disease int"),
+        spark.createDataFrame([(1, 1), (3, 1), (2, 2)], "context int, gene int"))
+    assert [tuple(r) for r in found.collect()] == [(2, 2, 1), (4, 1, 0)]
+    plan = plan_of(found)
+    assert 0 <= plan.index("LeftSemi") < plan.index("LeftAnti")  # the anti join lies below
