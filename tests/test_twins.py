@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from claimweave.operators import joins
+from claimweave.operators import filters, joins
 from claimweave.plans.scalars import NAMED_SQL, PLACED_SQL, unescape_sql
 from tools.check_queries import rows_of
 
@@ -176,3 +176,12 @@ def test_community_overlap_leaves_related_contexts_first(spark):
     assert [tuple(r) for r in found.collect()] == [(2, 2, 1), (4, 1, 0)]
     plan = plan_of(found)
     assert 0 <= plan.index("LeftSemi") < plan.index("LeftAnti")  # the anti join lies below
+
+
+def test_contract_rules_do_not_deal_edges_by_predicate(spark):
+    """A handful of predicates would leave the edges in as many tasks."""
+    edges = spark.range(50).selectExpr("cast(id as string) id", "'a:1' subject", "if(id % 2 = 0, 'p', 'q') predicate", "'b:1' object", "'unknown' effect_direction", "'x' outcome_text")
+    nodes = spark.createDataFrame([("a:1", "a", None), ("b:1", "asset", "K")], "id string, type string, kind string")
+    found = filters.contract_problems(edges, nodes, filters.rules_frame(edges, {"p": (("a", "c"), ("asset",), "L", True), "r": (("a",), ("b",), None, False)}))
+    assert "hashpartitioning(predicate" not in plan_of(found)
+    assert {r.problem for r in found.collect()} == {"unknown predicate", "wrong asset kind", "direction and outcome required"} and found.count() == 75
