@@ -2,6 +2,7 @@ import random
 from collections import deque
 from itertools import islice
 
+import pytest
 from pyspark.sql import functions as F
 
 from claimweave.operators import graph
@@ -230,3 +231,29 @@ def test_whole_map_keeps_to_both_budgets(spark):
             (2, map_branch(spark, "r", records)), max_nodes, max_links)
         want = slow_map(contexts, [("x", first, False), ("y", second, False), ("r", records, True), ("z", third, False)], max_nodes, max_links)
         assert (sorted(r.node for r in nodes.collect()), sorted(r.link_id for r in links.collect())) == (sorted(want[0]), sorted(want[1]))
+
+
+def test_both_ends_come_from_one_reading(spark, tmp_path):
+    spark.createDataFrame([("e0", "a", "p", "b"), ("e1", "c", "p", "c")], "id string, subject string, predicate string, object string").write.parquet(str(tmp_path / "edges"))
+    ends = graph.two_way(spark.read.parquet(str(tmp_path / "edges")))
+    assert ends._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert sorted((r.node, r.other, r.outgoing) for r in ends.collect()) == [("a", "b", True), ("b", "a", False), ("c", "c", True)]
+
+
+@pytest.mark.parametrize("crowd", [0, 12, 100_000])
+def test_pages_are_the_same_for_crowded_and_other_nodes(spark, crowd):
+    """A node with many links, a link to itself, equal ends, ends without a label; all, some or no nodes are cut before the shuffle."""
+    rng = random.Random(4)
+    links = [("hub", rng.choice("pq"), f"n{i % 17}") for i in range(40)] + [("hub", "p", "hub")] + [tuple(rng.choice(x) for x in (["a", "b", "c"], "pq", ["b", "c", "d"])) for _ in range(9)]
+    labels = {"hub": "Hub", "a": "A", "n1": "N1", "x": "X"}
+    want = []
+    seen = {}
+    for i, (s, p, o) in enumerate(links):
+        seen.setdefault(s, []).append((p, f"e{i}", 0, o))
+        if s != o:
+            seen.setdefault(o, []).append((p, f"e{i}", 1, s))
+    for node, found in seen.items():
+        for pos, (p, link, way, other) in enumerate(sorted(found)[:5], 1):
+            want.append((node, pos, p, ("outgoing", "incoming")[way], other, labels.get(other, other), link, len(found), len(found) > 5))
+    got = graph.entity_page(kg(spark, links), spark.createDataFrame(list(labels.items()), "id string, label string"), 5, crowd=crowd)
+    assert rows(got) == sorted(want)
