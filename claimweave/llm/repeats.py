@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -84,24 +85,20 @@ def unpacked(z: pa.BinaryScalar) -> bytes:
     return zstandard.ZstdDecompressor().decompress(z.as_buffer())
 
 
-def anchor_counts(docs: DataFrame, length: int) -> DataFrame:
-    """(key, id, th, n): how often each document names each anchor."""
+def anchor_places(docs: DataFrame, length: int) -> DataFrame:
+    """(key, id, th, place, first, last): every anchor of every document with the range of starts of the windows that name it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, counts, rows = [], [], []
-            for i, text in enumerate(batch.column(2)):
-                key, n = np.unique(anchors(text.as_buffer().to_pybytes(), length)[0], return_counts=True)
-                keys.append(key)
-                counts.append(n)
-                rows.append(np.full(len(key), i))
-            if rows:
-                at = pa.array(np.concatenate(rows))
+            found = [anchors(text.as_buffer().to_pybytes(), length) for text in batch.column(2)]
+            if found:
+                at = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
+                key, *where = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys), pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(counts), pa.int32())], names=["key", "id", "th", "n"]
+                    [pa.array(key, pa.int64()), batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x.astype(np.int32)) for x in where)], names=["key", "id", "th", "place", "first", "last"]
                 )
 
-    return docs.mapInArrow(run, f"key bigint, id {docs.schema['id'].dataType.simpleString()}, th bigint, n int")
+    return docs.mapInArrow(run, f"key bigint, id {docs.schema['id'].dataType.simpleString()}, th bigint, place int, first int, last int")
 
 
 CONTEXT = "key bigint, cid binary, id {id}, th bigint, at bigint, low int, data binary"
@@ -112,7 +109,7 @@ def context_id(data: bytes, low: int) -> bytes:
 
 
 def contexts(rows: DataFrame, length: int) -> DataFrame:
-    """(key, cid, id, th, at, low, data): every context of a document's repeated anchors.
+    """(key, cid, id, th, at, low, data): every context of a document's repeated anchors, given as (id, th, z, places).
 
     ``at`` is its place in the document, ``low`` the smallest distance from a window's start to the anchor. ``data`` comes
     with the first of equal contexts of a batch only.
@@ -124,11 +121,9 @@ def contexts(rows: DataFrame, length: int) -> DataFrame:
             known: set[bytes] = set()
             out: list[tuple] = []
             for i in range(batch.num_rows):
-                data = unpacked(batch.column(2)[i])
-                key, place, first, last = anchors(data, length)
-                wanted = np.isin(key, batch.column(3)[i].values.to_numpy())
+                data, asked = unpacked(batch.column(2)[i]), batch.column(3)[i].values
                 name, th = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                for k, p, a, b in zip(*(x[wanted].tolist() for x in (key, place, first, last)), strict=True):
+                for k, p, a, b in zip(*(asked.field(c).to_pylist() for c in ("key", "place", "first", "last")), strict=True):
                     part, low = data[a : b + length], p - b
                     cid = context_id(part, low)
                     out.append((k, cid, name, th, a, low, None if cid in known else part))
@@ -143,24 +138,49 @@ def contexts(rows: DataFrame, length: int) -> DataFrame:
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Order of all suffixes of a text of small numbers that ends in a number found nowhere else."""
+    """Order of all suffixes of a text of small numbers that ends in a number found nowhere else.
+
+    Prefix doubling. A rank is the place of the first suffix with an equal prefix, so a suffix that is alone stays where it
+    is, and only the others are sorted again: rank, rank of what follows and place, as one number.
+    """
     n = len(text)
     bits = int(text.max()).bit_length()
     step = 62 // bits  # so many numbers fit in one key
     key = np.zeros(n, np.int64)
     for k in range(min(step, n)):
         key[: n - k] |= text[k:] << (bits * (step - 1 - k))
-    while True:
-        order = np.argsort(key)
-        key = key[order]
-        fresh = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
-        if fresh[-1] == n - 1:
-            return order
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
-        key = rank * (n + 1)
-        key[: n - step] += rank[step:] + 1
+    order = np.argsort(key)
+    places = np.arange(n)
+    key = key[order]
+    first = np.concatenate(([True], key[1:] != key[:-1]))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(first, places, 0))
+    width = n.bit_length()
+    mask = (1 << width) - 1
+    open_ = order[~(first & np.append(first[1:], True))]  # suffixes whose prefix is not theirs alone
+    while open_.size:
+        own = rank[open_]
+        after = open_ + step
+        follow = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        if 3 * width < 64:
+            key = (((own << width) | follow) << width) | open_
+            key.sort()
+            open_ = key & mask
+            key >>= width
+            own = key >> width
+        else:
+            key = own * (n + 1) + follow
+            by = np.argsort(key)
+            key, open_, own = key[by], open_[by], own[by]
+        at = places[: len(own)]
+        group = np.concatenate(([True], own[1:] != own[:-1]))
+        slot = own + at - np.maximum.accumulate(np.where(group, at, 0))
+        order[slot] = open_
+        first = np.concatenate(([True], key[1:] != key[:-1]))
+        rank[open_] = slot[np.maximum.accumulate(np.where(first, at, 0))]
+        open_ = open_[~(first & np.append(first[1:], True))]
         step *= 2
+    return order
 
 
 def repeated_starts(text: np.ndarray, length: int) -> np.ndarray:
@@ -176,7 +196,8 @@ def repeated_starts(text: np.ndarray, length: int) -> np.ndarray:
     back = inverse[order - 1]  # where the suffix that is longer by one stands
     common = np.full(n + 1, -1, np.int64)  # common prefix length of a suffix with the one before it; -1: not yet known
     common[0] = common[n] = 0
-    letters = int(text.max()) + 1
+    width, letter = n.bit_length(), int(text.max()).bit_length()
+    mask = (1 << width) - 1
     low, high = np.array([0]), np.array([n])
     for value in range(length):  # all strings of this many numbers that end a run of equal prefixes found at this value
         sizes = high - low
@@ -184,12 +205,12 @@ def repeated_starts(text: np.ndarray, length: int) -> np.ndarray:
         before = transform[place]
         group = np.repeat(np.arange(len(low)), sizes)
         inside = (before < 256) | (value == 0)  # a separator may end a string, but nothing goes back over it
-        place, key = place[inside], group[inside] * letters + before[inside]
+        place, key = place[inside], (group[inside] << letter) | before[inside]
         if not place.size:
             break
-        sortable = key * n + place
+        sortable = (key << width) | place
         sortable.sort()
-        key, place = np.divmod(sortable, n)
+        key, place = sortable >> width, sortable & mask
         first = np.concatenate(([True], key[1:] != key[:-1]))
         last = np.append(first[1:], True)
         start, end = back[place[first]], back[place[last]] + 1
@@ -300,15 +321,25 @@ def resolve(small: DataFrame, data: DataFrame, length: int, steps: tuple[int, ..
     return results.unionByName(back.groupBy("key", "cid").agg(F.flatten(F.collect_list(moved)).alias("ranges")))  # a few cells per context
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal runs of a set of ranges; touching ranges are one run."""
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def covered_runs(found: pa.ListArray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, a, b): maximal runs of each row's ranges, in order; touching ranges are one run.
+
+    ``found`` lists (at, ranges) per row, or is null; ``base`` is where each row's text starts when all are laid end to end
+    with a place between them, so that one pass over all rows merges them.
+    """
+    item = found.flatten()
+    start = item.field("at").to_numpy(zero_copy_only=False) + np.repeat(base, pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False))
+    ranges = item.field("ranges")
+    start = np.repeat(start, pc.list_value_length(ranges).to_numpy(zero_copy_only=False))
+    a, b = (start + ranges.flatten().field(c).to_numpy(zero_copy_only=False) for c in "ab")
+    if not a.size:
+        return (np.zeros(0, np.int64),) * 3
+    order = np.argsort(a)
+    a, b = a[order], np.maximum.accumulate(b[order])
+    new = np.concatenate(([True], a[1:] > b[:-1]))
+    a, b = a[new], b[np.append(np.flatnonzero(new)[1:], len(b)) - 1]
+    row = np.searchsorted(base, a, "right") - 1
+    return row, a - base[row], b - base[row]
 
 
 def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = 200, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -323,12 +354,13 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
         raise ValueError(f"strings need at least {2 * GRAM} bytes")
     rows = df.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
     rows = rows.select("id", F.xxhash64("_t").alias("th"), F.encode("_t", "UTF-8").alias("text"))
-    often = anchor_counts(rows, length).groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key")
-    wanted = anchor_counts(rows, length).join(often, "key").groupBy("id", "th").agg(F.collect_set("key").alias("keys"))  # equal rows ask once
+    places = stored(anchor_places(rows, length), "places")
+    often = places.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")  # aggregated, so a key in every text meets in no task
+    wanted = places.join(often, "key").groupBy("id", "th").agg(F.collect_set(F.struct("key", "place", "first", "last")).alias("places"))  # equal rows ask once
     wanted = wanted.withColumnsRenamed({"id": "_id", "th": "_th"})
     same = lambda left: left["id"].eqNullSafe(F.col("_id")) & (left["th"] == F.col("_th"))
     texts = packed(rows)
-    found = texts.join(wanted, same(texts)).select("id", "th", "z", "keys")
+    found = texts.join(wanted, same(texts)).select("id", "th", "z", "places")
     table = stored(contexts(found, length), "occurrences")
     small = stored(table.withColumn("size", F.octet_length("data")).groupBy("key", "cid").agg(F.count("*").alias("weight"), F.max("size").alias("size")), "weights")
     ranges = resolve(small, table.filter("data IS NOT NULL").select("key", "cid", "low", "data"), length, STEPS, shard_bytes)
@@ -338,22 +370,24 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
     kind = joined.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
         for batch in batches:
-            sizes, removed, spans, kept = [], [], [], []
-            for z, places in zip(batch.column(1), batch.column(2), strict=True):
-                data = unpacked(z)
-                gone = merged([(p["at"] + r["a"], p["at"] + r["b"]) for p in places.as_py() or () for r in p["ranges"]])
-                at, left = 0, []
-                for a, b in gone:
-                    left.append(data[at:a])
-                    at = b
-                sizes.append(len(data))
-                removed.append(sum(b - a for a, b in gone))
-                spans.append([{"a": a, "b": b} for a, b in gone])
-                kept.append(b"".join([*left, data[at:]]))
+            texts = [unpacked(z) for z in batch.column(1)]
+            sizes = np.array([len(t) for t in texts], np.int64)
+            base = np.cumsum(sizes + 1) - sizes - 1  # texts laid end to end, one place apart
+            row, a, b = covered_runs(batch.column(2), base)
+            per_row = np.bincount(row, minlength=len(texts))
+            ends = np.concatenate(([0], np.cumsum(per_row)))
+            total = np.concatenate(([0], np.cumsum(b - a)))
+            kept = []
+            for text, low, high in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                if low == high:
+                    kept.append(text)
+                    continue
+                cuts = [0, *np.stack((a[low:high], b[low:high]), axis=1).ravel().tolist(), len(text)]
+                kept.append(b"".join([text[x:y] for x, y in zip(cuts[::2], cuts[1::2], strict=True)]))
+            spans = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["id", "n_bytes", "n_removed", "spans", "kept"]
+                [batch.column(0), pa.array(sizes), pa.array(total[ends[1:]] - total[ends[:-1]], pa.int64()), spans, pa.array(kept, pa.binary())], names=["id", "n_bytes", "n_removed", "spans", "kept"]
             )
 
     out = joined.mapInArrow(run, f"id {kind}, n_bytes bigint, n_removed bigint, spans array<struct<a:bigint,b:bigint>>, kept binary")

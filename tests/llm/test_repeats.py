@@ -80,3 +80,30 @@ def test_many_equal_rows_with_one_id(spark):
     df = df.unionByName(spark.createDataFrame([(1, "short"), (2, text[:150] + "#" + text[200:420])], "doc_id bigint, text string"))
     got = {tuple(r): r[4] for r in repeats.remove_repeats(df).groupBy("doc_id", "n_bytes", "n_removed", F.size("spans").alias("k")).count().collect()}
     assert got == {(None, 3000, 3000, 1, 2000): 2000, (1, 5, 0, 0, 1): 1, (2, 371, 220, 1, 1): 1}
+
+
+def test_suffixes_are_in_order_whatever_repeats():
+    rng = random.Random(8)
+    for _ in range(300):
+        text = [rng.randint(0, rng.choice([0, 1, 3])) for _ in range(rng.randint(1, 70))] + [300]
+        for i in rng.sample(range(len(text) - 1), min(len(text) - 1, rng.randint(0, 3))):
+            text[i] = 256 + i  # a separator, found once
+        assert repeats.suffix_array(np.array(text)).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+
+
+def test_anchors_of_a_text_are_found_once(spark, tmp_path, monkeypatch):
+    """Three passes over all texts were most of the work before."""
+    seen = spark.sparkContext.accumulator(0)
+    plain = repeats.anchors
+
+    def counted(data, length):
+        seen.add(1)
+        return plain(data, length)
+
+    monkeypatch.setattr(repeats, "anchors", counted)
+    rng = random.Random(3)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    df = spark.createDataFrame([(i, f"{i} {shared} {'xyz'[i % 3] * 30}{i}") for i in range(12)], "doc_id bigint, text string")
+    got = repeats.remove_repeats(df).collect()
+    assert all(r.n_removed >= 400 for r in got)
+    assert seen.value == 12
