@@ -336,22 +336,25 @@ def withheld_reasons(coverage: DataFrame, disagreements: DataFrame) -> DataFrame
     return unassessed.unionByName(open_ones)
 
 
+def shared_weights(cards: DataFrame, expanded: DataFrame, ic: DataFrame) -> DataFrame:
+    """(a, b, term, ic, contribution): terms both sides of each card hold, without asking where they come from."""
+    pa = expanded.select(F.col("entity").alias("a"), "term")
+    pb = expanded.select(F.col("entity").alias("b"), "term")
+    rows = cards.join(pa, "a").join(pb, ["b", "term"]).join(ic.select("term", "ic"), "term", "left")
+    contribution = F.when(F.col("score").isNotNull(), F.coalesce("ic", F.lit(0.0)) / F.col("union_weight"))
+    return rows.select("a", "b", "term", "ic", contribution.alias("contribution"))
+
+
 def shared_terms(cards: DataFrame, expanded: DataFrame, direct: DataFrame, ic: DataFrame) -> DataFrame:
     """Terms both sides of each card hold, with weight, contribution, direct flags and position (IC desc, term).
 
     ``cards``: (a, b, score, union_weight). Cards are few per start, so both joins fan out by profile size only.
     """
-    pa = expanded.select(F.col("entity").alias("a"), "term")
-    pb = expanded.select(F.col("entity").alias("b"), "term")
     da = direct.select(F.col("entity").alias("a"), "term", F.lit(True).alias("da")).distinct()
     db = direct.select(F.col("entity").alias("b"), "term", F.lit(True).alias("db")).distinct()
-    rows = (
-        cards.join(pa, "a").join(pb, ["b", "term"]).join(ic.select("term", "ic"), "term", "left")
-        .join(da, ["a", "term"], "left").join(db, ["b", "term"], "left")
-    )
+    rows = shared_weights(cards, expanded, ic).join(da, ["a", "term"], "left").join(db, ["b", "term"], "left")
     return rows.select(
-        "a", "b", "term", "ic",
-        F.when(F.col("score").isNotNull(), F.coalesce("ic", F.lit(0.0)) / F.col("union_weight")).alias("contribution"),
+        "a", "b", "term", "ic", "contribution",
         F.coalesce("da", F.lit(False)).alias("direct_a"), F.coalesce("db", F.lit(False)).alias("direct_b"),
     )
 

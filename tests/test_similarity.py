@@ -132,3 +132,15 @@ def test_finished_entities_search_no_heavy_terms(spark, monkeypatch):
     got = [(r.a, r.b, round(r.score, 9)) for r in s.top_partners(df, df, 3, heavy=30).collect()]
     assert sorted(got) == brute_top(profiles, 3)
     assert "hot-lists" in written and "hot-prefixes" not in written
+
+
+def test_shared_weights_do_not_ask_for_direct_terms(spark):
+    """Warnings and sums need no flags: the same rows as ``shared_terms`` without its two joins with the direct terms."""
+    cards = spark.createDataFrame([(1, 2, 0.5, 4.0), (1, 3, None, None)], "a bigint, b bigint, score double, union_weight double")
+    held = spark.createDataFrame([(1, "x"), (1, "y"), (2, "x"), (2, "y"), (3, "y")], "entity bigint, term string")
+    ic = spark.createDataFrame([("x", 2.0)], "term string, ic double")
+    plain = s.shared_weights(cards, held, ic)
+    assert rows(plain) == [(1, 2, "x", 2.0, 0.5), (1, 2, "y", None, 0.0), (1, 3, "y", None, None)]
+    flagged = s.shared_terms(cards, held, held.filter("entity = 1"), ic)
+    assert rows(flagged.select(plain.columns)) == rows(plain)
+    assert {(r.direct_a, r.direct_b) for r in flagged.collect()} == {(True, False)}
