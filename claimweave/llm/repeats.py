@@ -355,7 +355,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
     rows = df.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
     rows = rows.select("id", F.xxhash64("_t").alias("th"), F.encode("_t", "UTF-8").alias("text"))
     places = stored(anchor_places(rows, length), "places")
-    often = places.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")  # aggregated, so a key in every text meets in no task
+    often = places.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")  # a join, not a window: Spark can split it where a key is in very many texts
     wanted = places.join(often, "key").groupBy("id", "th").agg(F.collect_set(F.struct("key", "place", "first", "last")).alias("places"))  # equal rows ask once
     wanted = wanted.withColumnsRenamed({"id": "_id", "th": "_th"})
     same = lambda left: left["id"].eqNullSafe(F.col("_id")) & (left["th"] == F.col("_th"))
