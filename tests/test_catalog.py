@@ -73,3 +73,12 @@ def test_catalog_moves_each_line_a_bounded_number_of_bytes(spark):
     entry.queries()["catalog_fingerprints"](spark, folder).write.format("noop").mode("overwrite").save()
     lines = spark.read.parquet(f"{folder}/lineitem.parquet").count()
     assert (shuffled(spark) - before) / lines < 300
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_kinds_are_stored_one_after_the_other(catalog):
+    """No shuffle of a layer is left to the last job, where those of all layers would lie on the disk together."""
+    assert "Exchange" not in plan_of(fingerprints.catalog_fingerprints(catalog))
