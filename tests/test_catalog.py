@@ -82,3 +82,19 @@ def plan_of(df):
 def test_kinds_are_stored_one_after_the_other(catalog):
     """No shuffle of a layer is left to the last job, where those of all layers would lie on the disk together."""
     assert "Exchange" not in plan_of(fingerprints.catalog_fingerprints(catalog))
+
+
+def test_targets_of_the_queue_are_dealt_once(spark):
+    import re
+
+    import __spark_entry__ as entry
+
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    kept = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        plan = plan_of(entry.queries()["review_queue_items"](spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.set(name, kept)
+    assert re.search(r"hashpartitioning\(target_type#\d+, target_id#\d+", plan)
+    assert not re.search(r"hashpartitioning\(target_id#\d+", plan)
