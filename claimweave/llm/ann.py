@@ -3,8 +3,9 @@
 Equal vectors become one node that keeps the smallest ids it stands for. Nodes are dealt to shards of a fixed size by a
 hash of the vector. In a shard points are inserted in batches: a greedy search over the graph so far proposes neighbours,
 relaxed distance pruning keeps the diverse ones, and reverse edges are added and pruned the same way. Graphs are written
-as one row per shard. Queries visit every shard in blocks, a beam search answers from each, and the best of all shards
-remain. Scores are cosines in double precision on the original vectors.
+as one row per shard. Shards lie in groups: a task reads the graphs of a group once and answers one block of queries after
+the other from all of them, so no graph is copied for a block. Every query visits every shard by a beam search, and the best
+of all shards remain. Scores are cosines in double precision on the original vectors.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimweave.llm.common import batches_of
 from claimweave.session import cut_lineage
 
 DEGREE = 32
@@ -23,6 +25,9 @@ BEAM = 96
 ALPHA = 1.2
 EXPANDED = 4  # nodes of a beam that are expanded at a time
 BATCH = 256
+GROUPS = 64  # groups of shards, each searched by one task, as long as none has more than
+HELD = 16  # shards: about 3 MB each for the search
+AT_ONCE = 8  # graphs or blocks of queries in an Arrow batch: a few MB
 
 
 def usable(vector: Column) -> Column:
@@ -134,6 +139,12 @@ def build(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: flo
 INDEX = "dim int, shard int, n int, start int, points binary, edges binary, members binary, sizes binary"
 
 
+def _tasks(table: DataFrame, column: str) -> int:
+    """Partitions for so many keys in all that few of them fall together."""
+    keys = table.agg(F.sum(column)).first()[0] or 1
+    return max(keys, min(4 * keys, 1000))
+
+
 def build_index(vectors: DataFrame, vec: str, vector: str, k: int, shard_size: int) -> tuple[DataFrame, DataFrame]:
     """(index, shards): one row per shard with its graph, and (dim, shards) with the number of shards."""
     rows = vectors.filter(usable(F.col(vector)) & F.col(vec).isNotNull()).select(F.col(vec).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v")).distinct()
@@ -152,36 +163,46 @@ def build_index(vectors: DataFrame, vec: str, vector: str, k: int, shard_size: i
         kinds = [pa.int32()] * 4 + [pa.binary()] * 4
         return pa.Table.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=["dim", "shard", "n", "start", "points", "edges", "members", "sizes"])
 
-    index = placed.select("dim", "shard", "v", "members").groupBy("dim", "shard").applyInArrow(graph, INDEX)
+    index = placed.select("dim", "shard", "v", "members").repartition(_tasks(shards, "shards"), "dim", "shard").groupBy("dim", "shard").applyInArrow(graph, INDEX)
     return cut_lineage(index, "graphs"), shards
 
 
-def search(index: DataFrame, shards: DataFrame, queries: DataFrame, k: int, beam: int, block: int = 512) -> DataFrame:
-    """(query_id, vec_id, score): the ``k`` best of every shard for every query (id, v)."""
-    asked = queries.withColumn("dim", F.size("v")).join(shards, "dim")
+def search(index: DataFrame, shards: DataFrame, queries: DataFrame, k: int, beam: int, block: int = 512, most_groups: int = GROUPS, held: int = HELD) -> DataFrame:
+    """(query_id, vec_id, score): the ``k`` best of every group of shards for every query (id, v)."""
+    groups = shards.select("dim", F.greatest(F.least("shards", F.lit(most_groups)), F.ceil(F.col("shards") / held)).cast("int").alias("groups"))
+    asked = queries.withColumn("dim", F.size("v")).join(groups, "dim")
     blocks = max(1, -(-queries.count() // block))
-    packed = asked.groupBy("dim", "shards", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("asked"))
-    spread = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
-    work = index.join(spread, ["dim", "shard"]).select("dim", "n", "start", "points", "edges", "members", "sizes", "asked")
+    packed = asked.groupBy("dim", "groups", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("asked"))
+    spread = packed.withColumn("grp", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
+    graphs = index.join(groups, "dim").withColumn("grp", F.col("shard") % F.col("groups")).drop("groups", "shard").withColumn("block", F.lit(-1))
+    order = ["dim", "grp", "block"]  # the graphs of a group first
+    work = graphs.unionByName(spread, allowMissingColumns=True).repartition(_tasks(groups, "groups"), "dim", "grp").sortWithinPartitions(*order)
+    work = work.select(*order, "n", "start", "points", "edges", "members", "sizes", "asked")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, known = None, []
         for batch in batches:
             for i in range(batch.num_rows):
-                dim, n, start = (batch.column(c)[i].as_py() for c in range(3))
-                points, edges, members, sizes = (np.frombuffer(batch.column(3 + c)[i].as_buffer(), t) for c, t in enumerate((np.float32, np.int32, np.int64, np.int32)))
-                points, edges = points.reshape(n, dim), edges.reshape(n, -1).astype(np.int64)
-                ends = np.cumsum(sizes)
-                own = batch.column(7)[i].values
-                names = own.field("id").to_numpy()
+                dim, grp, place, n, start = (batch.column(c)[i].as_py() for c in range(5))
+                if (dim, grp) != group:
+                    group, known = (dim, grp), []
+                if place < 0:
+                    points, edges, members, sizes = (np.frombuffer(batch.column(5 + c)[i].as_py(), t) for c, t in enumerate((np.float32, np.int32, np.int64, np.int32)))
+                    known.append((points.reshape(n, dim), edges.reshape(n, -1).astype(np.int64), start, members, np.cumsum(sizes), sizes))
+                    continue
+                own = batch.column(9)[i].values
+                names = own.field("id").to_numpy().tolist()
                 asked_for = own.field("v").flatten().to_numpy().reshape(-1, dim)
-                ids, _, _ = beam_search(unit(points), edges, start, unit(asked_for), beam)
-                out: list[tuple[int, int, float]] = []
-                for name, vector, found in zip(names.tolist(), asked_for.astype(np.float64), ids[:, : 2 * k + 2], strict=True):
-                    found = found[found >= 0]
-                    near = points[found].astype(np.float64)
-                    scores = near @ vector / (np.linalg.norm(near, axis=1) * np.linalg.norm(vector))
-                    pairs = [(-s, m) for s, f in zip(scores.tolist(), found.tolist(), strict=True) for m in members[ends[f] - sizes[f] : ends[f]].tolist() if m != name]
-                    out += [(name, m, -s) for s, m in sorted(pairs)[:k]]
+                best: list[list[tuple[float, int]]] = [[] for _ in names]
+                for points, edges, start, members, ends, sizes in known:
+                    ids, _, _ = beam_search(unit(points), edges, start, unit(asked_for), beam)
+                    for q, (name, vector, found) in enumerate(zip(names, asked_for.astype(np.float64), ids[:, : 2 * k + 2], strict=True)):
+                        found = found[found >= 0]
+                        near = points[found].astype(np.float64)
+                        scores = near @ vector / (np.linalg.norm(near, axis=1) * np.linalg.norm(vector))
+                        pairs = [(-s, m) for s, f in zip(scores.tolist(), found.tolist(), strict=True) for m in members[ends[f] - sizes[f] : ends[f]].tolist() if m != name]
+                        best[q] = sorted(best[q] + pairs)[:k]
+                out = [(name, m, -s) for name, pairs in zip(names, best, strict=True) for s, m in pairs]
                 columns = list(zip(*out, strict=True)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
@@ -198,6 +219,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, vec: str = "vec_id", vector:
     """
     index, shards = build_index(vectors, vec, vector, k, shard_size)
     asked = queries.filter(usable(F.col(vector)) & F.col(vec).isNotNull()).select(F.col(vec).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v")).distinct()
-    found = search(index, shards, asked, k, beam)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    with batches_of(vectors.sparkSession, AT_ONCE):
+        found = search(index, shards, asked, k, beam)
+        ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        return cut_lineage(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "nearest")

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 
 from claimweave.llm import ann
@@ -51,3 +53,22 @@ def test_pruning_keeps_diverse_edges():
     points = ann.unit(np.array([[1, 0], [1, 0.1], [1, 0.11], [1, -0.3]], np.float32))
     kept = ann.robust_prune(points, np.array([0]), np.array([[1, 2, 3, -1, 0]]), 3, 1.2)
     assert kept.tolist() == [[1, 3, -1]]  # 2 is nearer to 1 than to 0
+
+
+def test_graphs_meet_blocks_without_a_copy_each(spark):
+    """Batches that a task reads stay small: a graph travels once, whatever the number of query blocks, and groups change nothing."""
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(1200, 8)).astype(np.float32))]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    index, shards = ann.build_index(df, "vec_id", "embedding", 5, 100)
+    asked = df.filter("vec_id % 3 = 0").selectExpr("vec_id AS id", "embedding AS v")
+
+    def answers(**how):
+        found = {}
+        for r in ann.search(index, shards, asked, 5, ann.BEAM, block=40, **how).collect():
+            found.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+        return {q: sorted(f)[:5] for q, f in found.items()}
+
+    plan = ann.search(index, shards, asked, 5, ann.BEAM, block=40)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"shard#\d+ = shard#\d+", plan)
+    assert answers() == answers(most_groups=2) == answers(most_groups=1, held=5)
