@@ -78,3 +78,12 @@ def test_empty_tables(spark, data, tmp_path_factory):
     for name in ("documents", "benchmark", "labels"):
         spark.read.parquet(f"{data}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
     assert C.run(spark, folder).count() == 0
+
+
+def test_copies_with_negative_ids_leave_the_smallest(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(i, text, "en", "s", len(text)) for i in (-12, -13, 4, -5, -(1 << 63), (1 << 63) - 1, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    order = [r.doc_id for r in docs.select("doc_id", C._row().alias("r")).orderBy("r").collect()]
+    assert order == [-(1 << 63), -13, -12, -5, 4, (1 << 63) - 1, None]
+    assert [r.doc_id for r in C.drop_near_duplicates(spark, docs.filter("doc_id > -1000"), "").collect()] == [-13]
